@@ -143,9 +143,10 @@ class _Functions:
     @staticmethod
     def _argument(value: Any) -> str:
         if callable(value) and not isinstance(value, Text):
-            names = [f"v{next(_fresh)}" for _ in inspect.signature(value).parameters]
+            names = [f"_x{next(_fresh)}" for _ in inspect.signature(value).parameters]
             body = value(*[Text(n) for n in names])
-            return f"({', '.join(names)}) -> {_operand(body)}"
+            head = names[0] if len(names) == 1 else f"({', '.join(names)})"
+            return f"{head} -> {_operand(body)}"
         return _write(value)
 
 
