@@ -2,6 +2,6 @@
 
 
 def registries():
-    from . import signals
+    from . import signals, traces
 
-    return [signals.reg]
+    return [signals.reg, traces.reg]

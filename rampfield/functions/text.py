@@ -153,9 +153,25 @@ class _Functions:
 X = _Functions()
 
 
+def _kept_whole(value: Text) -> Column:
+    """A step's expression, guarded so the optimizer evaluates it once per row.
+
+    Inlining would repeat a step wherever its result is used: in a filter pushed
+    below it, or inside a lambda, once per element.  The partition id is always
+    at least zero, but an expression that reads it is never copied.
+    """
+    sql = value.sql
+    if "->" in sql:
+        sql = f"CASE WHEN spark_partition_id() >= 0 THEN {sql} END"
+    return F.expr(sql)
+
+
 def put(df: DataFrame, columns: str | dict[str, Any], value: Any = None) -> DataFrame:
-    """Add one named column, or a dict of them, given as SQL text or ``Column``."""
+    """Add one named column, or a dict of them, given as SQL text or ``Column``.
+
+    Filters on keys belong before the first step: none is pushed below it.
+    """
     both = {columns: value} if isinstance(columns, str) else columns
     return df.withColumns(
-        {n: c.column() if isinstance(c, Text) else c for n, c in both.items()}
+        {n: _kept_whole(c) if isinstance(c, Text) else c for n, c in both.items()}
     )
