@@ -2,6 +2,6 @@
 
 
 def registries():
-    from . import signals, traces
+    from . import fields, grids, signals, traces
 
-    return [signals.reg, traces.reg]
+    return [signals.reg, traces.reg, grids.reg, fields.reg]
