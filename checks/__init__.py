@@ -2,6 +2,6 @@
 
 
 def registries():
-    from . import fields, grids, signals, traces
+    from . import fields, grids, signals, stored, studies, traces
 
-    return [signals.reg, traces.reg, grids.reg, fields.reg]
+    return [signals.reg, traces.reg, grids.reg, fields.reg, stored.reg, studies.reg]

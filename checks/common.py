@@ -127,10 +127,13 @@ def model_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def model_traces(spark: SparkSession, sf_dir: str, variant: bool = False) -> DataFrame:
+def model_traces(
+    spark: SparkSession, sf_dir: str, variant: bool = False, halo: bool = False
+) -> DataFrame:
     """supplier as closed-form traces with ripple: (trace, v ARRAY, i ARRAY).
 
-    ``variant`` damages some traces so that each kind of rejection occurs.
+    ``variant`` damages some traces so that each kind of rejection occurs; ``halo``
+    adds hot electrons to every third one.
     """
     cores = spark.sparkContext.defaultParallelism
     p = model_parameters(spark, sf_dir).repartition(cores, "trace")
@@ -141,11 +144,15 @@ def model_traces(spark: SparkSession, sf_dir: str, variant: bool = False) -> Dat
     )
     noise = "(CASE WHEN trace % 11 = 8 THEN 0.0005D ELSE 0.000002D END)" if variant else "0.000002D"
     sign = "(CASE WHEN trace % 11 = 4 THEN -1D ELSE 1D END)" if variant else "1D"
+    extra = (
+        " + CASE WHEN trace % 3 = 1 THEN 0.05D * true_ies * exp(least(x - true_vp, 0D) / 20D) ELSE 0D END"
+        if halo else ""
+    )
     i = (
         "transform(v, (x, k) -> %s * (true_ies * CASE WHEN x <= true_vp THEN"
         " exp((x - true_vp) / true_te) ELSE 1D END"
         " - true_iis * CASE WHEN x <= true_vp THEN 1D ELSE exp(-(x - true_vp) / 0.2D) END)"
-        " + %s * sin(12.9898D * k + trace))" % (sign, noise)
+        " + %s * sin(12.9898D * k + trace)%s)" % (sign, noise, extra)
     )
     out = p.withColumn("v", F.expr(v)).withColumn("i", F.expr(i))
     if variant:
@@ -159,10 +166,14 @@ def model_traces(spark: SparkSession, sf_dir: str, variant: bool = False) -> Dat
     return out.select("trace", "v", "i")
 
 
-def model_sql(variant: bool = False) -> str:
+def model_sql(variant: bool = False, halo: bool = False) -> str:
     turn = "CASE WHEN trace % 11 = 5 THEN 2 * least(k, 1900 - k) ELSE k END" if variant else "k"
     noise = "(CASE WHEN trace % 11 = 8 THEN 0.0005::DOUBLE ELSE 0.000002::DOUBLE END)" if variant else "0.000002::DOUBLE"
     sign = "(CASE WHEN trace % 11 = 4 THEN -1::DOUBLE ELSE 1::DOUBLE END)" if variant else "1::DOUBLE"
+    extra = (
+        " + CASE WHEN trace % 3 = 1 THEN 0.05::DOUBLE * true_ies * exp(least(v - true_vp, 0) / 20::DOUBLE) ELSE 0 END"
+        if halo else ""
+    )
     keep = (
         "WHERE NOT (trace % 11 = 6 AND v > true_vp - 1 AND v < true_vp + 1.2::DOUBLE)"
         " AND NOT (trace % 11 = 7 AND v > true_vp + 0.3::DOUBLE)"
@@ -182,11 +193,22 @@ rawv AS (
 raw AS MATERIALIZED (
   SELECT trace, k, v, {sign} * (true_ies * CASE WHEN v <= true_vp THEN exp((v - true_vp) / true_te) ELSE 1 END
          - true_iis * CASE WHEN v <= true_vp THEN 1 ELSE exp(-(v - true_vp) / 0.2::DOUBLE) END)
-         + {noise} * sin(12.9898::DOUBLE * k + trace) AS i
+         + {noise} * sin(12.9898::DOUBLE * k + trace){extra} AS i
   FROM rawv {keep})
 """
 
 
+def shared_root(spark: SparkSession) -> str:
+    """A fresh folder every executor can reach, under spark.checkpoint.dir where that is set."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/rampfield-{uuid.uuid4().hex}"
+
+
 # --- grids and series ----------------------------------------------------------------
 
 

@@ -71,7 +71,7 @@ def compact_arrays(
         F.transform("_cells", lambda c: F.struct(c["iy"].alias("iy"), c["ix"].alias("ix"))).alias(
             "positions"
         ),
-        *[F.transform("_cells", lambda c, f=f: c[f]).alias(f) for f in fields],
+        *[F.col("_cells").getField(f).alias(f) for f in fields],
     )
 
 
