@@ -25,33 +25,25 @@ from ..params import (
 
 GRID = 49
 NARROW_POINTS = 9
-NARROW_ROUNDS = 4
-NEWTON_ROUNDS = 10
+NARROW_ROUNDS = 2
+NEWTON_ROUNDS = 20
+CONVERGED_LOG = 1e-13
 BOUNDARY_LOG = 0.01
 
 
 def _moments(s: Text, log_t: Text) -> Text:
     """Centred cross products of (x, e, y) with e = exp(x / T)."""
-    rate = X.exp(-log_t)
-    zero = X.struct(
-        *[X.lit(0.0).alias(n) for n in ("e", "ee", "ex", "ey")]
-    )
-    sums = X.aggregate(
-        X.zip_with(s.x, s.y, lambda a, b: X.struct(a.alias("x"), b.alias("y"))), zero,
-        lambda acc, p: let(
-            X.exp(p.x * rate),
-            lambda e: X.struct(
-                (acc.e + e).alias("e"), (acc.ee + e * e).alias("ee"),
-                (acc.ex + e * p.x).alias("ex"), (acc.ey + e * p.y).alias("ey"),
+    # Plain arrays of doubles are cheaper here than one fold over structs.
+    return let_struct(
+        lambda t: let_struct(
+            lambda u: X.struct(
+                (u.ee - u.te * u.te / s.n).alias("cee"), (u.ex - u.te * s.mx).alias("cex"),
+                (u.ey - u.te * s.my).alias("cey"), (u.te / s.n).alias("me"),
             ),
+            te=total(t.e), ee=X.aggregate(t.e, X.lit(0.0), lambda acc, e: acc + e * e),
+            ex=dot(t.e, s.x), ey=dot(t.e, s.y),
         ),
-    )
-    return let(
-        sums,
-        lambda m: X.struct(
-            (m.ee - m.e * m.e / s.n).alias("cee"), (m.ex - m.e * s.mx).alias("cex"),
-            (m.ey - m.e * s.my).alias("cey"), (m.e / s.n).alias("me"),
-        ),
+        e=let(X.exp(-log_t), lambda rate: X.transform(s.x, lambda x: X.exp(x * rate))),
     )
 
 
@@ -96,7 +88,8 @@ def prepare_windows(windows: DataFrame) -> DataFrame:
 
     def moments(s: Text) -> Text:
         return X.struct(
-            s.x.alias("x"), s.y.alias("y"), s.n.alias("n"), s.mx.alias("mx"), s.my.alias("my"),
+            s.x.alias("x"), s.y.alias("y"),
+            s.n.alias("n"), s.mx.alias("mx"), s.my.alias("my"),
             s.scale.alias("scale"), s.span.alias("span"),
             total(X.transform(s.x, lambda a: (a - s.mx) * (a - s.mx))).alias("cxx"),
             total(X.transform(s.y, lambda b: (b - s.my) * (b - s.my))).alias("cyy"),
@@ -177,16 +170,28 @@ def fit_windows(windows: DataFrame, lower_eV: float, upper_eV: float) -> DataFra
         ),
     )
 
-    def newton(s: Text, log_t: Text, b: Text) -> Text:
+    def newton(s: Text, state: Text, b: Text) -> Text:
         """One Gauss-Newton step on ln T with amplitude and line refitted."""
-        return let_struct(
-            lambda t: let(
-                _slope_terms(s, t.m, t.p, t.log_t),
-                lambda g: X.greatest(
-                    b.lo, X.least(b.hi, t.log_t + X.coalesce(X.try_divide(g.gr, g.gg), X.lit(0.0)))
+
+        def step(t: Text) -> Text:
+            return let(
+                let(
+                    _slope_terms(s, t.m, t.p, t.log_t),
+                    lambda g: X.greatest(
+                        b.lo,
+                        X.least(b.hi, t.log_t + X.coalesce(X.try_divide(g.gr, g.gg), X.lit(0.0))),
+                    ),
                 ),
-            ),
-            m=_moments(s, log_t), p=let(_moments(s, log_t), lambda m: _linear_part(s, m)), log_t=log_t,
+                lambda moved: X.struct(
+                    moved.alias("log_t"), (X.abs(moved - t.log_t) <= CONVERGED_LOG).alias("done")
+                ),
+            )
+
+        return X.when(state.done, state).otherwise(
+            let_struct(
+                lambda t: let_struct(step, m=t.m, log_t=t.log_t, p=_linear_part(s, t.m)),
+                m=_moments(s, state.log_t), log_t=state.log_t,
+            )
         )
 
     solved = put(
@@ -195,8 +200,9 @@ def fit_windows(windows: DataFrame, lower_eV: float, upper_eV: float) -> DataFra
             X.col("_w").is_set(),
             let_struct(
                 lambda s: X.aggregate(
-                    X.sequence(1, NEWTON_ROUNDS), (s.b.lo + s.b.hi) / 2,
-                    lambda log_t, _r: newton(s.w, log_t, s.b),
+                    X.sequence(1, NEWTON_ROUNDS),
+                    X.struct(((s.b.lo + s.b.hi) / 2).alias("log_t"), X.lit(False).alias("done")),
+                    lambda state, _r: newton(s.w, state, s.b), lambda state: state.log_t,
                 ),
                 w=X.col("_w"), b=X.col("_near"),
             ),
