@@ -209,6 +209,13 @@ def shared_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/rampfield-{uuid.uuid4().hex}"
 
 
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The frame read back from a table, so that several uses do not repeat its work."""
+    path = f"{shared_root(spark)}/table"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 # --- grids and series ----------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from rampfield.plans import trace as plan
 
 from .common import (
     LINE_SQL, MAP_SQL, MODEL, PROFILE_SQL, R, Registry, line_profile, line_values, map_cells,
-    model_traces, rounded,
+    model_traces, rounded, written,
 )
 from .traces import STAGES, TO_ELIG, cascade_sql, chain
 
@@ -72,7 +72,7 @@ SELECT place, printf('Reported %d/%d finite per-shot fits; accepted %d/%d per-sh
    || coalesce(printf('; top rejection (%d): %s', k, warning), '') AS status FROM n LEFT JOIN t USING (place)""",
 )
 def a3(spark, sf):
-    return A.status_line(fits(spark, sf), ["place"]).select("place", "status")
+    return A.status_line(written(spark, fits(spark, sf)), ["place"]).select("place", "status")
 
 
 @reg.add(

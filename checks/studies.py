@@ -12,7 +12,7 @@ from rampfield.operators import background as H
 from rampfield.params import BULK_WINDOW_WIDTHS_V
 from rampfield.plans import trace as plan
 
-from .common import AREA_M2, MODEL, R, Registry, model_parameters, model_sql, model_traces, rounded
+from .common import AREA_M2, MODEL, R, Registry, model_parameters, model_sql, model_traces, rounded, written
 from .traces import STAGES, TO_ELIG, TO_ION, TO_IES, chain, fit_sql
 
 reg = Registry()
@@ -189,7 +189,7 @@ NE = "{i} / (1.602176634e-19 * 4e-6 * sqrt({t} * 1.602176634e-19 / (2 * pi() * 9
 def v1(spark, sf):
     from rampfield.functions.physics import electron_density_m3
 
-    fits = plan.analyze_traces(model_traces(spark, sf), BOUNDED, ["trace"])
+    fits = written(spark, plan.analyze_traces(model_traces(spark, sf), BOUNDED, ["trace"]))
     p = put(
         model_parameters(spark, sf), "true_ne_m3", electron_density_m3(X.col("true_ies"), X.col("true_te"), AREA_M2)
     ).select("trace", F.col("true_te").alias("true_te_eV"), "true_ne_m3")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import SIGNAL_TO_NOISE
+from .keys import exact_quantiles
 
 
 def percent_errors(fits: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -22,16 +23,19 @@ def percent_errors(fits: DataFrame, truth: DataFrame, keys: Sequence[str]) -> Da
 
 def error_table(errors: DataFrame, groups: Sequence[str]) -> DataFrame:
     """V1: accepted count and 5/50/95 % quantiles of the errors of accepted fits."""
-    quantiles = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
-    measures = [F.count(F.lit(1)).alias("cases"), F.count_if("ok").alias("accepted")]
-    for name in ("te_error_percent", "ne_error_percent"):
-        measures.append(F.percentile(F.when(F.col("ok"), F.col(name)), quantiles).alias(name))
-    table = errors.groupBy(*groups).agg(*measures)
+    names = ("te_error_percent", "ne_error_percent")
+    accepted = errors.where("ok")
+    table = errors.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if("ok").alias("accepted")
+    )
+    for name in names:
+        quantiles = exact_quantiles(accepted, groups, name, (0.05, 0.5, 0.95), name)
+        table = table.join(quantiles, list(groups), "left")
     return table.select(
         *groups, "cases", "accepted",
         *[
             F.col(name)[i].alias(f"{name}_{label}")
-            for name in ("te_error_percent", "ne_error_percent")
+            for name in names
             for i, label in enumerate(("p05", "p50", "p95"))
         ],
     )

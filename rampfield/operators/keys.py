@@ -58,3 +58,59 @@ def position_in_group(
         .withColumn(out, (F.col("_offset") + F.col("_nth")).cast("bigint"))
         .drop("_bucket", "_offset", "_nth")
     )
+
+
+QUANTILE_BUCKETS = 256
+
+
+def exact_quantiles(
+    rows: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], out: str
+) -> DataFrame:
+    """Exact interpolated quantiles of each key as an array, without gathering a key.
+
+    Equal values are counted first.  A mergeable sketch only proposes cut points
+    that split each key into buckets of similar size; exact bucket counts then
+    tell which buckets hold the wanted ranks, and only those are sorted.
+    """
+    keys = list(keys)
+    counted = (
+        rows.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    shares = F.array(*[F.lit(k / QUANTILE_BUCKETS) for k in range(1, QUANTILE_BUCKETS)])
+    cuts = counted.groupBy(*keys).agg(
+        F.percentile_approx("_value", shares, F.lit(10000)).alias("_cuts"), F.sum("_c").alias("_n")
+    )
+    placed = attach_by_key(counted, cuts, keys).select(
+        *keys, "_value", "_c", "_n",
+        F.expr("size(filter(_cuts, x -> x <= _value))").alias("_bucket"),
+    )
+    ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = placed.groupBy(*keys, "_bucket", "_n").agg(F.sum("_c").alias("_held")).withColumn(
+        "_start", F.coalesce(F.sum("_held").over(ahead), F.lit(0))
+    )
+    ranks = [(p * (F.col("_n") - 1)) for p in probabilities]
+    wanted = [edge(r) for r in ranks for edge in (F.floor, F.ceil)]
+    holds = F.lit(False)
+    for rank in wanted:
+        holds = holds | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_held")))
+    chosen = buckets.where(holds).select(*keys, "_bucket", "_start")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    ranked = placed.join(chosen, [*keys, "_bucket"]).withColumn(
+        "_first", F.col("_start") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
+    )
+    at_rank = lambda rank: F.max(
+        F.when((rank >= F.col("_first")) & (rank < F.col("_first") + F.col("_c")), F.col("_value"))
+    )
+    parts = ranked.groupBy(*keys, "_n").agg(
+        *[at_rank(F.floor(r)).alias(f"_lo{i}") for i, r in enumerate(ranks)],
+        *[at_rank(F.ceil(r)).alias(f"_hi{i}") for i, r in enumerate(ranks)],
+    )
+    blended = [
+        F.col(f"_lo{i}") + (r - F.floor(r)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
+        for i, r in enumerate(ranks)
+    ]
+    return parts.select(*keys, F.array(*blended).alias(out))
