@@ -15,7 +15,7 @@ from ..operators.spatial import process_line, process_map, reported_version
 from ..operators.sweep import pool_shots
 from ..params import ScanParams
 from ..sources.results import write_table
-from ..sources.shots import channel_check, paired_ramps, position_grid, require_complete
+from ..sources.shots import channel_check, on_grid, paired_ramps, require_complete
 from .trace import analyze_traces
 
 RAMP = ["run", "iy", "ix", "iramp"]
@@ -33,13 +33,11 @@ def scan_fits(raw_shots: DataFrame, scan: ScanParams, with_grids: bool = True) -
     return analyze_traces(traces, scan.fit, SHOT, with_grids)
 
 
-def scan_profiles(
-    fits: DataFrame, isat: DataFrame, grid: DataFrame, scan: ScanParams
-) -> DataFrame:
+def scan_profiles(fits: DataFrame, isat: DataFrame, scan: ScanParams) -> DataFrame:
     """Profiles on the dense grid: shot statistics, cleaning, reported version, calibration."""
     means = profiles(fits, RAMP)
     runs = means.select("run", "iramp").distinct()
-    dense = _dense(runs, grid).join(means, RAMP, "left").join(isat, RAMP, "left")
+    dense = on_grid(runs, scan).join(means, RAMP, "left").join(isat, RAMP, "left")
     by = ["run", "iramp"]
     options = {
         "reject": scan.enable_spike_rejection, "spike_half_window": scan.spike_half_window,
@@ -63,20 +61,6 @@ def scan_profiles(
     return ramp_times(cleaned, scan).withColumn("geometry", F.lit(scan.geometry))
 
 
-def _dense(runs: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every grid cell for every (run, ramp).
-
-    The scan's cells are few and fixed by the acquisition, so each run carries
-    them as one array and unfolds it; no cross join is needed.
-    """
-    cells = grid.agg(F.sort_array(F.collect_list(F.struct("iy", "ix", "x_cm", "y_cm"))).alias("cells"))
-    one = cells.withColumn("_one", F.lit(1))
-    return (
-        runs.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
-        .select("run", "iramp", F.explode("cells").alias("_c")).select("run", "iramp", "_c.*")
-    )
-
-
 def scan_isat(ramps: DataFrame, scan: ScanParams) -> DataFrame:
     """P6 with A1: mean and deviation of the Isat window over shots."""
     out = shot_statistics(isat_mean(ramps, scan), RAMP, {"isat_A": "isat_A"})
@@ -119,9 +103,7 @@ def run_scan(spark: SparkSession, raw_shots: DataFrame, scan: ScanParams, root:
         .join(runs_here, "run", "left_semi")
     )
     ramps = paired_ramps(raw_shots, scan)
-    cleaned = scan_profiles(
-        fits, scan_isat(ramps, scan), position_grid(spark, scan), scan
-    )
+    cleaned = scan_profiles(fits, scan_isat(ramps, scan), scan)
     write_table(cleaned, root, "profiles")
     done = spark.read.parquet(f"{root}/profiles").where(F.col("geometry") == scan.geometry)
     write_table(
