@@ -121,7 +121,8 @@ def sweep_direction_of_samples(
     """
     keys = list(keys)
     usable = samples.where(clean(X.col(v)).column().isNotNull()).withColumn("_v", clean(X.col(v)).column())
-    ranked = position_in_group(usable, keys, order, bucket, "_k")
+    numbered = position_in_group(usable, keys, order, bucket, "_k")
+    ranked = numbered.select(*keys, "_v", "_k")
     size = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), (F.max("_v") - F.min("_v")).alias("_span")
     )
