@@ -92,3 +92,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_groups
+
+    return similar_groups(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first").alias("component_id")
+    )
