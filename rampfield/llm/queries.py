@@ -101,3 +101,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first").alias("component_id")
     )
+
+
+@query("op5_suffix_array_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import drop_repeats
+
+    return drop_repeats(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
