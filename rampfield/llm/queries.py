@@ -110,3 +110,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
     )
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+
+@query("op3_warc_segments", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .storage import shared_folder
+    from .warc import page_digests, read_archives, write_archives
+
+    path = shared_folder(spark)
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return page_digests(read_archives(spark, path)).drop("error")
