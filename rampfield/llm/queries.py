@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return page_digests(read_archives(spark, path)).drop("error")
+
+
+def held_out(column: str) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity, train
+
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out("doc_id"))
+    model = train(docs, labels)
+    scored = toxicity(docs, model).select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
