@@ -140,8 +140,10 @@ def drop_repeated_lines(
     runs = LineRuns(fanout)
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b))
+    # a table of its own, so that the join below reads plain exchanges and can split a hot line
+    repeated = stored(runs.repeated(min_docs))
     going = (
-        lines.join(runs.repeated(min_docs), KEY)
+        lines.join(repeated, KEY)
         .filter(~F.col("id").eqNullSafe(F.col("last")))
         .groupBy("k1", "k2", "id").agg(F.collect_set("pos").alias("drop"))
         .withColumnRenamed("id", "drop_id")
