@@ -146,3 +146,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, labels)
     scored = toxicity(docs, model).select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op7_quality_outliers")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(documents(spark, sf_dir, "lang", "source")).withColumnRenamed("id", "doc_id").drop("distance")
