@@ -153,3 +153,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
     return quality(documents(spark, sf_dir, "lang", "source")).withColumnRenamed("id", "doc_id").drop("distance")
+
+
+@query("op10_sentencepiece_nbest")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_nbest import encoded_digests
+
+    return encoded_digests(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
