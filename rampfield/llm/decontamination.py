@@ -213,7 +213,8 @@ def contamination(
         every.select("k1", "k2", "terms").distinct().join(items, "terms")
         .groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
-    result = spans.join(listed, ["k1", "k2"], "left")
+    # a table of its own, so that the join below reads plain exchanges and can split copies of one text
+    result = stored(spans.join(listed, ["k1", "k2"], "left"))
     return base.select("id", "k1", "k2", "n_words").join(result, ["k1", "k2"], "left").select(
         "id", "k1", "k2", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
