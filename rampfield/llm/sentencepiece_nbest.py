@@ -1,7 +1,7 @@
 """N-best segmentation into the pieces of a SentencePiece model, and decoding.
 
-A text, with a space put before it, becomes segments that no piece crosses: a run of spaces
-with the characters up to the next space. The pieces that fit into a segment form a lattice. Forward Viterbi scores give
+A text, with a space put before it, is cut between characters that stand side by side in no
+piece, so that no piece crosses a cut. The pieces that fit into a segment form a lattice. Forward Viterbi scores give
 for every place the best score of any path to it; a backward A* search from the end uses
 them as exact heuristics, so complete paths leave its queue in order of their score. The
 best segmentations of a text are the best sums over its segments, found the same way.
@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from .storage import packed
 
 SPACE = "▁"
-SEGMENT = re.compile(r" +[^ ]*|[^ ]+")
 #: longer segments are not remembered
 REMEMBERED = 64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -31,18 +29,29 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces with packed ids and scores; ``byte`` are the ids of the 256 byte pieces, ``unknown`` their score."""
+    """Pieces, with spaces for the space marks.
 
-    pieces: dict[str, tuple[bytes, float]]
+    ``starts`` maps every piece to its packed id and score, and what only begins a piece to
+    None. ``kinds`` numbers the characters of pieces, 0 for all others; ``links`` says which
+    kinds stand side by side in a piece. ``byte`` are the ids of the 256 byte pieces.
+    """
+
+    starts: dict[str, tuple[bytes, float] | None]
+    kinds: np.ndarray
+    links: np.ndarray
     byte: tuple[int, ...]
     unknown: float
-    longest: int
 
     def spelled(self, character: str) -> tuple[bytes, float]:
         """A character as byte pieces."""
         raw = character.encode("utf-8", "surrogatepass")
         return packed_ids([self.byte[x] for x in raw]), self.unknown * len(raw)
 
+    def segments(self, text: str) -> list[str]:
+        kinds = self.kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        cuts = [0, *(np.flatnonzero(~self.links[kinds[:-1], kinds[1:]]) + 1).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
 
 def load_vocabulary(data: bytes, scores: str = "rank") -> Vocabulary:
     """From the bytes of a model file.
@@ -58,40 +67,58 @@ def load_vocabulary(data: bytes, scores: str = "rank") -> Vocabulary:
         if model.is_byte(k):
             byte[int(model.id_to_piece(k)[3:5], 16)] = k
         elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
-            usable.append((model.id_to_piece(k), k, model.get_score(k)))
+            # a mark in a text is no space: it has no piece and is written as bytes
+            usable.append((model.id_to_piece(k).replace(SPACE, " "), k, model.get_score(k)))
     usable.sort(key=lambda p: (-p[2], p[1]))
     if scores == "rank":
         usable = [(p, k, -math.log(2 + r)) for r, (p, k, _) in enumerate(usable)]
     elif scores != "model":
         raise ValueError("scores must be 'rank' or 'model'")
     worst = min((s for *_, s in usable), default=0.0)
-    return Vocabulary({p: (packed_ids([k]), s) for p, k, s in usable}, tuple(byte), worst - 10.0, max(len(p) for p, *_ in usable))
+    starts: dict[str, tuple[bytes, float] | None] = {}
+    for p, *_ in usable:
+        starts.update((p[:k], None) for k in range(1, len(p)))
+    starts |= {p: (packed_ids([k]), s) for p, k, s in usable}
+    characters = sorted({c for p, *_ in usable for c in p})
+    kinds = np.zeros(0x110000, np.uint16)
+    kinds[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
+    links = np.zeros((len(characters) + 1, len(characters) + 1), bool)
+    for p, *_ in usable:
+        for x, y in zip(p, p[1:]):
+            links[kinds[ord(x)], kinds[ord(y)]] = True
+    return Vocabulary(starts, kinds, links, tuple(byte), worst - 10.0)
 
 
 def packed_ids(ids) -> bytes:
     return np.array(ids, "<i4").tobytes()
 
 
+_NOTHING = ()
+
+
 class Lattice:
-    """Segmentations of a segment whose spaces are marks already."""
+    """Segmentations of a segment."""
 
     def __init__(self, segment: str, words: Vocabulary) -> None:
         n = len(segment)
         #: edges by end: (start, packed ids, score); a place that no piece covers falls back to bytes
         self.into: list[list[tuple[int, bytes, float]]] = [[] for _ in range(n + 1)]
-        find, longest, into = words.pieces.get, words.longest, self.into
+        find, into = words.starts.get, self.into
+        best = self.best = [0.0] + [-math.inf] * n
         for a in range(n):
-            alone = False
-            for b in range(a + 1, min(n, a + longest) + 1):
-                found = find(segment[a:b])
+            here = best[a]
+            for b in range(a + 1, n + 1):
+                found = find(segment[a:b], _NOTHING)
+                if found is _NOTHING:
+                    break
                 if found is not None:
-                    into[b].append((a, found[0], found[1]))
-                    alone = alone or b == a + 1
-            if not alone:
-                into[a + 1].append((a, *words.spelled(segment[a])))
-        best = self.best = [0.0] + [-math.inf] * n
-        for b in range(1, n + 1):
-            best[b] = max([best[a] + s for a, _, s in into[b]])
+                    into[b].append((a, *found))
+                    if here + found[1] > best[b]:
+                        best[b] = here + found[1]
+            if not into[a + 1] or into[a + 1][-1][0] != a:
+                ids, score = words.spelled(segment[a])
+                into[a + 1].append((a, ids, score))
+                best[a + 1] = max(best[a + 1], here + score)
 
     def n_best(self, n: int) -> list[tuple[float, bytes]]:
         """Up to n segmentations by falling score; of equal ones the first found."""
@@ -130,21 +157,12 @@ class Segment:
 class Encoder:
     """Encodes texts; segments met before are looked up, up to ``remember`` of them."""
 
-    def __init__(self, words: Vocabulary, n: int, remember: int = 200_000) -> None:
+    def __init__(self, words: Vocabulary, n: int, remember: int = 400_000) -> None:
         self.words, self.n, self.remember = words, n, remember
         self.known: dict[str, Segment] = {}
 
     def segment(self, part: str) -> Segment:
-        if SPACE in part:
-            # a mark in the text itself is no space: it is written as bytes
-            ids, score = self.words.spelled(SPACE)
-            pieces = [
-                [(score, ids)] if x == SPACE else Lattice(x.replace(" ", SPACE), self.words).n_best(self.n)
-                for x in re.split(f"({SPACE})", part) if x
-            ]
-            new = Segment.of([(s, b"".join(p)) for s, p in best_sums([Segment.of(x) for x in pieces], self.n)])
-        else:
-            new = Segment.of(Lattice(part.replace(" ", SPACE), self.words).n_best(self.n))
+        new = Segment.of(Lattice(part, self.words).n_best(self.n))
         if len(part) <= REMEMBERED:
             if len(self.known) >= self.remember:
                 self.known.clear()
@@ -156,13 +174,13 @@ class Encoder:
         if not text:
             return [(0.0, b"")]
         find = self.known.get
-        parts = [find(p) or self.segment(p) for p in SEGMENT.findall(" " + text)]
+        parts = [find(p) or self.segment(p) for p in self.words.segments(" " + text)]
         return [(s, b"".join(path)) for s, path in best_sums(parts, self.n)]
 
 
 class Decoder:
     def __init__(self, words: Vocabulary) -> None:
-        self.pieces = {int(np.frombuffer(i, "<i4")[0]): p.replace(SPACE, " ").encode() for p, (i, _) in words.pieces.items()}
+        self.pieces = {int(np.frombuffer(x[0], "<i4")[0]): p.encode() for p, x in words.starts.items() if x is not None}
         self.pieces |= {k: bytes([b]) for b, k in enumerate(words.byte)}
 
     def text(self, ids) -> str:
