@@ -160,3 +160,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_nbest import encoded_digests
 
     return encoded_digests(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op1_html_extraction")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import visible_text
+
+    return visible_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("id", "page_id")
