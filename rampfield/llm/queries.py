@@ -167,3 +167,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import visible_text
 
     return visible_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("id", "page_id")
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import licences
+
+    found = licences(documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"), F.array_join("families", ",").alias("families"),
+        F.coalesce(F.size("found"), F.lit(0)).alias("n_found"),
+    )
