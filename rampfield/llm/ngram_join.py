@@ -136,7 +136,7 @@ def _outside(tokens: DataFrame, percent: int, sizes: DataFrame) -> DataFrame:
 def cross_links(sets: DataFrame, percent: int, low_share: float) -> DataFrame:
     """(a, b): links that join all components of ``sets`` (sid, n, tokens, comp, leader) that have any.
 
-    For every set, group and pair of components it returns at least one link where there is one.
+    For every group it returns links that join all components which links of its members join.
     """
     limit = int(low_share * 2**64) - 2**64 * (low_share >= 0.5)
     # tokens are unsigned: those with the top bit set are negative here
@@ -208,9 +208,21 @@ def cross_links(sets: DataFrame, percent: int, low_share: float) -> DataFrame:
 
 
 def open_group(members, queries, percent: int):
-    """One link for each query and component of the group's members that it is linked to."""
+    """Links between queries and members that join all components which any of their links joins.
+
+    A link whose ends are joined by earlier ones is not needed; so there are fewer links than
+    members and queries together.
+    """
     import pyarrow as pa
 
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = parent.get(up, up)
+            c = up
+        return c
+
     def flat(table, mark=""):
         lists = table[f"{mark}tokens"].combine_chunks()
         columns = [table[mark + c].to_numpy() for c in ("sid", "n", "weight", "comp")]
@@ -238,8 +250,13 @@ def open_group(members, queries, percent: int):
             larger = (weight > qweight[k]) | ((weight == qweight[k]) & (comp > qcomp[k]))
             hit = np.flatnonzero(larger & (100 * common >= percent * (n + size - common)))
             hit = hit[np.unique(comp[hit], return_index=True)[1]]
-            out_a += [int(qsid[k])] * len(hit)
-            out_b += sid[hit].tolist()
+            mine = root(int(qcomp[k]))
+            for m in hit.tolist():
+                other = root(int(comp[m]))
+                if other != mine:
+                    parent[other] = mine
+                    out_a.append(int(qsid[k]))
+                    out_b.append(int(sid[m]))
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
@@ -278,7 +295,8 @@ def similar_groups(
         "id", "k1", "k2", "n", F.when(F.col("n") > 0, F.coalesce("comp", "sid")).alias("comp")
     )
     placed = stored(placed)
-    firsts = placed.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("first"))
+    # a table of its own, so that the join can split a large component
+    firsts = stored(placed.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("first")))
     return placed.join(firsts, "comp", "left").select(
         "id", "k1", "k2", "n", "comp", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("first")).alias("first")
     )
