@@ -54,35 +54,40 @@ SIGNAL_SCAN = ScanParams(
     dc_start=0, dc_end=5, isat_start=2, isat_end=6, sg_window=6, sg_order=2,
 )
 
+SIGNAL_SHOTS = SIGNAL_SCAN.last_shot
+
 
 def raw_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as raw shots: even vectors are voltages, odd ones currents of the same shot."""
-    e = table(spark, sf_dir, "embeddings")
+    """embeddings as raw shots: even vectors are voltages, odd ones currents of the same shot.
+
+    A thousand shots make a run, so that every vector belongs to a scan.
+    """
+    e = table(spark, sf_dir, "embeddings").withColumn("shot", F.floor(F.col("vec_id") / 2))
     return e.select(
-        F.lit("e").alias("run"), F.lit(1).alias("board"),
-        (F.col("vec_id") % 2).cast("int").alias("channel"),
-        (F.floor(F.col("vec_id") / 2) + 1).cast("bigint").alias("shotnum"),
+        F.concat(F.lit("e"), F.floor(F.col("shot") / SIGNAL_SHOTS).cast("string")).alias("run"),
+        F.lit(1).alias("board"), (F.col("vec_id") % 2).cast("int").alias("channel"),
+        (F.col("shot") % SIGNAL_SHOTS + 1).cast("bigint").alias("shotnum"),
         F.col("embedding").alias("signal"), F.lit(1e-6).alias("dt_s"),
     )
 
 
 SIGNAL_SQL = """
 shots AS MATERIALIZED (
-  SELECT vec_id % 2 AS channel, vec_id // 2 + 1 AS shotnum,
+  SELECT vec_id % 2 AS channel, 'e' || (vec_id // 2 // 1000) AS run, vec_id // 2 % 1000 + 1 AS shotnum,
          list_transform(embedding, lambda x: x::DOUBLE) AS y FROM embeddings),
 pos AS (
   SELECT *, (shotnum - 1) % 2 AS ishot, ((shotnum - 1) // 2) % 5 AS ix,
          99 - (shotnum - 1) // 10 AS iy FROM shots),
-volts AS (SELECT shotnum, iy, ix, ishot, list_transform(y, lambda x: x * 100.0::DOUBLE) AS v
+volts AS (SELECT run, shotnum, iy, ix, ishot, list_transform(y, lambda x: x * 100.0::DOUBLE) AS v
           FROM pos WHERE channel = 0),
-amps0 AS (SELECT shotnum, list_transform(y, lambda x: x * -0.5::DOUBLE) AS i FROM pos WHERE channel = 1),
-amps AS (SELECT shotnum, i, list_avg(i[1:6]) AS dc FROM amps0),
+amps0 AS (SELECT run, shotnum, list_transform(y, lambda x: x * -0.5::DOUBLE) AS i FROM pos WHERE channel = 1),
+amps AS (SELECT run, shotnum, i, list_avg(i[1:6]) AS dc FROM amps0),
 ramps AS MATERIALIZED (
-  SELECT shotnum, iy, ix, ishot, r::BIGINT AS iramp, v[8 + r * 16 + 1 : 8 + r * 16 + 12] AS v,
+  SELECT run, shotnum, iy, ix, ishot, r::BIGINT AS iramp, v[8 + r * 16 + 1 : 8 + r * 16 + 12] AS v,
          list_transform(i[8 + r * 16 + 1 : 8 + r * 16 + 12], lambda x: x - dc) AS i, dc
-  FROM volts JOIN amps USING (shotnum), range(3) t(r)),
+  FROM volts JOIN amps USING (run, shotnum), range(3) t(r)),
 samples AS (
-  SELECT shotnum, iy, ix, ishot, iramp, k::BIGINT AS k, v[k + 1] AS v, i[k + 1] AS i
+  SELECT run, shotnum, iy, ix, ishot, iramp, k::BIGINT AS k, v[k + 1] AS v, i[k + 1] AS i
   FROM ramps, range(12) t(k))
 """
 
@@ -199,23 +204,13 @@ raw AS MATERIALIZED (
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A fresh folder every executor can reach, under spark.checkpoint.dir where that is set."""
-    import tempfile
+    """A fresh folder that every executor can reach: under spark.checkpoint.dir, or else the warehouse."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/rampfield-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """The frame read back from a table, so that several uses do not repeat its work."""
-    path = f"{shared_root(spark)}/table"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 # --- grids and series ----------------------------------------------------------------
 
 

@@ -211,7 +211,8 @@ def src7(spark, sf):
 @reg.add(
     "SRC7_channel_agreement",
     f"""SELECT o_custkey AS pair, max(CASE WHEN o_orderkey % 2 = 0 THEN 64 + o_orderkey % 3 END)::BIGINT AS v_nt,
-  CASE WHEN max(CASE WHEN o_orderkey % 2 = 0 THEN 64 + o_orderkey % 3 END) IS NULL OR max(CASE WHEN o_orderkey % 2 = 1 THEN 64 + o_orderkey % 3 END) IS NULL THEN 'missing trace length'
+  CASE WHEN greatest(count(*) FILTER (o_orderkey % 2 = 0), count(*) FILTER (o_orderkey % 2 = 1)) > 1 THEN 'several entries of a channel'
+       WHEN max(CASE WHEN o_orderkey % 2 = 0 THEN 64 + o_orderkey % 3 END) IS NULL OR max(CASE WHEN o_orderkey % 2 = 1 THEN 64 + o_orderkey % 3 END) IS NULL THEN 'missing trace length'
        WHEN max(CASE WHEN o_orderkey % 2 = 0 THEN 64 + o_orderkey % 3 END) <> max(CASE WHEN o_orderkey % 2 = 1 THEN 64 + o_orderkey % 3 END) THEN 'different trace lengths'
        WHEN max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 END) <> max(CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey % 4 - 1 END) THEN 'different sample intervals' END AS violation
   FROM orders GROUP BY o_custkey""",
@@ -228,7 +229,8 @@ def src7_agreement(spark, sf):
 
 @reg.add(
     "SRC7_resolved_interval",
-    f"""SELECT o_custkey AS pair, CASE WHEN count(DISTINCT o_orderkey % 2) < 2 THEN 'missing trace length'
+    f"""SELECT o_custkey AS pair, CASE WHEN greatest(count(*) FILTER (o_orderkey % 2 = 0), count(*) FILTER (o_orderkey % 2 = 1)) > 1 THEN 'several entries of a channel'
+       WHEN count(DISTINCT o_orderkey % 2) < 2 THEN 'missing trace length'
    WHEN max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 END) <> max(CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey % 4 - 1 END) THEN 'different sample intervals'
    WHEN max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 END) <> 2 THEN 'voltage interval changed' END AS violation FROM orders GROUP BY o_custkey""",
 )

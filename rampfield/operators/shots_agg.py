@@ -111,20 +111,13 @@ def status_line(fits: DataFrame, keys: Sequence[str] = (), averaged: bool = Fals
         F.count(F.lit(1)).alias("n"), F.count("te_eV").alias("reported"),
         F.count_if("ok").alias("accepted"),
     )
-    best = F.min_by("reason", F.struct(-F.col("n"), F.col("reason"))).alias("top_reason")
-    rejected = counted.where("reason is not null").groupBy(*keys).agg(
-        best, F.max("n").alias("top_count")
+    ranked = F.when(F.col("reason").isNotNull(), F.struct(-F.col("n"), F.col("reason")))
+    joined = counted.groupBy(*keys).agg(
+        F.sum("n").alias("traces"), F.sum("reported").alias("reported"), F.sum("accepted").alias("accepted"),
+        F.min_by("reason", ranked).alias("top_reason"),
+        F.max(F.when(F.col("reason").isNotNull(), F.col("n"))).alias("top_count"),
     )
-    totals = counted.groupBy(*keys).agg(
-        F.sum("n").alias("traces"), F.sum("reported").alias("reported"),
-        F.sum("accepted").alias("accepted"),
-    )
-    if keys:
-        joined = totals.join(rejected, list(keys), "left")
-    else:
-        joined = totals.withColumn("_one", F.lit(1)).join(
-            rejected.withColumn("_one", F.lit(1)), "_one", "left"
-        ).drop("_one")
+    # Texts that readers of the stored status look for.
     kind = "shot-averaged fits" if averaged else "per-shot fits"
     text = F.format_string(
         f"Reported %d/%d finite {kind}; accepted %d/%d {kind}",
@@ -156,6 +149,7 @@ def representative_curves(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def statistics_label(mode: str, nshots: Column | int) -> tuple[Column, Column]:
     """A5: (available, stage) of the per-shot statistics of a run."""
+    # The labels are stored with a run.
     if mode not in ("individual", "average"):
         raise ValueError(f"Unknown shot analysis mode {mode!r}.")
     if mode == "average":

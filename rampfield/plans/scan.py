@@ -15,7 +15,9 @@ from ..operators.spatial import process_line, process_map, reported_version
 from ..operators.sweep import pool_shots
 from ..params import ScanParams
 from ..sources.results import write_table
-from ..sources.shots import channel_check, on_grid, paired_ramps, require_complete
+from ..sources.shots import (
+    channel_check, interval_check, on_grid, paired_ramps, require_complete,
+)
 from .trace import analyze_traces
 
 RAMP = ["run", "iy", "ix", "iramp"]
@@ -95,6 +97,7 @@ def run_scan(spark: SparkSession, raw_shots: DataFrame, scan: ScanParams, root:
     """
     for channel in (scan.voltage_channel, scan.current_channel):
         require_complete(channel_check(raw_shots, scan, channel))
+    require_complete(interval_check(raw_shots, scan))
     geometry = F.lit(scan.geometry)
     write_table(scan_fits(raw_shots, scan).withColumn("geometry", geometry), root, "fits")
     runs_here = raw_shots.select("run").distinct()
@@ -112,6 +115,6 @@ def run_scan(spark: SparkSession, raw_shots: DataFrame, scan: ScanParams, root:
     smoothed = smooth_in_time(ramps, scan.sg_window, scan.sg_order)
     waves = shot_mean_waveforms(smoothed, RAMP, scan.dt_s)
     write_table(waves.withColumn("geometry", geometry), root, "waveforms")
-    settings = run_settings(scan)
-    runs = done.select("run").distinct().withColumns(settings)
-    write_table(runs, root, "runs")
+    # only the runs of this call: those stored earlier keep their settings
+    done = done.join(runs_here, "run", "left_semi")
+    write_table(done.select("run").distinct().withColumns(run_settings(scan)), root, "runs")

@@ -50,11 +50,6 @@ def write_table(df: DataFrame, root: str, table: str) -> None:
     )
 
 
-def write_results(products: dict[str, DataFrame], root: str) -> None:
-    for table, df in products.items():
-        write_table(df, root, table)
-
-
 def compact_arrays(
     profiles: DataFrame, keys: Sequence[str], fields: Sequence[str]
 ) -> DataFrame:

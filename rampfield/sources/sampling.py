@@ -53,7 +53,7 @@ def intervals_from_axis(
     )
 
 
-def _close(a: Column, b: Column) -> Column:
+def close_intervals(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.greatest(
         INTERVAL_RTOL * F.greatest(F.abs(a), F.abs(b)), F.lit(INTERVAL_ATOL)
     )
@@ -64,17 +64,21 @@ def channel_agreement(
 ) -> DataFrame:
     """SRC7: compares voltage and current channel; one row per key with the violation."""
     pick = lambda c, name: F.max(F.when(F.col("channel") == c, F.col(name)))
+    entries = lambda c: F.count_if(F.col("channel") == c)
     pair = channels.groupBy(*keys).agg(
+        F.greatest(entries(voltage_channel), entries(current_channel)).alias("_entries"),
         pick(voltage_channel, "nt").alias("v_nt"), pick(current_channel, "nt").alias("i_nt"),
         pick(voltage_channel, "dt_s").alias("v_dt_s"), pick(current_channel, "dt_s").alias("i_dt_s"),
     )
     return pair.withColumn(
         "violation",
-        F.when(F.col("v_nt").isNull() | F.col("i_nt").isNull(), F.lit("missing trace length"))
+        F.when(F.col("_entries") > 1, F.lit("several entries of a channel"))
+        .when(F.col("v_nt").isNull() | F.col("i_nt").isNull(), F.lit("missing trace length"))
         .when(F.col("v_dt_s").isNull() | F.col("i_dt_s").isNull(), F.lit("missing sample interval"))
+        .when(F.least("v_nt", "i_nt") < 2, F.lit("fewer than two samples"))
         .when(F.col("v_nt") != F.col("i_nt"), F.lit("different trace lengths"))
-        .when(~_close(F.col("v_dt_s"), F.col("i_dt_s")), F.lit("different sample intervals")),
-    )
+        .when(~close_intervals(F.col("v_dt_s"), F.col("i_dt_s")), F.lit("different sample intervals")),
+    ).drop("_entries")
 
 
 def resolve_interval(
@@ -88,12 +92,12 @@ def resolve_interval(
     fixed = F.lit(float(configured_dt_s))
     conflict = F.lit(None).cast("string")
     differs = F.when(
-        ~_close(F.col("v_dt_s"), F.col("i_dt_s")), F.lit("different sample intervals")
+        ~close_intervals(F.col("v_dt_s"), F.col("i_dt_s")), F.lit("different sample intervals")
     )
     if source == "hdf5":
         conflict = F.when(
-            ~_close(fixed, F.col("v_dt_s")), F.lit("voltage interval changed")
-        ).when(~_close(fixed, F.col("i_dt_s")), F.lit("current interval changed"))
+            ~close_intervals(fixed, F.col("v_dt_s")), F.lit("voltage interval changed")
+        ).when(~close_intervals(fixed, F.col("i_dt_s")), F.lit("current interval changed"))
     return agreement.withColumn("violation", F.coalesce("violation", differs, conflict)).withColumn(
         "dt_s", F.when(F.col("violation").isNull(), fixed)
     )

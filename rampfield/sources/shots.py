@@ -44,26 +44,50 @@ def channel_shots(raw_shots: DataFrame, scan: ScanParams, channel: int) -> DataF
 def channel_check(raw_shots: DataFrame, scan: ScanParams, channel: int) -> DataFrame:
     """One row per run: shots found, shortest and longest trace, and the violation if any."""
     expected = scan.last_shot - scan.first_shot + 1
-    found = (
-        raw_shots.where(
-            (F.col("board") == scan.board)
-            & (F.col("channel") == channel)
-            & F.col("shotnum").between(scan.first_shot, scan.last_shot)
-        )
-        .groupBy("run")
-        .agg(
-            F.count(F.lit(1)).alias("n_shots"),
-            F.min(F.size("signal")).cast("bigint").alias("min_nt"),
-            F.max(F.size("signal")).cast("bigint").alias("max_nt"),
-        )
+    own = (
+        (F.col("board") == scan.board) & (F.col("channel") == channel)
+        & F.col("shotnum").between(scan.first_shot, scan.last_shot)
+    )
+    length = F.size("signal")
+    # every run has a row, so a run without the channel is found too
+    found = raw_shots.groupBy("run").agg(
+        F.count_if(own).alias("n_shots"),
+        F.count_distinct(F.when(own, F.col("shotnum"))).alias("_distinct"),
+        F.min(F.when(own, length)).cast("bigint").alias("min_nt"),
+        F.max(F.when(own, length)).cast("bigint").alias("max_nt"),
     )
     return found.withColumn(
         "violation",
-        F.when(F.col("n_shots") != expected, F.lit("shot count mismatch")).when(
+        F.when(F.col("n_shots") == 0, F.lit("channel absent"))
+        .when(F.col("n_shots") != F.col("_distinct"), F.lit("shots stored twice"))
+        .when(F.col("n_shots") != expected, F.lit("shot count mismatch"))
+        .when(
             (F.col("min_nt") != scan.nt_full) | (F.col("max_nt") != scan.nt_full),
             F.lit("time-length mismatch"),
         ),
-    )
+    ).drop("_distinct")
+
+
+def interval_check(raw_shots: DataFrame, scan: ScanParams) -> DataFrame:
+    """SRC7 for a scan: one row per run with the violation of its sample intervals, if any.
+
+    Both channels must agree; with stored timing they must also exist and match the setting.
+    """
+    from .sampling import close_intervals
+
+    def of(channel: int, name: str) -> list[Column]:
+        dt = F.when((F.col("board") == scan.board) & (F.col("channel") == channel), F.col("dt_s"))
+        return [F.min(dt).alias(f"{name}_low"), F.max(dt).alias(f"{name}_high")]
+
+    found = raw_shots.groupBy("run").agg(*of(scan.voltage_channel, "v"), *of(scan.current_channel, "i"))
+    low, high = F.least("v_low", "i_low"), F.greatest("v_high", "i_high")
+    violation = F.when(~close_intervals(low, high), F.lit("different sample intervals"))
+    if scan.timing_source == "hdf5":
+        absent = F.col("v_low").isNull() | F.col("i_low").isNull()
+        violation = F.when(absent, F.lit("missing sample interval")).otherwise(
+            F.coalesce(violation, F.when(~close_intervals(low, F.lit(float(scan.dt_s))), F.lit("sample interval changed")))
+        )
+    return found.select("run", violation.alias("violation"))
 
 
 def require_complete(check: DataFrame) -> None:
@@ -77,8 +101,13 @@ def require_complete(check: DataFrame) -> None:
 
 
 def with_position(shots: DataFrame, scan: ScanParams) -> DataFrame:
-    """SRC2: adds ``iy, ix, ishot`` from the shot number (y-major, then x, then repeats)."""
-    order = F.col("shotnum") - 1 - scan.data_offset
+    """SRC2: adds ``iy, ix, ishot`` from the shot number (y-major, then x, then repeats).
+
+    They are NULL for a shot outside the scan.
+    """
+    order = F.when(
+        F.col("shotnum").between(scan.first_shot, scan.last_shot), F.col("shotnum") - scan.first_shot
+    )
     row = F.floor(order / (scan.nshots * scan.nx))
     if scan.geometry == "xy_plane" and scan.y_order == "descending":
         row = scan.ny - 1 - row
@@ -91,17 +120,24 @@ def with_position(shots: DataFrame, scan: ScanParams) -> DataFrame:
     )
 
 
+def _shot(scan: ScanParams, iy, ix, ishot):
+    """Shot of a position, for columns and for numbers alike."""
+    upward = scan.geometry == "xy_plane" and scan.y_order == "descending"
+    row = scan.ny - 1 - iy if upward else iy
+    return scan.first_shot + (row * scan.nx + ix) * scan.nshots + ishot
+
+
+def _extent(scan: ScanParams) -> dict[str, int]:
+    """How many positions each index has."""
+    return {"iy": scan.ny if scan.geometry == "xy_plane" else 1, "ix": scan.nx, "ishot": scan.nshots}
+
+
 def shot_number(scan: ScanParams, iy: Column, ix: Column, ishot: Column) -> Column:
     """Inverse of :func:`with_position`; NULL for an index outside the scan."""
-    ny = scan.ny if scan.geometry == "xy_plane" else 1
-    row = ny - 1 - iy if scan.geometry == "xy_plane" and scan.y_order == "descending" else iy
-    inside = (
-        iy.between(0, ny - 1) & ix.between(0, scan.nx - 1) & ishot.between(0, scan.nshots - 1)
-    )
-    return F.when(
-        inside,
-        (scan.data_offset + 1 + (row * scan.nx + ix) * scan.nshots + ishot).cast("bigint"),
-    )
+    inside = F.lit(True)
+    for index, count in zip((iy, ix, ishot), _extent(scan).values()):
+        inside = inside & index.between(0, count - 1)
+    return F.when(inside, _shot(scan, iy, ix, ishot).cast("bigint"))
 
 
 def even_axis(index: Column, low: float, high: float, n: int) -> Column:
@@ -198,12 +234,11 @@ def preview_trace(
     The shot filter is a literal, so only that shot is read.  A shot missing from
     either channel fails the query.
     """
-    ny = scan.ny if scan.geometry == "xy_plane" else 1
-    for label, index, count in (("X", ix, scan.nx), ("Shot", ishot, scan.nshots), ("Y", iy, ny)):
-        if isinstance(index, bool) or int(index) != index or not 0 <= index < count:
-            raise ValueError(f"{label} index must be an integer from 0 to {count - 1}.")
-    row = ny - 1 - iy if scan.geometry == "xy_plane" and scan.y_order == "descending" else iy
-    shot = scan.data_offset + 1 + (row * scan.nx + ix) * scan.nshots + ishot
+    chosen = {"iy": iy, "ix": ix, "ishot": ishot}
+    outside = [name for name, count in _extent(scan).items() if chosen[name] not in range(count)]
+    if outside:
+        raise ValueError(f"no such position: {', '.join(f'{n}={chosen[n]!r}' for n in outside)}")
+    shot = int(_shot(scan, iy, ix, ishot))
     one = raw_shots.where(
         (F.col("board") == scan.board) & (F.col("shotnum") == shot) & (F.col("run") == run)
         & F.col("channel").isin(scan.voltage_channel, scan.current_channel)
@@ -219,7 +254,7 @@ def preview_trace(
             F.coalesce(
                 (F.size("v_raw") == scan.nt_full) & (F.size("i_raw") == scan.nt_full), F.lit(False)
             ),
-            F.lit(f"Both channels must contain shot {shot} with {scan.nt_full} samples."),
+            F.lit(f"shot {shot}: a channel is absent or not {scan.nt_full} samples long"),
         ).isNull()
     )
     full = put(

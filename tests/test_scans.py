@@ -265,6 +265,72 @@ def test_scan_is_stored_and_read_back(spark, raw_scan, mode, fits):
         results.read_results(spark, root, "xy_plane")
 
 
+def small_scan(**changes):
+    return ScanParams(**{**dict(
+        geometry="x_line", nx=2, nshots=3, nt_full=860, dt_s=1e-6, x_min_cm=-1.0, x_max_cm=1.0, sweep_start=20, sweep_end=419,
+        nramps=2, ramp_spacing=420, subtract_dc=True, dc_start=0, dc_end=15, sg_window=17,
+        fit=FitParams(iv_npts=32, voltage_bin_width=0.2, vp_smoothing_width_V=1.0, probe_area=4e-6,
+                      current_zero_calibrated=True, te_region_method="bounded"),
+    ), **changes})
+
+
+def test_a_later_scan_leaves_the_settings_of_earlier_runs(spark, raw_scan):
+    from pyspark.sql import functions as F
+
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    run_scan(spark, raw_scan, small_scan(), root)
+    later = small_scan(fit=small_scan().fit.with_(te_min_r2=0.97))
+    run_scan(spark, raw_scan.withColumn("run", F.lit("second")), later, root)
+    kept = {r["run"]: r["te_min_r2"] for r in spark.read.parquet(f"{root}/runs").collect()}
+    assert kept == {"r": small_scan().fit.te_min_r2, "second": 0.97}
+
+
+def test_incomplete_scans_are_refused(spark, raw_scan):
+    from pyspark.sql import functions as F
+
+    current, first = F.col("channel") == 2, F.col("shotnum") == 1
+    cases = {
+        "channel absent": raw_scan.where(~current),
+        "shots stored twice": raw_scan.union(raw_scan.where(current & first)),
+        "shot count": raw_scan.where(~(current & first)),
+        "different sample intervals": raw_scan.withColumn("dt_s", F.when(current, 2e-6).otherwise(F.col("dt_s"))),
+    }
+    for message, raw in cases.items():
+        with pytest.raises(ValueError, match=message):
+            run_scan(spark, raw, small_scan(), "/nowhere")
+    stored_timing = small_scan(timing_source="hdf5", dt_s=3e-6)
+    with pytest.raises(ValueError, match="interval changed"):
+        run_scan(spark, raw_scan, stored_timing, "/nowhere")
+    with pytest.raises(ValueError, match="missing sample interval"):
+        run_scan(spark, raw_scan.withColumn("dt_s", F.lit(None).cast("double")), stored_timing, "/nowhere")
+
+
+def test_doubled_signals_are_all_kept(spark):
+    from checks.common import SIGNAL_SCAN, raw_signals
+    from pyspark.sql import functions as F
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.range(2500).select(
+        F.col("id").alias("vec_id"), F.array_repeat(F.col("id").cast("float"), 64).alias("embedding")
+    ).write.parquet(f"{folder}/embeddings.parquet")
+    raw = raw_signals(spark, folder)
+    assert shots.channel_shots(raw, SIGNAL_SCAN, 0).count() == 1250
+    assert shots.paired_ramps(raw, SIGNAL_SCAN).count() == 3 * 1250
+    found = {r["run"]: r["violation"] for r in shots.channel_check(raw, SIGNAL_SCAN, 1).collect()}
+    assert found == {"e0": None, "e1": "shot count mismatch"}
+    outside = shots.with_position(raw.limit(1).withColumn("shotnum", F.lit(1001)), SIGNAL_SCAN).first()
+    assert outside["iy"] is None and outside["ix"] is None and outside["ishot"] is None
+
+
+def test_channel_entries_are_compared(spark):
+    from rampfield.sources import sampling
+
+    rows = [(1, 0, 64, 1e-6), (1, 1, 64, 1e-6), (2, 0, 1, 1e-6), (2, 1, 1, 1e-6), (3, 0, 64, 1e-6), (3, 0, 60, 2e-6), (3, 1, 64, 1e-6)]
+    specs = spark.createDataFrame(rows, "pair long, channel int, nt int, dt_s double")
+    found = {r["pair"]: r["violation"] for r in sampling.channel_agreement(specs, ["pair"], 0, 1).collect()}
+    assert found == {1: None, 2: "fewer than two samples", 3: "several entries of a channel"}
+
+
 def test_scan_parameters_are_checked():
     for bad in (
         {"geometry": "x"}, {"sweep_end": 9}, {"x_min_cm": 2.0}, {"nramps": 2, "ramp_spacing": 1},
