@@ -28,8 +28,8 @@ from .storage import packed, stored, text_key
 from .words import _BASE, _CODES, _INVERSE, BLOCK, U, mix, powers, utf8
 
 SIZE, GRAM = 200, 100
-#: contexts of one group that meet in a task; the bytes of one transform (an index takes 20 bits)
-GROUP, TEXT = 2_000, 1_000_000
+#: contexts of one group that meet in a task; bytes of fragments held at once; bytes of one transform (an index takes 20 bits)
+GROUP, HELD, TEXT = 40_000, 8_000_000, 1_000_000
 FRAGMENT = (
     "g bigint, lo int, hi int, k1 bigint, k2 bigint, pos bigint, copies bigint, off int, frag binary"
 )
@@ -133,25 +133,27 @@ def cut(texts: DataFrame, size: int, gram: int) -> DataFrame:
 def _grid(frags: list[bytes], off: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fragments as rows with the anchor in one column; the first column used and the last but one."""
     width = 2 * size - gram
-    lens = np.array([len(f) for f in frags])
     first = size - gram - off
-    grid = np.zeros((len(frags), width), np.uint8)
-    row = np.repeat(np.arange(len(frags)), lens)
-    column = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(first, lens)
-    grid[row, column] = np.frombuffer(b"".join(frags), np.uint8)
-    return grid, first, first + lens
+    last = first + np.array([len(f) for f in frags], np.int64)
+    rows = b"".join([bytes(a) + f + bytes(width - e) for f, a, e in zip(frags, first.tolist(), last.tolist())])
+    return np.frombuffer(rows, np.uint8).reshape(len(frags), width), first, last
 
 
-def cores(grid: np.ndarray, first: np.ndarray, last: np.ndarray, a: int, b: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the bytes that all strings starting in columns a..b-1 share; whether a row has them."""
-    part = grid[:, b - 1 : a + size]
+def hashed(grid: np.ndarray, a: int, b: int) -> np.ndarray:
+    """A hash of columns a to b of every row."""
+    part = grid[:, a:b]
     h = np.zeros(len(grid), U)
     for k in range(0, part.shape[1], 8):
         some = part[:, k : k + 8]
         if some.shape[1] < 8:
             some = np.pad(some, ((0, 0), (0, 8 - some.shape[1])))
         h = mix(h * U(_BASE) + np.ascontiguousarray(some).view(U).ravel())
-    return h, (first <= b - 1) & (last >= a + size)
+    return h
+
+
+def cores(grid: np.ndarray, first: np.ndarray, last: np.ndarray, a: int, b: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the bytes that all strings starting in columns a..b-1 share; whether a row has them."""
+    return hashed(grid, b - 1, a + size), (first <= b - 1) & (last >= a + size)
 
 
 def _parts(lo: int, hi: int, n: int = 4) -> list[tuple[int, int]]:
@@ -262,40 +264,82 @@ def _next_border(border: np.ndarray, at: np.ndarray) -> np.ndarray:
     return stop
 
 
+def _classes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first index of each class, class sizes for every element) of equal keys."""
+    _, first, where, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    return first, n[where]
+
+
 def judge(g: np.ndarray, lo: np.ndarray, hi: np.ndarray, frags: list[bytes], off: np.ndarray, size: int, gram: int):
-    """(fragment, column) of all strings that another fragment of the group has at the same column."""
+    """(fragment, column) of all strings that another fragment of the group has at the same column.
+
+    Strings are taken by parts of their columns. Fragments that are equal in all bytes of a
+    part are covered there and go on as one; what shares the core of a part with others goes
+    into a transform. A class of equal cores too large for one is taken in smaller parts.
+    """
     grid, first, last = _grid(frags, off, size, gram)
-    keep = np.zeros(len(frags), bool)
+    owners, columns, pool = [], [], []
+    todo = []
     for rlo, rhi in sorted(set(zip(lo.tolist(), hi.tolist()))):
-        mine = (lo == rlo) & (hi == rhi)
-        for a, e in _parts(rlo, rhi, 8):
-            h, ok = cores(grid, first, last, a, e, size)
-            some = np.flatnonzero(mine & ok)
-            pair = mix(h[some] ^ mix(g[some].view(U)))
-            _, where, n = np.unique(pair, return_inverse=True, return_counts=True)
-            keep[some[n[where] > 1]] = True
-    kept = np.flatnonzero(keep)
-    none = np.zeros(0, np.int64)
-    if not len(kept):
-        return none, none
-    x = np.frombuffer(b"".join(frags[k] for k in kept), np.uint8)
+        mine = np.flatnonzero((lo == rlo) & (hi == rhi))
+        todo += [(mine, g[mine].view(U), a, e) for a, e in _parts(rlo, rhi)]
+    while todo:
+        ids, key, a, e = todo.pop()
+        h, ok = cores(grid[ids], first[ids], last[ids], a, e, size)
+        ids, key, h = ids[ok], key[ok], h[ok]
+        full = (first[ids] <= a) & (last[ids] >= e - 1 + size)
+        whole = mix(hashed(grid[ids], a, e - 1 + size) ^ mix(key))
+        one, n = _classes(whole[full])
+        again = ids[full][n > 1]
+        owners.append(np.repeat(again, e - a))
+        columns.append(np.tile(np.arange(a, e), len(again)))
+        if e - a == 1:
+            continue
+        rest = np.concatenate([np.flatnonzero(full)[one], np.flatnonzero(~full)])
+        core = mix(h[rest] ^ mix(key[rest] + U(a * 1009 + e)))
+        _, n = _classes(core)
+        shared = n > 1
+        large = n * (size + e - a) > TEXT
+        some = rest[shared & large]
+        todo += [(ids[some], core[shared & large], c, d) for c, d in _parts(a, e)] if len(some) else []
+        some = shared & ~large
+        pool.append((ids[rest[some]], core[some], np.full(some.sum(), a), np.full(some.sum(), e)))
+    owner, core, a, e = (np.concatenate(c) for c in zip(*pool)) if pool else [np.zeros(0, np.int64)] * 4
+    order = np.argsort(core, kind="stable")
+    owner, core, a, e = owner[order], core[order], a[order], e[order]
+    start, stop = np.maximum(a, first[owner]), np.minimum(e - 1 + size, last[owner])
+    upto = np.cumsum(stop - start)
+    ends = np.flatnonzero(np.append(core[1:] != core[:-1], True)) + 1 if len(core) else []
+    at = 0
+    for k, end in enumerate(ends):
+        if k + 1 == len(ends) or upto[ends[k + 1] - 1] - (upto[at - 1] if at else 0) > TEXT:
+            cut_ = slice(at, end)
+            o, c = _expand(grid, owner[cut_], core[cut_], a[cut_], e[cut_], start[cut_], stop[cut_], size)
+            owners.append(o)
+            columns.append(c)
+            at = end
+    return (np.concatenate(owners), np.concatenate(columns)) if owners else (np.zeros(0, np.int64),) * 2
+
+
+def _expand(grid, owner, core, a, e, start, stop, size) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of the given columns of fragments that another one of equal core has at the same column."""
+    lens = stop - start
+    row = np.repeat(np.arange(len(owner)), lens)
+    column = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + start[row]
+    x = grid[owner[row], column]
     order, bwt = burrows_wheeler(x, size)
-    prefix = np.cumsum(~shared_prefixes(bwt, size))
     kind = np.empty(len(x), np.int64)
-    kind[order] = prefix
-    lens = last[kept] - first[kept]
-    owner = np.repeat(kept, lens)
-    column = np.arange(len(x)) - np.repeat(np.cumsum(lens) - lens, lens) + first[owner]
-    valid = (column >= lo[owner]) & (column < hi[owner]) & (column + size <= last[owner])
-    owner, column, kind = owner[valid], column[valid], kind[valid]
-    # the same string at the same column of the same group: elsewhere, as contexts differ in place
-    order = np.lexsort((column, kind, g[owner]))
-    a, b, c = g[owner][order], kind[order], column[order]
-    twin = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (c[1:] == c[:-1])
+    kind[order] = np.cumsum(~shared_prefixes(bwt, size))
+    valid = (column >= a[row]) & (column < e[row]) & (column + size <= stop[row])
+    row, column, kind = row[valid], column[valid], kind[valid]
+    # the same string at the same column of the same class: elsewhere, as contexts differ in place
+    order = np.lexsort((column, kind, core[row]))
+    x, y, z = core[row][order], kind[order], column[order]
+    twin = (x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (z[1:] == z[:-1])
     hit = np.zeros(len(order), bool)
     hit[1:] |= twin
     hit[:-1] |= twin
-    return owner[order[hit]], column[order[hit]]
+    return owner[row[order[hit]]], column[order[hit]]
 
 
 def judged(frags: DataFrame, size: int, gram: int) -> DataFrame:
@@ -308,9 +352,8 @@ def judged(frags: DataFrame, size: int, gram: int) -> DataFrame:
         g, lo, hi, k1, k2, pos, copies, off = (b.column(k).to_numpy() for k in range(8))
         owner, column = judge(g, lo, hi, b.column(8).to_pylist(), off, size, gram)
         single = copies[owner] == 1
-        owner, column = owner[single], column[single]
-        order = np.lexsort((column, owner))
-        owner, column = owner[order], column[order]
+        cell = np.unique(owner[single] * 4096 + column[single])
+        owner, column = cell >> 12, cell & 4095
         start = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(column) != 1)])) if len(owner) else np.zeros(0, np.int64)
         stop = np.append(start[1:], len(owner)) - 1 if len(owner) else start
         k = owner[start]
@@ -329,7 +372,7 @@ def judged(frags: DataFrame, size: int, gram: int) -> DataFrame:
             at = 0
             for s, e in zip(heads, ends):
                 weight = int(sizes[s:e].sum())
-                if held and held + weight > TEXT and g[s] != last:
+                if held and held + weight > HELD and g[s] != last:
                     if s > at:
                         parts.append(b.slice(at, s - at))
                     yield flush(parts)
@@ -348,7 +391,9 @@ def repeated_spans(rows: DataFrame, size: int, gram: int, group: int) -> DataFra
     """(k1, k2, span) of all repeated strings of the texts (k1, k2, text)."""
     table = stored(anchor_table(rows, size, gram))
     repeated = table.groupBy("h").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).filter("n > 1")
-    found = stored(table.join(repeated.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "h"))
+    # tables of their own, so that joins read plain exchanges and can split frequent anchors
+    repeated = stored(repeated.select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
+    found = stored(table.join(repeated, "h"))
     contexts = found.groupBy("h", "ctx").agg(
         F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "pos")).alias("at"), F.first("mixed").alias("mixed")
     )
