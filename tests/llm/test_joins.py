@@ -91,8 +91,9 @@ def brute_repeats(texts, size):
     return out
 
 
-@pytest.mark.parametrize("size,gram,group", [(20, 10, 2000), (20, 10, 2), (30, 12, 3)])
-def test_repeats_match_brute_force(table, size, gram, group):
+@pytest.mark.parametrize("size,gram,group,text", [(20, 10, 2000, 10**6), (20, 10, 2000, 60), (20, 10, 2, 10**6), (30, 12, 3, 200)])
+def test_repeats_match_brute_force(table, monkeypatch, size, gram, group, text):
+    monkeypatch.setattr(sd, "TEXT", text)
     rng = random.Random(size + group)
     word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     common, line = word(70), word(size - 4)
