@@ -111,17 +111,6 @@ def _framed(series: DataFrame, keys: list[str], before: int, after: int, chunk:
     )
 
 
-def _weighted(values: Column, weights: list[float]) -> Column:
-    """Weighted sum of a full frame; NULL when the frame holds a missing value."""
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    return F.when(
-        F.size(values) == len(weights),
-        F.aggregate(
-            F.zip_with(values, w, lambda a, b: a["v"] * b), F.lit(0.0), lambda acc, x: acc + x
-        ),
-    )
-
-
 def _filtered(
     series: DataFrame, keys: Sequence[str], weights: list[float], before: int, after: int,
     mode: str, value: str, k: str, chunk: int, out: str,
@@ -131,12 +120,18 @@ def _filtered(
         raise ValueError(f"mode must be one of {BOUNDARIES}.")
     sized = attach_by_key(series, series_lengths(series, keys), keys)
     framed = _framed(_extended(sized, keys, value, k, before, after, mode), keys, before, after, chunk)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(-before, after)
-    listed = framed.withColumn("_frame", F.collect_list(F.struct(F.col(value).alias("v"))).over(w))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_pos")
+    if len(set(weights)) == 1:
+        frame = w.rowsBetween(-before, after)
+        # a frame with a missing sample, or cut by a chunk's end, has no mean
+        smooth = F.when(F.count(value).over(frame) == len(weights), F.avg(value).over(frame))
+    else:
+        # a missing sample makes the whole sum missing
+        smooth = sum(
+            (F.lag(value, before - n).over(w) * float(x) for n, x in enumerate(weights)), F.lit(0.0)
+        )
     own = (F.col("_pos") == F.col(k)) & (F.floor(F.col("_pos") / chunk) == F.col("_chunk"))
-    return listed.where(own).withColumn(out, _weighted(F.col("_frame"), weights)).drop(
-        "_frame", "_pos", "_chunk", "_n"
-    )
+    return framed.withColumn(out, smooth).where(own).drop("_pos", "_chunk", "_n")
 
 
 def moving_average(

@@ -7,28 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 16
 
+def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join one row per key back to many rows; a NULL key matches a NULL key.
 
-def attach_by_key(
-    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], salts: int = DEFAULT_SALTS
-) -> DataFrame:
-    """Join one row per key back to many rows without gathering a key in one task.
-
-    The per-key side is repeated once per salt and the rows are dealt over the
-    salts by content, so a hot key is spread over ``salts`` tasks.  Every row
-    keeps exactly one match and re-running a lost task gives the same salt.
+    A plain equi-join: where a key holds much of the rows, adaptive execution splits its
+    partition and repeats the one matching row, as often as the data needs it.
     """
     keys = list(keys)
-    extra = [c for c in rows.columns if c not in keys]
-    hashable = [
-        c for c, t in rows.dtypes if c in extra and not t.startswith(("map", "variant"))
-    ]
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable]), F.lit(salts)).cast("int")
-    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        rows.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], "inner").drop("_salt")
-    )
+    named = {k: f"_key{n}" for n, k in enumerate(keys)}
+    same = F.lit(True)
+    for k, other in named.items():
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    return rows.join(per_key.withColumnsRenamed(named), same, "inner").drop(*named.values())
 
 
 def position_in_group(
@@ -54,7 +45,7 @@ def position_in_group(
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     numbered = bucketed.withColumn("_nth", F.row_number().over(within) - 1)
     return (
-        numbered.join(offsets, [*keys, "_bucket"], "inner")
+        attach_by_key(numbered, offsets, [*keys, "_bucket"])
         .withColumn(out, (F.col("_offset") + F.col("_nth")).cast("bigint"))
         .drop("_bucket", "_offset", "_nth")
     )
@@ -99,7 +90,7 @@ def exact_quantiles(
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    ranked = placed.join(chosen, [*keys, "_bucket"]).withColumn(
+    ranked = attach_by_key(placed, chosen, [*keys, "_bucket"]).withColumn(
         "_first", F.col("_start") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
     )
     at_rank = lambda rank: F.max(

@@ -200,7 +200,7 @@ def test_hot_key_is_spread_and_ranked(spark):
     hot = ranked.where("key = 0").orderBy("t").select("pos").collect()
     assert [r["pos"] for r in hot] == list(range(1000))
     counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    joined = attach_by_key(rows, counts, ["key"], salts=8)
+    joined = attach_by_key(rows, counts, ["key"])
     assert joined.count() == 3000 and joined.where("key = 0 and n = 1000").count() == 1000
 
 
@@ -322,6 +322,18 @@ def test_doubled_signals_are_all_kept(spark):
     assert outside["iy"] is None and outside["ix"] is None and outside["ishot"] is None
 
 
+def test_null_and_frequent_keys_are_kept(spark):
+    from pyspark.sql import functions as F
+    from rampfield.operators.keys import attach_by_key, position_in_group
+
+    rows = spark.range(1000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 3).alias("key"), F.col("id").alias("at"))
+    per_key = rows.groupBy("key").agg(F.count("*").alias("n"))
+    assert {(r["key"], r["n"]) for r in attach_by_key(rows, per_key, ["key"]).distinct().select("key", "n").collect()} == {
+        (None, 900), (0, 34), (1, 33), (2, 33)}
+    placed = position_in_group(rows, ["key"], ["at"], F.floor(F.col("at") / 7), "place")
+    assert placed.count() == 1000 and placed.where("key is null").agg(F.max("place")).first()[0] == 899
+
+
 def test_channel_entries_are_compared(spark):
     from rampfield.sources import sampling
 
