@@ -17,7 +17,8 @@ from .traces import STAGES, TO_ELIG, TO_ION, TO_IES, chain, fit_sql
 
 reg = Registry()
 BOUNDED = MODEL.with_(te_region_method="bounded")
-LOW, HIGH = 0.1, 300.0
+# the bounds of the analysis hold for its background windows too
+LOW, HIGH = BOUNDED.te_min_eV, BOUNDED.te_max_eV
 ROUNDS = 14
 
 
@@ -143,7 +144,7 @@ TO_BULK = (NESTED, SCALED.format(out="w", src="nest"), background_sql("w"), CHEC
 )
 def t26(spark, sf):
     done = plan.stages(model_traces(spark, sf, halo=True), BOUNDED)
-    bulk = H.bulk_windows(done, ["trace"], BOUNDED, LOW, HIGH)
+    bulk = H.bulk_windows(done, ["trace"], BOUNDED)
     return bulk.select(
         "trace", "width_V", rounded("bg.te_eV", 3).alias("te_eV"), F.col("bg.valid").alias("valid"), "residual_pass", "bulk_log_pass",
         "stable", "is_bulk", rounded("bulk_signal_vstart_V", 5).alias("signal_vstart_V"),
@@ -162,7 +163,7 @@ def t26(spark, sf):
 def t27(spark, sf):
     traces = model_traces(spark, sf, halo=True)
     done = plan.stages(traces, BOUNDED)
-    bulk = H.bulk_windows(done, ["trace"], BOUNDED, LOW, HIGH)
+    bulk = H.bulk_windows(done, ["trace"], BOUNDED)
     fits = plan.analyze_traces(traces, BOUNDED, ["trace"])
     return H.hot_tail_screen(fits, bulk, ["trace"], 0.01).select(
         "trace", "status", rounded(F.col("excess_current_A") * 1e6, 2).alias("excess_uA"),
@@ -211,7 +212,7 @@ def v1(spark, sf):
 )
 def v2(spark, sf):
     traces = model_traces(spark, sf, halo=True)
-    bulk = H.bulk_windows(plan.stages(traces, BOUNDED), ["trace"], BOUNDED, LOW, HIGH)
+    bulk = H.bulk_windows(plan.stages(traces, BOUNDED), ["trace"], BOUNDED)
     ordinary = plan.analyze_traces(traces, MODEL, ["trace"])
     bounded = plan.analyze_traces(traces, BOUNDED, ["trace"])
     return V.beam_comparison(ordinary, bounded, bulk, ["trace"]).select(

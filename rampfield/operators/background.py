@@ -388,13 +388,18 @@ def _report(low: float, high: float) -> Text:
 
 
 def bulk_windows(
-    stages: DataFrame, keys: list[str], params: FitParams, lower_eV: float, upper_eV: float
+    stages: DataFrame, keys: list[str], params: FitParams,
+    lower_eV: float | None = None, upper_eV: float | None = None,
 ) -> DataFrame:
     """Every nested window of every trace with its fit, checks and stability.
 
+    Temperatures are searched between the parameters' bounds unless others are given.
+
     One row per (trace, width); ``stable`` marks windows that agree with the two
     narrower ones, ``is_bulk`` the widest stable window of the trace.
     """
+    lower_eV = params.te_min_eV if lower_eV is None else lower_eV
+    upper_eV = params.te_max_eV if upper_eV is None else upper_eV
     upper = X.col("vp_derivative_V") - params.te_margin_from_vp
     traces = put(
         stages.where("vp_derivative_V is not null and vf_V is not null and ion.current is not null"),
