@@ -9,10 +9,11 @@ smallest hash among its ``gram``-byte windows. So the work is split by anchors:
 2. Different contexts of one anchor form a group. Contexts that share no long enough core
    with another of their group are dropped; large groups are split by the hash of such
    cores until they are small, down to single strings, which need no further look.
-3. The contexts of many groups are one text. Its suffixes are sorted to a Burrows-Wheeler
-   transform and all intervals are extended backwards, breadth first: round l finds the
-   places where neighbouring suffixes share exactly l bytes. After ``size`` rounds the
-   places that are left share ``size`` bytes or more, and the expansion stops.
+3. The contexts of many groups are one text, with every shared core as one symbol. Its
+   suffixes are sorted to a Burrows-Wheeler transform and all intervals are extended
+   backwards, breadth first: round l finds the places where neighbouring suffixes share
+   exactly l symbols. The expansion stops at the length that a string of ``size`` bytes has;
+   the places that are left share that much or more.
 """
 
 from __future__ import annotations
@@ -190,32 +191,25 @@ def split_groups(frags: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def burrows_wheeler(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, transform) of the rotations of x, sorted by their first ``size`` bytes or more."""
-    n = len(x)
-    index = np.arange(n, dtype=U)
-    double = np.concatenate([x, x[: min(n, 4)]] if n >= 4 else [np.tile(x, 6)]).astype(U)
-    key = np.zeros(n, U)
-    for k in range(5):
-        key = key << U(8) | double[k : k + n]
-    done = 5
+    """(order, transform) of the rotations of x, sorted by their first ``size`` symbols or more."""
+    index, mask = np.arange(len(x), dtype=U), U(0xFFFFF)
+    rank, done = np.unique(x, return_inverse=True)[1].astype(U), 1
+    keys = np.sort(rank << U(20) | index)
     while True:
-        packed_ = np.sort(key << U(20) | index) if done == 5 else np.sort(key | index)
-        order = (packed_ & U(0xFFFFF)).astype(np.int64)
-        head = packed_ >> U(20)
+        order, head = (keys & mask).astype(np.int64), keys >> U(20)
         new = np.concatenate([[False], head[1:] != head[:-1]])
-        rank = np.empty(n, U)
         rank[order] = np.cumsum(new, dtype=U)
-        if done >= size or new.sum() == n - 1:
+        if done >= size or new.sum() == len(x) - 1:
             return order, x[order - 1]
-        key = rank << U(40) | np.roll(rank, -done) << U(20)
+        keys = np.sort(rank << U(40) | np.roll(rank, -done) << U(20) | index)
         done *= 2
 
 
 def shared_prefixes(bwt: np.ndarray, size: int) -> np.ndarray:
-    """For every place of the sorted order, whether it shares ``size`` bytes with the place before.
+    """For every place of the sorted order, whether it shares ``size`` symbols with the place before.
 
     Breadth-first backward extension: the border between two intervals of prefix length l
-    moves, for every byte c that stands in the transform within the interval behind the
+    moves, for every symbol c that stands in the transform within the interval behind the
     border, to the first suffix of that interval preceded by c. There the common prefix is
     l + 1, unless a shorter one was found in an earlier round.
     """
@@ -299,20 +293,25 @@ def judge(g: np.ndarray, lo: np.ndarray, hi: np.ndarray, frags: list[bytes], off
         core = mix(h[rest] ^ mix(key[rest] + U(a * 1009 + e)))
         _, n = _classes(core)
         shared = n > 1
-        large = n * (size + e - a) > TEXT
+        large = 2 * n * (e - a) > TEXT
         some = rest[shared & large]
         todo += [(ids[some], core[shared & large], c, d) for c, d in _parts(a, e)] if len(some) else []
         some = shared & ~large
         pool.append((ids[rest[some]], core[some], np.full(some.sum(), a), np.full(some.sum(), e)))
     owner, core, a, e = (np.concatenate(c) for c in zip(*pool)) if pool else [np.zeros(0, np.int64)] * 4
-    order = np.argsort(core, kind="stable")
+    order = np.lexsort((core, e - a))
     owner, core, a, e = owner[order], core[order], a[order], e[order]
+    width = e - a
     start, stop = np.maximum(a, first[owner]), np.minimum(e - 1 + size, last[owner])
-    upto = np.cumsum(stop - start)
-    ends = np.flatnonzero(np.append(core[1:] != core[:-1], True)) + 1 if len(core) else []
+    # a core is one symbol of the transform
+    upto = np.cumsum(stop - start - (size - width))
+    ends = np.flatnonzero(np.append((core[1:] != core[:-1]) | (width[1:] != width[:-1]), True)) + 1 if len(core) else []
     at = 0
     for k, end in enumerate(ends):
-        if k + 1 == len(ends) or upto[ends[k + 1] - 1] - (upto[at - 1] if at else 0) > TEXT:
+        if (
+            k + 1 == len(ends) or width[end] != width[at]
+            or upto[ends[k + 1] - 1] - (upto[at - 1] if at else 0) > TEXT
+        ):
             cut_ = slice(at, end)
             o, c = _expand(grid, owner[cut_], core[cut_], a[cut_], e[cut_], start[cut_], stop[cut_], size)
             owners.append(o)
@@ -323,13 +322,20 @@ def judge(g: np.ndarray, lo: np.ndarray, hi: np.ndarray, frags: list[bytes], off
 
 def _expand(grid, owner, core, a, e, start, stop, size) -> tuple[np.ndarray, np.ndarray]:
     """Strings of the given columns of fragments that another one of equal core has at the same column."""
-    lens = stop - start
+    width = int(e[0] - a[0])
+    # the bytes before the core, the core as a symbol of its class, the bytes after it
+    skip = size - width
+    lens = stop - start - skip
     row = np.repeat(np.arange(len(owner)), lens)
     column = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + start[row]
-    x = grid[owner[row], column]
-    order, bwt = burrows_wheeler(x, size)
+    middle = e[row] - 1
+    x = grid[owner[row], np.where(column > middle, column + skip, column)].astype(np.int64)
+    at_core = column == middle
+    x[at_core] = 256 + np.unique(core, return_inverse=True)[1][row[at_core]]
+    # a string of ``size`` bytes that starts in the part has the core and ``width - 1`` other bytes
+    order, bwt = burrows_wheeler(x, width)
     kind = np.empty(len(x), np.int64)
-    kind[order] = np.cumsum(~shared_prefixes(bwt, size))
+    kind[order] = np.cumsum(~shared_prefixes(bwt, width))
     valid = (column >= a[row]) & (column < e[row]) & (column + size <= stop[row])
     row, column, kind = row[valid], column[valid], kind[valid]
     # the same string at the same column of the same class: elsewhere, as contexts differ in place
