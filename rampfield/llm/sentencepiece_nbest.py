@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,19 +25,32 @@ from .storage import packed
 SPACE = "▁"
 #: longer segments are not remembered
 REMEMBERED = 64
+#: characters of texts whose segments are looked up together
+BLOCK = 1_000_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Pieces by their characters: sorted steps (node and kind) with the nodes they lead to, and the piece at each node."""
+
+    steps: np.ndarray
+    to: np.ndarray
+    held: np.ndarray
+    ids: list[bytes]
+    scores: list[float]
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces, with spaces for the space marks.
 
-    ``starts`` maps every piece to its packed id and score, and what only begins a piece to
-    None. ``kinds`` numbers the characters of pieces, 0 for all others; ``links`` says which
-    kinds stand side by side in a piece. ``byte`` are the ids of the 256 byte pieces.
+    ``pieces`` maps every piece to its packed id and score. ``kinds`` numbers the characters of
+    pieces, 0 for all others; ``links`` says which kinds stand side by side in a piece.
+    ``byte`` are the ids of the 256 byte pieces.
     """
 
-    starts: dict[str, tuple[bytes, float] | None]
+    pieces: dict[str, tuple[bytes, float]]
     kinds: np.ndarray
     links: np.ndarray
     byte: tuple[int, ...]
@@ -47,6 +61,23 @@ class Vocabulary:
         raw = character.encode("utf-8", "surrogatepass")
         return packed_ids([self.byte[x] for x in raw]), self.unknown * len(raw)
 
+    def tree(self) -> Tree:
+        kinds = self.kinds
+        children: dict[tuple[int, int], int] = {}
+        held, ids, scores = [-1], [], []
+        for piece, (packed_id, score) in self.pieces.items():
+            node = 0
+            for c in piece:
+                node = children.setdefault((node, int(kinds[ord(c)])), len(children) + 1)
+                if node == len(held):
+                    held.append(-1)
+            held[node] = len(ids)
+            ids.append(packed_id)
+            scores.append(score)
+        steps = np.array([(n << 16) | k for n, k in children], np.int64)
+        order = np.argsort(steps)
+        return Tree(steps[order], np.array(list(children.values()))[order], np.array(held), ids, scores)
+
     def segments(self, text: str) -> list[str]:
         kinds = self.kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
         cuts = [0, *(np.flatnonzero(~self.links[kinds[:-1], kinds[1:]]) + 1).tolist(), len(text)]
@@ -75,10 +106,7 @@ def load_vocabulary(data: bytes, scores: str = "rank") -> Vocabulary:
     elif scores != "model":
         raise ValueError("scores must be 'rank' or 'model'")
     worst = min((s for *_, s in usable), default=0.0)
-    starts: dict[str, tuple[bytes, float] | None] = {}
-    for p, *_ in usable:
-        starts.update((p[:k], None) for k in range(1, len(p)))
-    starts |= {p: (packed_ids([k]), s) for p, k, s in usable}
+    pieces = {p: (packed_ids([k]), s) for p, k, s in usable}
     characters = sorted({c for p, *_ in usable for c in p})
     kinds = np.zeros(0x110000, np.uint16)
     kinds[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
@@ -86,57 +114,113 @@ def load_vocabulary(data: bytes, scores: str = "rank") -> Vocabulary:
     for p, *_ in usable:
         for x, y in zip(p, p[1:]):
             links[kinds[ord(x)], kinds[ord(y)]] = True
-    return Vocabulary(starts, kinds, links, tuple(byte), worst - 10.0)
+    return Vocabulary(pieces, kinds, links, tuple(byte), worst - 10.0)
 
 
 def packed_ids(ids) -> bytes:
     return np.array(ids, "<i4").tobytes()
 
 
-_NOTHING = ()
-
-
-class Lattice:
-    """Segmentations of a segment."""
-
-    def __init__(self, segment: str, words: Vocabulary) -> None:
-        n = len(segment)
-        #: edges by end: (start, packed ids, score); a place that no piece covers falls back to bytes
-        self.into: list[list[tuple[int, bytes, float]]] = [[] for _ in range(n + 1)]
-        find, into = words.starts.get, self.into
-        best = self.best = [0.0] + [-math.inf] * n
-        for a in range(n):
-            here = best[a]
-            for b in range(a + 1, n + 1):
-                found = find(segment[a:b], _NOTHING)
-                if found is _NOTHING:
-                    break
-                if found is not None:
-                    into[b].append((a, *found))
-                    if here + found[1] > best[b]:
-                        best[b] = here + found[1]
-            if not into[a + 1] or into[a + 1][-1][0] != a:
-                ids, score = words.spelled(segment[a])
-                into[a + 1].append((a, ids, score))
-                best[a + 1] = max(best[a + 1], here + score)
-
-    def n_best(self, n: int) -> list[tuple[float, bytes]]:
-        """Up to n segmentations by falling score; of equal ones the first found."""
-        queue = [(-self.best[-1], 0, len(self.best) - 1, 0.0, None)]
-        out, count, best = [], 0, self.best
-        while queue and len(out) < n:
-            _, _, at, after, path = heapq.heappop(queue)
-            if at == 0:
-                ids = []
-                while path is not None:
-                    piece, path = path
-                    ids.append(piece)
-                out.append((after, b"".join(ids)))
-                continue
-            for a, piece, s in self.into[at]:
-                count += 1
-                heapq.heappush(queue, (-(best[a] + s + after), count, a, s + after, (piece, path)))
-        return out
+class Lattices:
+    """Lattices of many segments with their forward scores.
+
+    Every place between characters is a node; a segment of n characters has n + 1. The edges
+    into node g are those numbered ``into[g]`` to ``into[g + 1]``.
+    """
+
+    def __init__(self, segments: list[str], words: Vocabulary, tree: Tree) -> None:
+        text = "".join(segments)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds = words.kinds[codes].astype(np.int64)
+        lens = np.array([len(x) for x in segments], np.int64)
+        upto = np.cumsum(lens)
+        self.ends = (upto + np.arange(len(segments))).tolist()
+        self.firsts = (upto - lens + np.arange(len(segments))).tolist()
+        stop = np.repeat(upto, lens)
+        node_of = np.arange(len(codes)) + np.repeat(np.arange(len(segments)), lens)
+        start, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        alone = np.zeros(len(codes), bool)
+        found = []
+        depth = 0
+        while len(start):
+            keep = start + depth < stop[start]
+            start, node = start[keep], node[keep]
+            step = (node << 16) | kinds[start + depth]
+            at = np.minimum(np.searchsorted(tree.steps, step), len(tree.steps) - 1)
+            keep = tree.steps[at] == step
+            start, node = start[keep], tree.to[at[keep]]
+            depth += 1
+            piece = tree.held[node]
+            some = piece >= 0
+            if depth == 1:
+                alone[start[some]] = True
+            found.append((node_of[start[some]], np.full(some.sum(), depth), piece[some]))
+        # a character that no piece covers falls back to bytes
+        rest = np.flatnonzero(~alone)
+        odd, which = np.unique(codes[rest], return_inverse=True)
+        spelled = [words.spelled(chr(c)) for c in odd.tolist()]
+        self.ids = tree.ids + [i for i, _ in spelled]
+        found.append((node_of[rest], np.ones(len(rest), np.int64), which + len(tree.ids)))
+        source, length, piece = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(source + length, kind="stable")
+        source, piece = source[order], piece[order]
+        target = source + length[order]
+        score = np.array(tree.scores + [x for _, x in spelled])[piece]
+        nodes = len(codes) + len(segments)
+        best = np.full(nodes, -np.inf)
+        best[self.firsts] = 0.0
+        # places of equal distance from the start of their segment are scored together
+        place = target - np.repeat(np.array(self.firsts), lens + 1)[target]
+        by_place = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[by_place], np.arange(1, (place.max() if len(place) else 0) + 2))
+        for a, b in zip(cuts, cuts[1:]):
+            now = by_place[a:b]
+            np.maximum.at(best, target[now], best[source[now]] + score[now])
+        top = np.flatnonzero(best[source] + score == best[target])[::-1]
+        back = np.full(nodes, -1)
+        back[target[top]] = top
+        self.source, self.piece, self.score = source.tolist(), piece.tolist(), score.tolist()
+        self.best, self.back = best.tolist(), back.tolist()
+        self.into = np.searchsorted(target, np.arange(nodes + 1)).tolist()
+
+    def n_best(self, segment: int, n: int) -> list[tuple[float, bytes]]:
+        """Up to n segmentations by falling score; of equal ones the first found.
+
+        The forward scores are exact, so a path taken from the queue keeps its estimate along
+        the best edges to the start; only its alternatives are queued.
+        """
+        into, best, back, source, score = self.into, self.best, self.back, self.source, self.score
+        piece, ids = self.piece, self.ids
+        first, at, after, path = self.firsts[segment], self.ends[segment], 0.0, None
+        # sorted; as every entry is one whole path, no more than are still wanted need be kept
+        queue: list[tuple] = []
+        out, count, wanted = [], 0, n - 1
+        while True:
+            while at != first:
+                taken = back[at]
+                if wanted:
+                    a, b = into[at], into[at + 1]
+                    if b - a > 1:
+                        for edge in range(a, b):
+                            if edge != taken:
+                                rest = after + score[edge]
+                                loss = -(best[source[edge]] + rest)
+                                if len(queue) < wanted or loss < queue[-1][0]:
+                                    count += 1
+                                    insort(queue, (loss, count, source[edge], rest, (edge, path)))
+                                    del queue[wanted:]
+                after += score[taken]
+                path = (taken, path)
+                at = source[taken]
+            pieces = []
+            while path is not None:
+                edge, path = path
+                pieces.append(ids[piece[edge]])
+            out.append((after, b"".join(pieces)))
+            if not queue:
+                return out
+            _, _, at, after, path = queue.pop(0)
+            wanted -= 1
 
 
 @dataclass(frozen=True, slots=True)
@@ -158,29 +242,44 @@ class Encoder:
     """Encodes texts; segments met before are looked up, up to ``remember`` of them."""
 
     def __init__(self, words: Vocabulary, n: int, remember: int = 400_000) -> None:
-        self.words, self.n, self.remember = words, n, remember
+        self.words, self.tree, self.n, self.remember = words, words.tree(), n, remember
         self.known: dict[str, Segment] = {}
 
-    def segment(self, part: str) -> Segment:
-        new = Segment.of(Lattice(part, self.words).n_best(self.n))
-        if len(part) <= REMEMBERED:
-            if len(self.known) >= self.remember:
-                self.known.clear()
-            self.known[part] = new
-        return new
-
     def n_best(self, text: str) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text as (score, packed ids), best first."""
-        if not text:
-            return [(0.0, b"")]
-        find = self.known.get
-        parts = [find(p) or self.segment(p) for p in self.words.segments(" " + text)]
-        return [(s, b"".join(path)) for s, path in best_sums(parts, self.n)]
+        return next(self.all([text]))
+
+    def all(self, texts: list[str]) -> Iterator[list[tuple[float, bytes]]]:
+        """n_best of every text; the segments of texts are looked at in blocks."""
+        block, size = [], 0
+        for text in texts:
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
+    def _block(self, texts: list[str]) -> Iterator[list[tuple[float, bytes]]]:
+        parts = [self.words.segments(" " + t) if t else [] for t in texts]
+        if len(self.known) > self.remember:
+            self.known.clear()
+        known = self.known
+        new = list({p for x in parts for p in x if p not in known})
+        for k in range(0, len(new), 20_000):
+            some = new[k : k + 20_000]
+            lattices = Lattices(some, self.words, self.tree)
+            known.update((p, Segment.of(lattices.n_best(j, self.n))) for j, p in enumerate(some))
+        for x in parts:
+            yield [(s, b"".join(path)) for s, path in best_sums([known[p] for p in x], self.n)]
+        for p in new:
+            if len(p) > REMEMBERED:
+                del known[p]
 
 
 class Decoder:
     def __init__(self, words: Vocabulary) -> None:
-        self.pieces = {int(np.frombuffer(x[0], "<i4")[0]): p.encode() for p, x in words.starts.items() if x is not None}
+        self.pieces = {int(np.frombuffer(i, "<i4")[0]): p.encode() for p, (i, _) in words.pieces.items()}
         self.pieces |= {k: bytes([b]) for b, k in enumerate(words.byte)}
 
     def text(self, ids) -> str:
@@ -262,8 +361,8 @@ def encode(
         kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
         for b in batches:
             out = [
-                [{"score": s, "ids": np.frombuffer(i, "<i4")} for s, i in encoder.n_best(t or "")]
-                for t in b.column(1).to_pylist()
+                [{"score": s, "ids": np.frombuffer(i, "<i4")} for s, i in found]
+                for found in encoder.all([t or "" for t in b.column(1).to_pylist()])
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["id", "segmentations"])
 
@@ -289,13 +388,13 @@ def encoded_digests(
         encoder, decoder = Encoder(words.value, n), Decoder(words.value)
         for b in batches:
             sizes, values, digests, same = [], [], [], []
-            for t in b.column(1).to_pylist():
-                found = encoder.n_best(t or "")
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for t, found in zip(texts, encoder.all(texts)):
                 best = found[0][1]
                 sizes.append(len(best) // 4)
                 values.append([round(s, 6) for s, _ in found])
                 digests.append([hashlib.sha256(i).hexdigest() for _, i in found])
-                same.append(decoder.text(np.frombuffer(best, "<i4").tolist()) == (t or ""))
+                same.append(decoder.text(np.frombuffer(best, "<i4").tolist()) == t)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(values, pa.list_(pa.float64())),
                  pa.array(digests, pa.list_(pa.string())), pa.array(same, pa.bool_())],
