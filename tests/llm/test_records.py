@@ -132,8 +132,8 @@ def every_segmentation(text, words):
         if at == len(text):
             yield 0.0, b""
             return
-        ends = [b for b in range(at + 1, len(text) + 1) if words.starts.get(text[at:b])]
-        options = [(b, *words.starts[text[at:b]]) for b in ends]
+        ends = [b for b in range(at + 1, len(text) + 1) if text[at:b] in words.pieces]
+        options = [(b, *words.pieces[text[at:b]]) for b in ends]
         if at + 1 not in ends:
             options.append((at + 1, *words.spelled(text[at])))
         for b, ids, s in options:
