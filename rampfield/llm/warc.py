@@ -26,7 +26,8 @@ VERSION, END = b"WARC/1.1", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: payloads shorter than this are never revisits
 LEAST_SHARED = 100
-SEGMENT, CHUNK, PACK, PACKS_PER_FILE = 64 * 1024, 8 * 1024, 4 * 1024 * 1024, 4
+#: a segment is shorter than most pages, so that ordinary records are segmented
+SEGMENT, CHUNK, PACK, PACKS_PER_FILE = 2 * 1024, 8 * 1024, 4 * 1024 * 1024, 4
 
 
 def chunked(payload: bytes, size: int) -> bytes:

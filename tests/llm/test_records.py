@@ -50,6 +50,15 @@ def test_broken_segments_and_chunks_are_reported(spark, tmp_path):
     assert warc.unchunked(b"3;x=1\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
 
 
+def test_ordinary_pages_are_segmented(spark, tmp_path):
+    pages = [(1, "u", "a" * 500), (2, "v", "bé" * 900), (3, "w", "c" * 14_000)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id bigint, url string, html string"), f"{tmp_path}/w")
+    numbers = [r.segment for r in warc.read_records(spark, f"{tmp_path}/w").filter("type = 'continuation'").collect()]
+    assert numbers and min(numbers) == 2
+    got = {r.page: (r.n_segments, bytes(r.payload).decode(), r.error) for r in warc.read_archives(spark, f"{tmp_path}/w").collect()}
+    assert got == {"1": (1, pages[0][2], None), "2": (2, pages[1][2], None), "3": (7, pages[2][2], None)}
+
+
 def test_no_pages(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     warc.write_archives(empty, f"{tmp_path}/w")
