@@ -1,9 +1,13 @@
 """Benchmark passages in training documents, found with a positional inverted index.
 
-The index is a table of postings (term, document, position) of the documents' words. A
-passage is looked up from its rarest terms: the postings of the rarest one, shifted by its
-offset, give possible starts; the shifted postings of the next rarest must agree; the
-remaining terms are compared at the starts that are left.
+The index is a table of postings (term, document, position). Exact windows need those of the
+two rarest terms of each window: the postings of the rarest one, shifted by its offset, give
+possible starts; the shifted postings of the next rarest must agree; the remaining terms are
+compared with the words that a posting carries from around it.
+
+Near matches allow moved words and, in whole windows, an absent one. A match holds one of the
+rarest terms of its window, so postings of all benchmark terms are made around the occurrences
+of those, where at least as many different terms of the window occur as a match needs.
 """
 
 from __future__ import annotations
@@ -74,10 +78,11 @@ def term_counts(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term bigint, cf bigint").groupBy("term").agg(F.sum("cf").alias("cf"))
 
 
-def scan(rows: DataFrame, first: np.ndarray, second: np.ndarray, size: int) -> DataFrame:
+def scan(rows: DataFrame, first: np.ndarray, second: np.ndarray, size: int, known: np.ndarray | None = None) -> DataFrame:
     """Every document with its number of words and its postings of the given terms.
 
-    A posting of ``first`` carries the ``size - 1`` words before it and after it.
+    A posting of ``first`` carries the ``size - 1`` words before it and after it; if ``known``
+    (sorted) is given, words other than those are zero.
     """
     wanted = np.union1d(first, second)
 
@@ -97,6 +102,8 @@ def scan(rows: DataFrame, first: np.ndarray, second: np.ndarray, size: int) -> D
             grid = some[:, None] + np.arange(1 - size, size)
             around = np.concatenate([pad, h, pad])[grid + size - 1]
             around[(grid < start[near][:, None]) | (grid >= ends[doc[near]][:, None])] = 0
+            if known is not None and len(known):
+                around[known[np.minimum(np.searchsorted(known, around), len(known) - 1)] != around] = 0
             bounds = np.concatenate([[0], np.cumsum(near * (2 * size - 1))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(_signed(around.ravel())))
             post = pa.StructArray.from_arrays(
@@ -112,11 +119,16 @@ def scan(rows: DataFrame, first: np.ndarray, second: np.ndarray, size: int) -> D
     return rows.select("id", "k1", "k2", "text").mapInArrow(post, SCANNED.format(id=kind))
 
 
+def _rarest(terms: list[int], counts: dict[int, int]) -> list[int]:
+    """Offsets of the terms, rarest first, ties by offset."""
+    return sorted(range(len(terms)), key=lambda k: (counts.get(terms[k], 0), k))
+
+
 def _lookups(windows: list[list[int]], counts: dict[int, int]) -> list[tuple]:
     """(terms, first term, its offset, second term, its offset): rarest first, ties by offset."""
     out = []
     for terms in windows:
-        order = sorted(range(len(terms)), key=lambda k: (counts.get(terms[k], 0), k))
+        order = _rarest(terms, counts)
         a, b = order[0], order[min(1, len(order) - 1)]
         out.append((terms, terms[a], a, terms[b], b))
     return out
@@ -138,29 +150,70 @@ def phrase_hits(postings: DataFrame, lookups: DataFrame, size: int = SIZE) -> Da
 
 
 def proximity_hits(postings: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
-    """(query, k1, k2, start): documents where all terms of a query occur near their places.
+    """(query, k1, k2, start): documents where the terms of a query occur near their places.
 
     ``queries`` (query, term, offset, rank) lists each query's terms, rank 1 the rarest;
     every other term must lie within ``slop`` positions of its offset from the rarest one's.
+    With a further column ``spare``, so many terms of the query may be absent, the rarest too;
+    starts are then taken from the ``spare + 1`` rarest.
     """
-    q = queries.join(postings.select("term", "k1", "k2", "pos"), "term")
-    base = q.filter(F.col("rank") == 1).select(
-        "query", "k1", "k2", (F.col("pos") - F.col("offset")).alias("start")
+    spare = F.col("spare") if "spare" in queries.columns else F.lit(0)
+    # tables, not aggregates, so that joins can split terms with many postings
+    asked = stored(queries.groupBy("query").agg(
+        F.collect_list(F.struct("rank", "term", "offset")).alias("terms"), F.max(spare).alias("spare")
+    ))
+    first = asked.select("query", "terms", "spare", F.explode("terms").alias("t")).filter("t.rank <= spare + 1")
+    starts = first.withColumn("term", F.col("t.term")).join(postings.select("term", "k1", "k2", "pos"), "term").select(
+        "query", "k1", "k2", (F.col("pos") - F.col("t.offset")).alias("start"), "terms", "spare"
     )
-    need = queries.groupBy("query").agg(F.count("*").alias("need"))
-    placed = q.select("query", "rank", "k1", "k2", (F.col("pos") - F.col("offset")).alias("at"))
-    # a start and a place at most slop apart fall into the same or into neighbouring cells
-    cell = max(1, slop)
-    left = base.withColumn("cell", F.explode(F.array(*[F.floor(F.col("start") / cell) + d for d in (-1, 0, 1)])))
-    right = placed.withColumn("cell", F.floor(F.col("at") / cell))
-    near = left.join(right, ["query", "k1", "k2", "cell"]).filter(F.abs(F.col("start") - F.col("at")) <= slop)
-    found = near.groupBy("query", "k1", "k2", "start").agg(F.count_distinct("rank").alias("got"))
-    return found.join(need, "query").filter(F.col("got") == F.col("need")).select("query", "k1", "k2", "start")
+    # the places of a term fall into at most two cells
+    cell = 2 * slop + 1
+    place = F.col("start") + F.col("t.offset")
+    left = (
+        starts.withColumn("need", F.size("terms") - F.col("spare")).withColumn("t", F.explode("terms")).drop("terms", "spare")
+        .withColumns({"term": F.col("t.term"), "rank": F.col("t.rank"), "place": place})
+        .withColumn("cell", F.explode(F.array_distinct(F.array(*[F.floor((F.col("place") + d) / cell) for d in (-slop, slop)]))))
+        .drop("t")
+    )
+    right = postings.select("term", "k1", "k2", "pos", F.floor(F.col("pos") / cell).alias("cell"))
+    near = left.join(right, ["term", "k1", "k2", "cell"]).filter(F.abs(F.col("pos") - F.col("place")) <= slop)
+    found = near.groupBy("query", "k1", "k2", "start", "need").agg(F.size(F.collect_set("rank")).alias("got"))
+    return found.filter(F.col("got") >= F.col("need")).select("query", "k1", "k2", "start")
+
+
+def near_hits(postings: DataFrame, windows: DataFrame, size: int, slop: int, missing: int) -> DataFrame:
+    """(k1, k2, terms): texts in which a window occurs with its words near their places.
+
+    ``postings`` as for ``phrase_hits``, those of the ``missing + 1`` rarest terms with the
+    ``size - 1 + slop`` words before and after them; ``windows`` (query, terms, order), the
+    offsets in ``order`` rarest first.
+    """
+    reach = size - 1 + slop
+    asked = windows.withColumn("spare", F.when(F.size("terms") == size, F.lit(missing)).otherwise(F.lit(0)))
+    pivots = asked.select("query", "terms", "spare", F.explode(F.expr("slice(order, 1, spare + 1)")).alias("at")).select(
+        "query", "terms", "spare", F.element_at("terms", F.col("at") + 1).alias("term")
+    ).distinct()
+    need = F.size(F.array_distinct("terms")) - F.col("spare")
+    some = stored(
+        postings.filter(F.col("around").isNotNull() & (F.size("around") > 0)).join(stored(pivots), "term")
+        .filter(F.size(F.array_intersect("around", "terms")) >= need).select("query", "k1", "k2", "pos", "around")
+    )
+    words = stored(
+        some.select("k1", "k2", "pos", "around").distinct()
+        .select("k1", "k2", F.col("pos").alias("mid"), F.posexplode("around").alias("at", "term")).filter("term <> 0")
+        .select("term", "k1", "k2", (F.col("mid") + F.col("at") - reach).alias("pos")).distinct()
+    )
+    terms = asked.join(some.select("query").distinct(), "query").select(
+        "query", "spare", "terms", F.posexplode("order").alias("rank", "offset")
+    ).select("query", "spare", F.element_at("terms", F.col("offset") + 1).alias("term"), "offset", (F.col("rank") + 1).alias("rank"))
+    found = proximity_hits(words, terms, slop).select("query", "k1", "k2").distinct()
+    return found.join(windows.select("query", "terms"), "query").select("k1", "k2", "terms")
 
 
 def contamination(
     docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_id_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, round_words: int = ROUND_WORDS,
+    slop: int | None = None, missing: int = 1,
 ) -> DataFrame:
     """(id, k1, k2, n_words, n_hit, items): every document with its words inside benchmark windows.
 
@@ -170,6 +223,11 @@ def contamination(
     and an item without id marks words but is not listed. Repeated rows each get the same
     result. The benchmark is looked up in rounds of at most ``round_words`` words, so what
     a task holds of it is bounded; each round reads the documents.
+
+    With ``slop`` there is a further column ``near_items``: the items of which a window occurs
+    with its words at most ``slop`` positions from their places, counted from one of its rarest
+    words. Up to ``missing`` words of a window of ``size`` words may be absent or changed; all
+    words of a shorter item are needed. Exact occurrences are near ones too.
     """
     spark = docs.sparkSession
     rows = packed(docs, id_col, text_col).select("id", F.col("text").cast("string").alias("text")).withColumns(text_key())
@@ -178,7 +236,8 @@ def contamination(
     n_words = windows.agg(F.sum(F.size("terms"))).first()[0] or 0
     rounds = max(1, -(-int(n_words) // round_words))
     part = F.pmod(F.xxhash64("terms"), F.lit(rounds))
-    base, hits = None, []
+    reach = size if slop is None else size + slop
+    base, hits, near = None, [], []
     for r in range(rounds):
         block = [x["terms"] for x in windows.filter(part == r).select("terms").collect()]
         terms = np.unique(np.array([t for w in block for t in w], np.int64).view(U))
@@ -186,14 +245,24 @@ def contamination(
         found = _lookups(block, counts)
         first = np.unique(np.array([x[1] for x in found], np.int64).view(U))
         second = np.unique(np.array([x[3] for x in found], np.int64).view(U))
-        scanned = stored(scan(rows, first, second, size))
+        if slop is None:
+            scanned = stored(scan(rows, first, second, size))
+        else:
+            ranked = [(k, w, _rarest(w, counts)) for k, w in enumerate(block)]
+            some = [w[o] for _, w, order in ranked for o in order[: missing + 1]]
+            first = np.union1d(first, np.unique(np.array(some, np.int64).view(U)))
+            scanned = stored(scan(rows, first, second, reach, terms))
         base = scanned if base is None else base
         lookups = spark.createDataFrame(found, "terms array<bigint>, t1 bigint, o1 int, t2 bigint, o2 int")
         postings = (
             scanned.select("k1", "k2", F.inline("postings"))
             .groupBy("term", "k1", "k2", "pos").agg(F.first("around").alias("around"))
         )
-        hits.append(phrase_hits(stored(postings), lookups, size))
+        postings = stored(postings)
+        hits.append(phrase_hits(postings, lookups, reach))
+        if slop is not None:
+            asked = spark.createDataFrame(ranked, "query int, terms array<bigint>, order array<int>")
+            near.append(near_hits(postings, asked, size, slop, missing))
     every = hits[0]
     for h in hits[1:]:
         every = every.unionByName(h)
@@ -209,13 +278,24 @@ def contamination(
             lambda acc: acc["hit"],
         ).alias("n_hit"),
     )
-    listed = (
-        every.select("k1", "k2", "terms").distinct().join(items, "terms")
-        .groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    )
+
+    def listing(hits: DataFrame, name: str) -> DataFrame:
+        return (
+            hits.select("k1", "k2", "terms").distinct().join(items, "terms")
+            .groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item_id")).alias(name))
+        )
+
+    found = spans.join(listing(every, "items"), ["k1", "k2"], "left")
+    lists = ["items"]
+    if slop is not None:
+        close = near[0]
+        for h in near[1:]:
+            close = close.unionByName(h)
+        found = found.join(listing(close, "near_items"), ["k1", "k2"], "full")
+        lists.append("near_items")
     # a table of its own, so that the join below reads plain exchanges and can split copies of one text
-    result = stored(spans.join(listed, ["k1", "k2"], "left"))
+    result = stored(found)
     return base.select("id", "k1", "k2", "n_words").join(result, ["k1", "k2"], "left").select(
         "id", "k1", "k2", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists],
     )

@@ -94,6 +94,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_near_decontamination")
+def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_decontamination, with the items found exactly or by proximity counted as well."""
+    from .decontamination import contamination
+
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination(documents(spark, sf_dir), bench, slop=2)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("bigint").alias("n_near_items"),
+    )
+
+
 @query("op6_ngram_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import similar_groups

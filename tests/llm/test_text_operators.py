@@ -1,6 +1,7 @@
 """Line dedup, decontamination, quality and licences: edge cases and brute-force comparisons."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -75,6 +76,44 @@ def test_contamination_matches_brute_force(spark, table, round_words):
     assert contamination(table(docs).limit(0), bench).count() == 0
 
 
+def brute_near(docs, items, slop, missing, size=10):
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    texts = {i: words(t) for i, t in docs}
+    cf, out = Counter(w for t in texts.values() for w in t), {i: set() for i in texts}
+    for item, passage in items:
+        p = words(passage)
+        n = min(size, len(p))
+        for win in (p[k : k + n] for k in range(len(p) - n + 1)):
+            spare = missing if n == size else 0
+            pivots = sorted(range(n), key=lambda k: (cf[win[k]], k))[: spare + 1]
+            for i, t in texts.items():
+                starts = {q - o for o in pivots for q, w in enumerate(t) if w == win[o]}
+                near = lambda s, o: win[o] in t[max(0, s + o - slop) : max(0, s + o + slop + 1)]  # noqa: B023, E731
+                if any(sum(near(s, o) for o in range(n)) >= n - spare for s in starts):
+                    out[i].add(item)
+    return {i: sorted(x) for i, x in out.items()}
+
+
+@pytest.mark.parametrize("round_words", [1_000_000, 120])
+def test_near_passages_are_found_from_texts(spark, table, round_words):
+    w = [f"w{k}" for k in range(30)]
+    changed = [x if k % 8 else f"new{k}" for k, x in enumerate(w)]
+    inserted = [y for k, x in enumerate(w) for y in ([x, "and"] if k % 9 == 4 else [x])]
+    docs = [
+        (1, " ".join(["a b", *w, "c"])), (2, " ".join(["a b", *changed, "c"])), (3, " ".join(["zero", *inserted])), (4, " ".join(w[::-1])),
+        (5, " ".join(x if k % 4 else "no" for k, x in enumerate(w))), (6, "short old item"), (7, "short item"), (8, "item of short words"), (9, ""),
+    ]
+    rng = random.Random(8)
+    docs += [(100 + k, " ".join(f"w{rng.randrange(14)}" for _ in range(60))) for k in range(20)]
+    items = [("long", " ".join(w)), ("short", "short item"), ("loop", "w1 w2 w1 w2 w3 w1 w2 w1 w2 w3 w4")]
+    found = contamination(table(docs), spark.createDataFrame(items, "item_id string, text string"), round_words=round_words, slop=2).collect()
+    near = {r.id: r.near_items for r in found}
+    assert near[1] == near[2] == near[3] == ["long"] and near[4] == near[5] == [] and near[6] == near[7] == ["short"]
+    if round_words > 1000:
+        assert near == brute_near(docs, items, 2, 1)
+    assert {r.id for r in found if "long" in r["items"]} == {1}
+
+
 def test_proximity_allows_gaps(spark):
     posting = spark.createDataFrame([(1, 0, 0, 5), (2, 0, 0, 8), (1, 9, 9, 0), (2, 9, 9, 50)], "term bigint, k1 bigint, k2 bigint, pos int")
     asked = spark.createDataFrame([("q", 1, 0, 1), ("q", 2, 1, 2)], "query string, term bigint, offset int, rank int")
