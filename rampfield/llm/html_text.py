@@ -59,10 +59,13 @@ SCOPE = _set("table td th caption html template button object")
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 TAG_END = re.compile(r"[\s/]*>")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+RULE_START = re.compile(r"[^{};]*([{};]|$)")
+BRACE = re.compile(r"[{}]")
 SIMPLE = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)", re.I)
-NONE = re.compile(r"display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+DECLARED = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+WIDTH = re.compile(r"(min|max)-width\s*:\s*(\d*\.?\d+)(px|r?em)?", re.I)
+#: width in pixels of the screen that media queries ask for
+SCREEN = 1280
 #: cells are padded up to this width; longer ones reach out of their column, uncut
 WIDEST, NESTED_TABLES = 60, 20
 #: elements nested deeper become siblings, as in browsers
@@ -191,6 +194,8 @@ class Builder:
             self.close(("p",))
         if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
             self.stack.pop()
+        if self.stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self.stack.pop()
         if tag in ENDED_BY:
             enders, border = ENDED_BY[tag]
             self.end_open(enders.split(), border)
@@ -200,11 +205,13 @@ class Builder:
             self.open("tr", {})
         elif tag == "tr" and self.stack[-1].tag == "table":
             self.open("tbody", {})
-        elif tag not in ENDED_BY and tag not in HEAD and self.stack[-1].tag in TABLE_PARTS and tag not in ("col", "form", "input"):
+        inside = self.stack[-1].tag in TABLE_PARTS
+        if inside and tag not in ENDED_BY and tag not in ("col", "form", "input", "script", "style", "template"):
             self.foster(tag, attrs)
             return
         self.open(tag, attrs)
-        if tag in VOID:
+        # a form between the parts of a table is an empty element
+        if tag in VOID or (inside and tag == "form"):
             self.stack.pop()
 
     def end_open(self, enders: list[str], border: frozenset[str]) -> None:
@@ -256,7 +263,7 @@ class Builder:
     def text(self, data: str, raw: bool = False) -> None:
         top = self.stack[-1]
         if raw:
-            if top.tag == "style":
+            if top.tag == "style" and for_screen(top.attrs.get("media", "")):
                 self.styles.append(data)
             top.children.append(data)
             return
@@ -267,6 +274,8 @@ class Builder:
         elif len(self.stack) == 1:
             self.need_body()
         data = html.unescape(data) if "&" in data else data
+        if self.stack[-1].tag == "colgroup" and data.strip():
+            self.stack.pop()
         top = self.stack[-1]
         if top.tag in TABLE_PARTS:
             if data.strip():
@@ -276,13 +285,60 @@ class Builder:
         top.children.append(data)
 
 
-def hiding_rules(styles: list[str]) -> list[tuple[str, frozenset[str], frozenset[str], str]]:
-    """(tag, classes, ids, effect) of the simple selectors that change whether elements are shown."""
+def for_screen(media: str) -> bool:
+    """Whether a list of media queries holds on a screen of ``SCREEN`` pixels; unknown features hold."""
+    found = False
+    for query in media.lower().split(","):
+        words = query.split()
+        negated = words[:1] == ["not"]
+        kind = next((w for w in words if w not in ("not", "only")), "all")
+        holds = kind.startswith("(") or kind in ("all", "screen")
+        for side, value, unit in WIDTH.findall(query):
+            pixels = float(value) * (16 if unit.endswith("em") else 1)
+            holds = holds and (SCREEN >= pixels if side == "min" else SCREEN <= pixels)
+        found = found or holds != negated
+    return found
+
+
+def screen_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules of a sheet that hold on a screen, in order."""
+    todo = [re.sub(r"/\*.*?\*/|<!--|-->", "", sheet, flags=re.S)]
+    while todo:
+        css, at = todo.pop(), 0
+        while at < len(css):
+            m = RULE_START.match(css, at)
+            head, at = css[m.start() : m.start(1)].strip(), m.end()
+            if m[1] != "{":
+                continue
+            depth, stop = 1, len(css)
+            for b in BRACE.finditer(css, at):
+                depth += 1 if b[0] == "{" else -1
+                if depth == 0:
+                    stop = b.start()
+                    break
+            body, at = css[at:stop], stop + 1
+            if not head.startswith("@"):
+                yield head, body
+                continue
+            name, _, condition = head[1:].replace("(", " (", 1).partition(" ")
+            if (name.lower() == "media" and for_screen(condition)) or name.lower() in ("supports", "layer"):
+                # the rules inside come before the rest of the sheet
+                todo += [css[at:], body]
+                break
+
+
+def declared(body: str) -> list[tuple[str, str, bool]]:
+    """(display or visibility, value, whether important) of the declarations."""
+    return [(p.lower(), v.lower(), bool(important)) for p, v, important in DECLARED.findall(body)]
+
+
+def hiding_rules(styles: list[str]) -> list[tuple[str, frozenset[str], frozenset[str], list[tuple[str, str, bool]]]]:
+    """(tag, classes, ids, declarations) of the simple selectors that change whether elements are shown."""
     out = []
     for sheet in styles:
-        for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            effect = "none" if NONE.search(body) else (VISIBILITY.search(body) or ["", ""])[1].lower()
-            if not effect:
+        for selectors, body in screen_rules(sheet):
+            found = declared(body)
+            if not found:
                 continue
             for s in selectors.split(","):
                 m = SIMPLE.fullmatch(s.strip())
@@ -290,7 +346,7 @@ def hiding_rules(styles: list[str]) -> list[tuple[str, frozenset[str], frozenset
                     marks = re.findall(r"[.#][\w-]+", m[2])
                     out.append((
                         "" if m[1] in (None, "*") else m[1].lower(), frozenset(x[1:] for x in marks if x[0] == "."),
-                        frozenset(x[1:] for x in marks if x[0] == "#"), effect,
+                        frozenset(x[1:] for x in marks if x[0] == "#"), found,
                     ))
     return out
 
@@ -344,24 +400,29 @@ class Renderer:
     def shown(self, node: Node, visible: bool) -> tuple[bool, bool]:
         """(whether the element has a box, whether its own text is visible)."""
         tag, attrs = node.tag, node.attrs
-        if tag in UNSHOWN or "hidden" in attrs or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
-            return False, visible
-        if tag == "dialog" and "open" not in attrs:
+        if tag in UNSHOWN or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
             return False, visible
         if node.parent is not None and node.parent.tag == "details" and "open" not in node.parent.attrs and tag != "summary":
             return False, visible
-        effects = []
+        # the strongest declaration decides, of equal ones the last
+        best: dict[str, tuple[tuple, str]] = {}
+        matching = []
         if self.rules:
-            classes = frozenset(attrs.get("class", "").split())
-            effects = [e for t, c, i, e in self.rules if t in ("", tag) and c <= classes and i <= {attrs.get("id", "")}]
+            classes, own = frozenset(attrs.get("class", "").split()), {attrs.get("id", "")}
+            matching = [((0, len(i), len(c), t != ""), d) for t, c, i, d in self.rules if t in ("", tag) and c <= classes and i <= own]
         style = attrs.get("style", "")
         if style:
-            effects += ["none"] if NONE.search(style) else [m.lower() for m in VISIBILITY.findall(style)]
-        for e in effects:
-            if e == "none":
-                return False, visible
-            visible = e == "visible"
-        return True, visible
+            matching.append(((1, 0, 0, False), declared(style)))
+        for weight, declarations in matching:
+            for name, value, important in declarations:
+                strength = (important, *weight)
+                if name not in best or strength >= best[name][0]:
+                    best[name] = (strength, value)
+        closed = "hidden" in attrs or (tag == "dialog" and "open" not in attrs)
+        if best["display"][1] == "none" if "display" in best else closed:
+            return False, visible
+        value = best["visibility"][1] if "visibility" in best else ""
+        return True, value == "visible" if value in ("visible", "hidden", "collapse") else visible
 
     def render(self, top: Node, tables: int = 0, visible: bool = True) -> list[str]:
         """Lines of an element's content; the walk keeps its own stack, so nesting may be deep."""
@@ -469,7 +530,9 @@ class Renderer:
             if part.tag == "caption":
                 lines += self.render(part, depth, seen)
             elif part.tag == "tr":
-                rows.append([(c, s) for c, s in self._parts(part, seen) if c.tag in ("td", "th")])
+                rows.append([x for c, s in self._parts(part, seen) for x in self._cell(c, s)])
+            else:
+                rows += [[x] for x in self._cell(part, seen)]
         grid: list[list[tuple[int, int, list[str]]]] = []
         held: dict[int, int] = {}
         for row in rows:
@@ -510,6 +573,19 @@ class Renderer:
             lines.pop()
         return lines
 
+    def _cell(self, node: Node, visible: bool) -> list[tuple[Node, bool]]:
+        """The cell, or one around anything else that has text."""
+        if node.tag in ("td", "th"):
+            return [(node, visible)]
+        todo = [node]
+        while todo:
+            for child in todo.pop().children:
+                if isinstance(child, Node):
+                    todo.append(child)
+                elif child.strip():
+                    return [(Node("td", {}, None, [node]), visible)]
+        return []
+
     def _parts(self, node: Node, visible: bool) -> Iterator[tuple[Node, bool]]:
         """Shown rows, captions or cells below an element, sections taken apart."""
         for child in node.children:

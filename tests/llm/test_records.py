@@ -80,6 +80,22 @@ def test_html_layout(page, text):
     assert html_to_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<table><form><tr><td>a<td>b</form></table>c", "a  b\n\nc"), ("<table><tr><form><td>a<td>b</table>", "a  b"),
+    ("<table><tr><td>a</td><noscript>n</noscript><td>b</table>", "n\n\na  b"), ("<table><colgroup>t<col><tr><td>a</table>", "t\n\na"),
+    ("<style>.tab{display:none} .tab.active{display:block}</style><p class=tab>x<p class='tab active'>a", "a"),
+    ("<style>.tab.active{display:block} .tab{display:none}</style><p class='tab active'>a", "a"),
+    ("<style>.n{display:none}</style><p class=n style='display:block'>a", "a"), ("<p hidden style='display:block'>a", "a"),
+    ("<style>.n{display:none !important}</style><p class=n style='display:block'>a<p>b", "b"),
+    ("<style>@media print{.n{display:none}} .m{display:none}</style><p class=n>a<p class=m>x", "a"),
+    ("<style>@media screen{.n{display:none}}</style><p class=n>x<p>a", "a"), ("<style media=print>p{display:none}</style><p>a", "a"),
+    ("<style>@import 'x'; @media (max-width: 600px){.n{display:none}.o{color:red}} .m{display:none}</style><p class=n>a<p class=m>x", "a"),
+    ("<style>@font-face{font-family:x} @media not print{.n{display:none}}</style><p class=n>x<p>a", "a"),
+])
+def test_html_shown_text_is_kept(page, text):
+    assert html_to_text(page) == text
+
+
 def test_html_text_keeps_all_words(spark):
     class Words(HTMLParser):
         def __init__(self):
