@@ -243,6 +243,44 @@ def src7_resolved(spark, sf):
     return sampling.resolve_interval(found, 4e-8, "hdf5").select("pair", "violation")
 
 
+def channels_of_orders(spark, sf, nt):
+    """Neighbouring orders as voltage (even key) and current of a pair, so a channel has one entry."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    return sampling.channel_agreement(sampling.intervals_from_clock(table(spark, sf, "orders").select(
+        F.floor(key / 2).alias("pair"), (key % 2).alias("channel"), nt.alias("nt"), F.lit(1e8).alias("clock_rate_hz"),
+        (2.0 + 2 * (F.floor(cust / 2) % 2)).alias("sample_average"),
+    )), ["pair"], 0, 1)
+
+
+PAIRED_ORDERS_SQL = """e AS (SELECT o_orderkey // 2 AS pair, o_orderkey % 2 AS channel, 64 + o_custkey % 2 AS nt, o_custkey // 2 % 2 AS slow FROM orders),
+p AS (SELECT pair, greatest(count(*) FILTER (channel = 0), count(*) FILTER (channel = 1)) AS entries,
+  max(nt) FILTER (channel = 0) AS v_nt, max(nt) FILTER (channel = 1) AS i_nt,
+  max(slow) FILTER (channel = 0) AS v_slow, max(slow) FILTER (channel = 1) AS i_slow FROM e GROUP BY pair)"""
+
+
+@reg.add(
+    "SRC7_channel_agreement_single",
+    "WITH " + PAIRED_ORDERS_SQL + """
+SELECT pair::BIGINT AS pair, v_nt::BIGINT AS v_nt, CASE WHEN entries > 1 THEN 'several entries of a channel'
+  WHEN v_nt IS NULL OR i_nt IS NULL THEN 'missing trace length' WHEN v_nt <> i_nt THEN 'different trace lengths'
+  WHEN v_slow <> i_slow THEN 'different sample intervals' END AS violation FROM p""",
+)
+def src7_agreement_single(spark, sf):
+    found = channels_of_orders(spark, sf, 64 + F.col("o_custkey") % 2)
+    return found.select("pair", F.col("v_nt").cast("bigint").alias("v_nt"), "violation")
+
+
+@reg.add(
+    "SRC7_resolved_interval_single",
+    "WITH " + PAIRED_ORDERS_SQL + """
+SELECT pair::BIGINT AS pair, CASE WHEN entries > 1 THEN 'several entries of a channel'
+  WHEN v_nt IS NULL OR i_nt IS NULL THEN 'missing trace length' WHEN v_slow <> i_slow THEN 'different sample intervals'
+  WHEN v_slow <> 1 THEN 'voltage interval changed' END AS violation FROM p""",
+)
+def src7_resolved_single(spark, sf):
+    return sampling.resolve_interval(channels_of_orders(spark, sf, F.lit(64)), 4e-8, "hdf5").select("pair", "violation")
+
+
 # --- SRC8 ----------------------------------------------------------------------------
 
 

@@ -350,3 +350,16 @@ def test_scan_parameters_are_checked():
     ):
         with pytest.raises(ValueError):
             scan(**bad)
+
+
+def test_single_entries_reach_every_comparison(spark, tmp_path):
+    from checks.fields import reg
+
+    cust = [0, 0, 0, 1, 0, 2, 2, 2, 4]
+    orders = spark.createDataFrame(list(enumerate(cust)), "o_orderkey bigint, o_custkey bigint")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = lambda name: {r.pair: r.violation for r in reg.queries[name](spark, str(tmp_path)).collect()}
+    lengths, intervals, missing = "different trace lengths", "different sample intervals", "missing trace length"
+    assert found("SRC7_channel_agreement_single") == {0: None, 1: lengths, 2: intervals, 3: None, 4: missing}
+    changed = "voltage interval changed"
+    assert found("SRC7_resolved_interval_single") == {0: changed, 1: changed, 2: intervals, 3: None, 4: missing}
