@@ -203,7 +203,7 @@ def src7(spark, sf):
     off = F.when(F.col("k") == 5, F.lit(1e-8)).otherwise(F.lit(0.0))
     t = F.when(F.col("series") % 3 == 0, F.col("k") * 2e-6).when(F.col("k") == 4, F.lit(1e-5)).otherwise(F.col("k") * 2e-6 + off)
     axis = series(spark, sf).select("series", "k", t.alias("t_s"))
-    return sampling.intervals_from_axis(axis, ["series"]).where("nt > 6").select(
+    return sampling.intervals_from_axis(axis, ["series"]).select(
         "series", "nt", rounded(F.col("dt_s") * 1e6, 6).alias("dt_us"), "linear"
     )
 

@@ -396,19 +396,22 @@ def bulk_windows(
     Temperatures are searched between the parameters' bounds unless others are given.
 
     One row per (trace, width); ``stable`` marks windows that agree with the two
-    narrower ones, ``is_bulk`` the widest stable window of the trace.
+    narrower ones, ``is_bulk`` the widest stable window of the trace.  Without an ion
+    estimate the checks fail; a trace without any window has one row with null width and fit.
     """
     lower_eV = params.te_min_eV if lower_eV is None else lower_eV
     upper_eV = params.te_max_eV if upper_eV is None else upper_eV
     upper = X.col("vp_derivative_V") - params.te_margin_from_vp
     traces = put(
-        stages.where("vp_derivative_V is not null and vf_V is not null and ion.current is not null"),
-        {"_upper": upper, "_dv": median(diffs(X.col("vb"))), "noise_A": X.col("ion.noise")},
+        stages, {"_upper": upper, "_dv": median(diffs(X.col("vb"))), "noise_A": X.col("ion.noise")}
     ).select(*keys, "vb", "ib", "_upper", "_dv", "noise_A")
-    widths = F.array(*[F.lit(float(w)) for w in BULK_WINDOW_WIDTHS_V])
-    spread = traces.select("*", F.explode(widths).alias("width_V")).where(
-        F.col("vb")[0] <= F.col("_upper") - F.col("width_V") + F.col("_dv")
+    least = max(params.te_min_points, MIN_CURVE_POINTS)
+    widths = F.filter(
+        F.array(*[F.lit(float(w)) for w in BULK_WINDOW_WIDTHS_V]),
+        lambda w: (F.get("vb", F.lit(0)) <= F.col("_upper") - w + F.col("_dv"))
+        & (F.size(F.filter("vb", lambda x: x.between(F.col("_upper") - w, F.col("_upper")))) >= least),
     )
+    spread = traces.select("*", F.explode_outer(widths).alias("width_V"))
 
     def slices(s: Text) -> Text:
         start = prefix_length(s.v, lambda x: x < s.upper - s.width)
@@ -428,7 +431,7 @@ def bulk_windows(
     )
     windows = put(sliced, {"wv": X.col("_s.wv"), "wi": X.col("_s.wi")}).drop(
         "_s", "vb", "ib", "_upper", "_dv"
-    ).where(F.size("wv") >= max(params.te_min_points, MIN_CURVE_POINTS))
+    )
     checked = window_checks(fit_windows(windows, lower_eV, upper_eV), params)
     w = Window.partitionBy(*keys).orderBy("width_V")
     good = F.col("bg.valid") & F.col("residual_pass") & F.col("bulk_log_pass")
@@ -498,7 +501,7 @@ def window_checks(fits: DataFrame, params: FitParams) -> DataFrame:
         )
 
     checks = X.when(
-        X.col("bg").is_set(),
+        X.col("bg").is_set() & X.col("noise_A").is_set(),
         let_struct(
             judge, v=X.col("wv"), i=X.col("wi"), e=X.col("bg.exponential_A"),
             b=X.col("bg.background_A"), noise=X.col("noise_A"), te=X.col("bg.te_eV"),
@@ -512,8 +515,11 @@ def window_checks(fits: DataFrame, params: FitParams) -> DataFrame:
         put(fits, "_check", checks),
         {
             "residual_pass": X.coalesce(
-                X.col("bg.rmse_A")
-                <= X.greatest(1.5 * X.col("noise_A"), 0.005 * X.col("bg.amplitude_A")),
+                X.col("noise_A").is_set()
+                & (
+                    X.col("bg.rmse_A")
+                    <= X.greatest(1.5 * X.col("noise_A"), 0.005 * X.col("bg.amplitude_A"))
+                ),
                 X.lit(False),
             ),
             "bulk_log_pass": X.coalesce(X.col("_check.ok"), X.lit(False)),

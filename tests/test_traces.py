@@ -10,7 +10,7 @@ from rampfield.functions.physics import electron_density_m3
 from rampfield.functions.text import X, put
 from rampfield.operators import background, quality, saturation, sweep
 from rampfield.params import FitParams
-from rampfield.plans.trace import analyze_traces
+from rampfield.plans.trace import analyze_traces, stages
 
 E, ME = 1.602176634e-19, 9.1093837139e-31
 AREA, TE, VP, NE, IION = 4e-6, 3.0, 10.0, 1e16, -2e-4
@@ -219,3 +219,18 @@ def test_parameters_are_checked():
     ):
         with pytest.raises(ValueError):
             FitParams(**bad)
+
+
+def test_windows_of_every_trace(spark, traces):
+    done = stages(traces, BASE).withColumn("ion", F.when(F.col("trace") != "ideal", F.col("ion")))
+    rows = background.bulk_windows(done, ["trace"], BASE).select(
+        "trace", "width_V", "bg.te_eV", "residual_pass", "bulk_log_pass", "stable", "is_bulk"
+    ).collect()
+    known = {r.trace: r for r in done.select("trace", "vp_derivative_V", "vf_V", "ion.current", "ion.noise").collect()}
+    assert {r.trace for r in rows} == set(known)
+    assert all(r.width_V is None for r in rows if known[r.trace].vp_derivative_V is None)
+    unjudged = [r for r in rows if known[r.trace].noise is None]
+    left_out = {n for n, k in known.items() if k.vf_V is None or k.current is None}
+    assert any(r.trace in left_out and r.te_eV is not None for r in rows)
+    assert not any(r.residual_pass or r.bulk_log_pass or r.stable or r.is_bulk for r in unjudged)
+    assert all(sum(r.trace == n and r.width_V is None for r in rows) <= 1 for n in known)
