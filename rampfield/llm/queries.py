@@ -192,3 +192,66 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.array_join("families", ",").alias("families"),
         F.coalesce(F.size("found"), F.lit(0)).alias("n_found"),
     )
+
+
+OP11_SQL = """
+WITH RECURSIVE
+shown AS (
+  SELECT *, CASE WHEN xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b:
+           list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, b)),
+           4294967295::BIGINT), 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+base AS MATERIALIZED (
+  SELECT doc_id, coalesce('1' || source, '0') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS claim FROM shown),
+tree AS (
+  SELECT g, 0::BIGINT AS l, i, n, leaf AS h FROM base
+  UNION ALL
+  SELECT g, l + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY g, l, i // 3, n),
+nodes AS MATERIALIZED (SELECT * FROM tree),
+sub AS MATERIALIZED (
+  SELECT g, h AS subroot, l AS top, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+whole AS (
+  SELECT 0::BIGINT AS l, i, n, subroot AS h FROM sub
+  UNION ALL
+  SELECT l + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM whole WHERE n > 1 GROUP BY l, i // 3, n),
+upper AS MATERIALIZED (SELECT * FROM whole),
+steps AS MATERIALIZED (
+  SELECT b.doc_id, b.l, string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < b.at) AS before,
+         string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > b.at) AS after
+  FROM (SELECT doc_id, g, r.l, b.i // pow(3, r.l)::BIGINT AS at FROM base b JOIN sub USING (g), range(40) r(l) WHERE r.l < top) b
+  JOIN nodes t ON t.g = b.g AND t.l = b.l AND t.i // 3 = b.at // 3 GROUP BY ALL
+  UNION ALL
+  SELECT b.doc_id, b.top + b.l, string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < b.at), string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > b.at)
+  FROM (SELECT doc_id, top, r.l, sub.i // pow(3, r.l)::BIGINT AS at FROM base b JOIN sub USING (g), range(40) r(l)
+        WHERE r.l < (SELECT max(l) FROM upper)) b
+  JOIN upper t ON t.l = b.l AND t.i // 3 = b.at // 3 GROUP BY ALL),
+folded AS (
+  SELECT doc_id, 0::BIGINT AS l, claim AS h FROM base
+  UNION ALL
+  SELECT f.doc_id, f.l + 1, sha256(coalesce(before, '') || h || coalesce(after, ''))
+  FROM folded f JOIN steps s ON s.doc_id = f.doc_id AND s.l = f.l),
+proof AS (
+  SELECT doc_id, string_agg(coalesce(before, '') || coalesce(after, ''), '' ORDER BY l) AS p FROM steps GROUP BY doc_id)
+SELECT b.doc_id, b.leaf, sub.subroot, r.h AS root, sha256(coalesce(p, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM base b JOIN sub USING (g) JOIN upper r ON r.n = 1 LEFT JOIN proof p ON p.doc_id = b.doc_id
+JOIN folded f ON f.doc_id = b.doc_id AND f.l = sub.top + r.l
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fold, manifest, proof_digest, proofs
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    shown = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = proofs(manifest(docs, presented={"text": shown}))
+    out = found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"),
+        fold(F.col("claim"), F.col("steps")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
