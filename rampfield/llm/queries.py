@@ -255,3 +255,32 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         fold(F.col("claim"), F.col("steps")).alias("folded_root"),
     )
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP13_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e')) AS n,
+         length(replace(replace(replace(replace(coalesce(role, ''), '\', '\b'), '###', '\h'), '</turn>', '\e'), ': ', '\c')) AS m FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + m + 2 + n + 8)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op13_chat_formatting", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, event_log, folded, rendered
+
+    told = F.lit("\\### Assistant: </turn> ok").alias("text")
+    added = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), told,
+    )
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").union(added)
+    return digests(rendered(folded(event_log(turns))))
