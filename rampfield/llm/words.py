@@ -1,7 +1,7 @@
 """Word hashes of many texts at once, with NumPy inside a task.
 
-The bytes of a block of texts are one array. A prefix sum of byte codes times powers of
-an odd base gives the hash of every word by one subtraction and one multiplication.
+The bytes of a block of texts are one array, and all its words are hashed together: eight
+bytes of every word at a time are mixed into its hash, which begins with its length.
 """
 
 from __future__ import annotations
@@ -9,14 +9,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 
 BLOCK = 2_000_000
 U = np.uint64
-_BASE, _INVERSE = 0x9E3779B97F4A7C17, pow(0x9E3779B97F4A7C17, -1, 1 << 64)
-_CODES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.int64).view(U) * U(2) + U(1)
-_powers: dict[int, np.ndarray] = {}
+#: longer words, in bytes, are hashed one by one
+LONG = 512
+_ODD = U(0x9E3779B97F4A7C17)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,15 +30,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        full = np.full(max(n, BLOCK + 1), base, U)
-        full[0] = 1
-        have = _powers[base] = np.cumprod(full, dtype=U)
-    return have[:n]
-
-
 @dataclass(frozen=True)
 class Alphabet:
     """Which bytes belong to words, after A-Z became a-z. A line feed must not belong."""
@@ -98,12 +91,23 @@ def word_hashes(texts: list[bytes], alphabet: Alphabet) -> tuple[np.ndarray, np.
 
 
 def _hash_block(pieces: list[bytes], alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
-    x = _LOWER[np.frombuffer(b"\n".join(pieces) + b"\n", np.uint8)]
-    edge = np.diff(np.frombuffer(alphabet.inside, np.uint8)[x].astype(np.int8), prepend=np.int8(0))
+    x = _LOWER[np.frombuffer(b"\n".join(pieces) + b"\n" + bytes(8), np.uint8)]
+    edge = np.diff(np.frombuffer(alphabet.inside, np.uint8)[x[:-8]].astype(np.int8), prepend=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.zeros(len(x) + 1, U)
-    np.cumsum(_CODES[x] * powers(_BASE, len(x)), dtype=U, out=total[1:])
-    h = mix((total[end] - total[start]) * powers(_INVERSE, len(x))[start] + (end - start).astype(U))
+    size = end - start
+    h = mix(size.astype(U))
+    # the eight bytes from every place on
+    at_once = np.lib.stride_tricks.as_strided(x, (len(x) - 7, 8), (1, 1))
+    left = np.flatnonzero(size <= LONG)
+    done = 0
+    while len(left):
+        eight = np.ascontiguousarray(at_once[start[left] + done]).view("<u8")[:, 0]
+        rest = size[left] - done
+        h[left] = mix(h[left] ^ ((eight & _LOW[np.minimum(rest, 8)]) * _ODD))
+        done += 8
+        left = left[rest > 8]
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = int.from_bytes(blake2b(x[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
     at = np.cumsum([len(p) + 1 for p in pieces])
     return h, np.diff(np.searchsorted(start, at), prepend=0)
 
