@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rampfield.functions.kernels import butterworth_sections
 from rampfield.operators import fields as L
+from rampfield.operators.lowpass import butterworth
 from rampfield.sources import catalogue, geometry, sampling
 
 from .common import MAP_SQL, R, SERIES_SQL, Registry, gappy_series, map_cells, rounded, series, table
@@ -80,14 +82,53 @@ def l3(spark, sf):
     return _out(L.savgol(rows.join(long_enough, "series", "left_semi"), ["series"], 7, 2, chunk=CHUNK))
 
 
-# The recursion is checked against a direct filter on fixtures in the tests.
-@reg.add("L5_butterworth")
+def _recursion(name: str, source: str, sections) -> str:
+    """One pass of the sections over (series, p, x), a row at a time: (series, p, y)."""
+    def section(s, x, held):
+        b0, b1, b2, a1, a2 = sections[s]
+        y = f"({b0!r} * {x} + {held}[{2 * s + 1}])"
+        return y, [f"{b1!r} * {x} - ({a1!r}) * {y} + {held}[{2 * s + 2}]", f"{b2!r} * {x} - ({a2!r}) * {y}"]
+
+    level, state = "x", []
+    for b0, b1, b2, a1, a2 in sections:
+        gain = (b0 + b1 + b2) / (1 + a1 + a2)
+        state += [f"{level} * {gain - b0!r}", f"{level} * ({b2 - a2 * gain!r})"]
+        level = f"({level} * {gain!r})"
+    steps = ["x"]
+    after: list[str] = []
+    for s in range(len(sections)):
+        y, z = section(s, steps[-1], "z")
+        steps.append(y)
+        after += z
+    return f"""
+{name} AS (
+  SELECT series, -1::BIGINT AS p, NULL::DOUBLE AS y, [{", ".join(state)}] AS z FROM {source} WHERE p = 0
+  UNION ALL
+  SELECT {source}.series, {source}.p, {steps[-1]}, [{", ".join(after)}]
+  FROM {name} JOIN {source} ON {source}.series = {name}.series AND {source}.p = {name}.p + 1)"""
+
+
+L5_SECTIONS = butterworth_sections(3, 0.1, 1.0)
+L5_SQL = (
+    "WITH RECURSIVE " + SERIES_SQL + f""",
+ends AS (SELECT series, count(*) AS n, least(count(*) - 1, {3 * (2 * len(L5_SECTIONS) + 1)}) AS pad, arg_min(y, k) AS x0, arg_max(y, k) AS xn
+  FROM ser GROUP BY series HAVING count(*) >= 2),
+ext AS MATERIALIZED (
+  SELECT series, k + pad AS p, y AS x FROM ser JOIN ends USING (series)
+  UNION ALL SELECT series, pad - k, 2 * x0 - y FROM ser JOIN ends USING (series) WHERE k BETWEEN 1 AND pad
+  UNION ALL SELECT series, pad + 2 * (n - 1) - k, 2 * xn - y FROM ser JOIN ends USING (series) WHERE k BETWEEN n - 1 - pad AND n - 2),
+""" + _recursion("fw", "ext", L5_SECTIONS) + """,
+back AS MATERIALIZED (SELECT series, n + 2 * pad - 1 - p AS p, y AS x FROM fw JOIN ends USING (series) WHERE p >= 0),
+""" + _recursion("bw", "back", L5_SECTIONS) + f"""
+SELECT series, n + pad - 1 - p AS k, {R('y', 6)} AS smooth FROM bw JOIN ends USING (series) WHERE n + pad - 1 - p BETWEEN 0 AND n - 1"""
+)
+
+
+@reg.add("L5_butterworth", L5_SQL)
 def l5(spark, sf):
     rows = _input(spark, sf)
     long_enough = L.series_lengths(rows, ["series"]).where("_n >= 2").select("series")
-    return _out(
-        L.butterworth(rows.join(long_enough, "series", "left_semi"), ["series"], cutoff=0.1, fs=1.0, order=3, chunk=64)
-    )
+    return _out(butterworth(rows.join(long_enough, "series", "left_semi"), ["series"], cutoff=0.1, fs=1.0, order=3))
 
 
 ANGLE_SQL = """

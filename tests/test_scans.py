@@ -12,6 +12,7 @@ from rampfield.functions.text import X
 from rampfield.operators import calibration as K
 from rampfield.operators import conditioning as C
 from rampfield.operators import fields as L
+from rampfield.operators import lowpass
 from rampfield.operators import spatial as G
 from rampfield.operators.keys import attach_by_key, exact_quantiles, position_in_group
 from rampfield.params import FitParams, ScanParams
@@ -162,24 +163,42 @@ def direct_zero_phase(x, order, cutoff, fs):
     return once(once(ext)[::-1])[::-1][pad : pad + len(x)]
 
 
-def test_butterworth_over_chunks_equals_direct_filter(spark):
+@pytest.mark.parametrize("group", [2, 3, 1024])
+def test_butterworth_over_chunks_equals_direct_filter(spark, monkeypatch, group):
+    """Also with few chunks in a group, so that states pass over several groups."""
+    monkeypatch.setattr(lowpass, "GROUP", group)
     t = np.arange(400)
     slow, fast = np.sin(2 * np.pi * 0.01 * t), 0.5 * np.sin(2 * np.pi * 0.3 * t)
-    cases = {1: slow + fast, 2: np.linspace(-3, 5, 400), 3: slow[:9]}
+    cases = {1: slow + fast, 2: np.linspace(-3, 5, 400), 3: slow[:9], 4: fast[:37], 5: fast[:38], 6: slow[:2], None: fast[:111]}
     df = spark.createDataFrame(
         [(s, k, float(x)) for s, xs in cases.items() for k, x in enumerate(xs)], "s int, k long, value double"
-    )
-    rows = L.butterworth(df, ["s"], cutoff=0.05, fs=1.0, order=5, chunk=37).collect()
+    ).repartition(5)
+    rows = lowpass.butterworth(df, ["s"], cutoff=0.05, fs=1.0, order=5, chunk=37).collect()
+    of = lambda s: sorted((r for r in rows if r["s"] == s), key=lambda r: r["k"])
     for s, xs in cases.items():
-        got = np.array([r["smooth"] for r in sorted((r for r in rows if r["s"] == s), key=lambda r: r["k"])])
-        assert np.allclose(got, direct_zero_phase(xs, 5, 0.05, 1.0), atol=1e-9)
-    smooth = np.array([r["smooth"] for r in sorted((r for r in rows if r["s"] == 1), key=lambda r: r["k"])])
+        got = of(s)
+        assert [r["k"] for r in got] == list(range(len(xs)))
+        assert np.allclose([r["smooth"] for r in got], direct_zero_phase(xs, 5, 0.05, 1.0), atol=1e-9)
+    smooth = np.array([r["smooth"] for r in of(1)])
     assert np.abs(smooth[50:-50] - slow[50:-50]).max() < 0.01
     # Away from the start-up transient of its ends a ramp passes unchanged.
-    line = np.array([r["smooth"] for r in sorted((r for r in rows if r["s"] == 2), key=lambda r: r["k"])])
+    line = np.array([r["smooth"] for r in of(2)])
     assert np.allclose(line[150:250], cases[2][150:250], atol=1e-4)
 
 
+def test_butterworth_of_gaps_short_and_empty_series(spark):
+    rows = [(1, k, float(k)) for k in range(60)] + [(2, k, None if k == 50 else float(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "s int, k int, value double")
+    got = lowpass.butterworth(df, ["s"], cutoff=0.1, dt=1.0, order=3, chunk=20).collect()
+    assert len(got) == 120 and all((r["smooth"] is None) == (r["s"] == 2) for r in got)
+    with pytest.raises(Exception, match="at least 2 samples"):
+        lowpass.butterworth(df.where("k = 0"), ["s"], cutoff=0.1, fs=1.0).collect()
+    assert lowpass.butterworth(df.where("k < 0"), ["s"], cutoff=0.1, fs=1.0).collect() == []
+    for bad in ({}, {"fs": -1.0}, {"fs": 0.1}, {"fs": 1.0, "chunk": 8}):
+        with pytest.raises(ValueError):
+            lowpass.butterworth(df, ["s"], cutoff=0.1, **bad)
+
+
 def test_rotation_angle_is_found(spark):
     t = np.linspace(0, 20, 500)
     a = 0.3
