@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rampfield.params import FitParams, ScanParams
+from rampfield.sources.scratch import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -204,11 +206,8 @@ raw AS MATERIALIZED (
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A fresh folder that every executor can reach: under spark.checkpoint.dir, or else the warehouse."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/rampfield-{uuid.uuid4().hex}"
+    """A fresh folder that every executor can reach."""
+    return scratch_folder(spark)
 
 
 # --- grids and series ----------------------------------------------------------------
@@ -304,3 +303,23 @@ def gappy_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).select(
         "series", "k", F.when((F.col("k") > 2) & (F.col("k") % 5 != 3), F.col("by")).alias("value")
     )
+
+
+# --- small scans ---------------------------------------------------------------------
+
+#: fifty shots make a run, so that the given vectors fill whole scans
+SMALL_SCAN = replace(SIGNAL_SCAN, ny=5, isat_start=2, isat_end=6, fit=FitParams(iv_npts=32, probe_area=4e-6))
+
+
+def small_scan_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as raw shots of many small scans."""
+    e = table(spark, sf_dir, "embeddings").withColumn("shot", F.floor(F.col("vec_id") / 2))
+    return e.select(
+        F.concat(F.lit("e"), F.floor(F.col("shot") / SMALL_SCAN.last_shot).cast("string")).alias("run"),
+        F.lit(1).alias("board"), (F.col("vec_id") % 2).cast("int").alias("channel"),
+        (F.col("shot") % SMALL_SCAN.last_shot + 1).cast("bigint").alias("shotnum"),
+        F.col("embedding").alias("signal"), F.lit(1e-6).alias("dt_s"),
+    )
+
+
+SMALL_SCAN_SQL = SIGNAL_SQL.replace("1000", "50").replace("99 -", "4 -")

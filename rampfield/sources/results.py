@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.calibration import shape_factors
 from ..params import GEOMETRIES
+from .store import read_table
 
 TABLES = ("fits", "profiles", "waveforms", "iv_grid", "runs")
 PARTITIONS = ("geometry", "run")
@@ -75,7 +76,7 @@ def compact_arrays(
 
 def stored_geometries(spark: SparkSession, root: str, table: str = "profiles") -> DataFrame:
     """RD1: geometries present, from the partition values alone."""
-    return spark.read.parquet(f"{root}/{table}").select("geometry").distinct()
+    return read_table(spark, root, table).select("geometry").distinct()
 
 
 def choose_geometry(spark: SparkSession, root: str, geometry: str | None = None) -> str:
@@ -115,7 +116,7 @@ def read_results(
     if summary_only and fields is not None:
         raise ValueError("summary_only and fields cannot be used together.")
     chosen = choose_geometry(spark, root, geometry)
-    table = spark.read.parquet(f"{root}/profiles")
+    table = read_table(spark, root, "profiles")
     missing = missing_fields(table, chosen)
     if missing:
         raise ValueError(f"stored {chosen} results lack required fields: {missing}")

@@ -18,6 +18,8 @@ from rampfield.operators.keys import attach_by_key, exact_quantiles, position_in
 from rampfield.params import FitParams, ScanParams
 from rampfield.plans.scan import run_scan
 from rampfield.sources import geometry, results, shots
+from rampfield.sources.store import Staged, read_table, remove_replaced
+from rampfield.sources.tensors import dense_blocks, tensor_cells
 
 
 def scan(**changes):
@@ -270,13 +272,13 @@ def test_scan_is_stored_and_read_back(spark, raw_scan, mode, fits):
     )
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     run_scan(spark, raw_scan, s, root)
-    assert spark.read.parquet(f"{root}/fits").count() == fits
+    assert read_table(spark, root, "fits").count() == fits
     rows = results.read_results(spark, root).collect()
     assert len(rows) == 4 and all(r["te_eV"] == pytest.approx(3.0, rel=0.05) for r in rows)
     assert all(r["analysis_valid_count"] == (3 if mode == "individual" else 1) for r in rows)
-    assert spark.read.parquet(f"{root}/waveforms").count() == 2 * 2 * 400
-    assert spark.read.parquet(f"{root}/iv_grid").count() == 2 * 2 * 32
-    info = spark.read.parquet(f"{root}/runs").first()
+    assert read_table(spark, root, "waveforms").count() == 2 * 2 * 400
+    assert read_table(spark, root, "iv_grid").count() == 2 * 2 * 32
+    info = read_table(spark, root, "runs").first()
     assert info["shot_statistics_available"] == (mode == "individual")
     with pytest.raises(KeyError):
         results.read_results(spark, root, fields=["nothing"])
@@ -300,7 +302,7 @@ def test_a_later_scan_leaves_the_settings_of_earlier_runs(spark, raw_scan):
     run_scan(spark, raw_scan, small_scan(), root)
     later = small_scan(fit=small_scan().fit.with_(te_min_r2=0.97))
     run_scan(spark, raw_scan.withColumn("run", F.lit("second")), later, root)
-    kept = {r["run"]: r["te_min_r2"] for r in spark.read.parquet(f"{root}/runs").collect()}
+    kept = {r["run"]: r["te_min_r2"] for r in read_table(spark, root, "runs").collect()}
     assert kept == {"r": small_scan().fit.te_min_r2, "second": 0.97}
 
 
@@ -382,3 +384,117 @@ def test_single_entries_reach_every_comparison(spark, tmp_path):
     assert found("SRC7_channel_agreement_single") == {0: None, 1: lengths, 2: intervals, 3: None, 4: missing}
     changed = "voltage interval changed"
     assert found("SRC7_resolved_interval_single") == {0: changed, 1: changed, 2: intervals, 3: None, 4: missing}
+
+
+# --- store, index and export ---------------------------------------------------------
+
+
+def test_a_failed_write_changes_no_table(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = lambda n, run="007": spark.range(n).select(F.lit("x_line").alias("geometry"), F.lit(run).alias("run"), "id")
+
+    def write(n, run="007", fail=False):
+        staged = Staged(spark, root)
+        staged.write(rows(n, run), "fits")
+        if fail:
+            raise OSError("lost between two tables")
+        staged.write(rows(n, run), "shots")
+        staged.commit(rows(n, run))
+
+    sizes = lambda: {(t, r["run"]): r["count"] for t in ("fits", "shots") for r in read_table(spark, root, t).groupBy("run").count().collect()}
+    write(3)
+    write(5, "b")
+    before = sizes()
+    assert before == {("fits", "007"): 3, ("shots", "007"): 3, ("fits", "b"): 5, ("shots", "b"): 5}
+    with pytest.raises(OSError):
+        write(4, fail=True)
+    assert sizes() == before
+    write(2)
+    assert sizes() == {**before, ("fits", "007"): 2, ("shots", "007"): 2}
+    # the replaced and the failed version go, those in use stay
+    assert remove_replaced(spark, root) == []
+    assert len(remove_replaced(spark, root, older_than_s=0)) == 2
+    assert sizes() == {**before, ("fits", "007"): 2, ("shots", "007"): 2}
+    with pytest.raises(ValueError):
+        Staged(spark, root).write(rows(1), "nothing")
+
+
+def test_table_without_rows_is_read(spark, tmp_path):
+    root = str(tmp_path / "store")
+    row = spark.range(1).select(F.lit("x_line").alias("geometry"), F.lit("r").alias("run"), "id")
+    staged = Staged(spark, root)
+    assert staged.write(row.where("id > 5"), "fits").count() == 0
+    staged.commit(row)
+    assert read_table(spark, root, "fits").collect() == [] and "id" in read_table(spark, root, "fits").columns
+
+
+def test_blocks_hold_every_cell(spark):
+    rng = np.random.default_rng(4)
+    cells = [(r, y, x, float(rng.normal()), [float(v) for v in rng.normal(size=int(rng.integers(0, 6)))] if rng.random() > 0.2 else None)
+             for r in ("a", "b") for y in range(3) for x in range(7) if rng.random() > 0.4]
+    df = spark.createDataFrame(cells + cells[:1], "run string, iy int, ix int, v double, g array<double>")
+    axes = {"iy": 3, "ix": 7}
+    flat = {r: np.full(21, np.nan) for r in "ab"}
+    deep = {r: np.full((21, 4), np.nan) for r in "ab"}
+    for r, y, x, v, g in cells:
+        flat[r][y * 7 + x] = v
+        deep[r][y * 7 + x, : len((g or [])[:4])] = (g or [])[:4]
+    for elements in (5, 4096):
+        for field, length, want in (("v", None, flat), ("g", 4, {r: d.ravel() for r, d in deep.items()})):
+            blocks = dense_blocks(df, ["run"], axes, [field], length, elements=elements)
+            got = {r: np.full(len(want[r]), 7e77) for r in "ab"}
+            for b in blocks.collect():
+                assert b["axis_order"] == ("iy,ix" if length is None else "iy,ix,sample") and b["shape"] == ([3, 7] if length is None else [3, 7, 4])
+                assert len(b["values"]) <= max(elements, 4)
+                got[b["run"]][b["offset"] : b["offset"] + len(b["values"])] = [np.nan if v is None else v for v in b["values"]]
+            assert all(np.array_equal(got[r], want[r], equal_nan=True) for r in "ab")
+            listed = tensor_cells(blocks, ["run"]).where("run = 'a'").orderBy("index").collect()
+            assert [c["index"] for c in listed] == list(range(len(want["a"])))
+    assert dense_blocks(df.where("iy > 9"), ["run"], axes, ["v"]).collect() == []
+
+
+@pytest.mark.parametrize("mode", ["individual", "average"])
+def test_every_product_of_a_scan_is_stored(spark, raw_scan, tmp_path, mode):
+    root, s = str(tmp_path / "store"), small_scan(shot_mode=mode, isat_end=10)
+    bad = raw_scan.where("shotnum < 6").withColumn("run", F.lit("short"))
+    with pytest.raises(ValueError, match="shot count"):
+        run_scan(spark, raw_scan.union(bad), s, root)
+    found = run_scan(spark, raw_scan.union(bad), s, root, incomplete="skip")
+    assert {r["run"]: r["violation"] for r in found.collect()} == {"r": None, "short": "shot count mismatch"}
+    own = read_table(spark, root, "shots").collect()
+    assert len(own) == 2 * 3 * 2 and {r["run"] for r in own} == {"r"}
+    assert all(len(r["v_smooth_V"]) == 400 and r["isat_A"] is not None and r["dc_offset_A"] == 0 for r in own)
+    assert all((r["te_eV"] is None and r["vg"] is None and not r["ok"]) == (mode == "average") for r in own)
+    info = read_table(spark, root, "runs").first()
+    assert info["acquired_traces"] == 6 and info["acquisition"]["dc_end"] == "15" and info["settings"]["iv_npts"] == "32"
+    arrays = read_table(spark, root, "arrays")
+    stored = {(r["product"], r["field"]): r for r in arrays.where("block = 0").collect()}
+    assert stored["shot", "vg"]["shape"] == [1, 2, 3, 2, 32] and stored["curve", "didv"]["shape"] == [1, 2, 2, 32]
+    if mode == "individual":
+        curves = {(r["ix"], r["ishot"], r["iramp"]): r["vg"] for r in read_table(spark, root, "fits").collect()}
+        for c in tensor_cells(arrays.where("product = 'shot' and field = 'vg'"), ["run"]).collect():
+            at, k = divmod(c["index"], 32)
+            assert c["value"] == curves[at // 6, at // 2 % 3, at % 2][k]
+    else:
+        empty = arrays.where("product = 'shot' and field in ('te_eV', 'vg')").select(F.explode("values").alias("v"))
+        assert empty.where("v is not null").count() == 0
+    # runs named before the first step are the only ones read
+    assert run_scan(spark, raw_scan.union(bad), s, str(tmp_path / "one"), runs=["r"]).count() == 1
+
+
+def test_completeness_reads_no_signals(spark, raw_scan, tmp_path):
+    path = str(tmp_path / "in")
+    first = raw_scan.where("shotnum <= 4")
+    assert shots.ingest_shots(spark, first, path).collect() == []
+    again = shots.ingest_shots(spark, raw_scan.where("shotnum >= 4"), path)
+    assert {(r["channel"], r["shotnum"]) for r in again.collect()} == {(1, 4), (2, 4)}
+    s, index = small_scan(), shots.read_shot_index(spark, path)
+    assert shots.channel_check(index, s, 1).first()["violation"] == "shots stored twice"
+    assert {r["n_samples"] for r in index.collect()} == {860}
+    raw = shots.read_ingested(spark, path)
+    from rampfield.plans.scan import checked_runs
+
+    plan = checked_runs(raw, s)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "signal" not in plan
+    bad = raw.withColumn("n_samples", F.when(F.col("shotnum") == 2, F.lit(7)).otherwise(F.col("n_samples"))).dropDuplicates(["channel", "shotnum"])
+    assert checked_runs(bad, s).first()["violation"] == "time-length mismatch"
