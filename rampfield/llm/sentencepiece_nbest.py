@@ -12,9 +12,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from bisect import insort
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +28,9 @@ SPACE = "▁"
 REMEMBERED = 64
 #: characters of texts whose segments are looked up together
 BLOCK = 1_000_000
+#: characters of segments whose lattices are searched side by side
+TOGETHER = 150_000
+_OTHER = struct.Struct("<di")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -37,8 +41,8 @@ class Tree:
     steps: np.ndarray
     to: np.ndarray
     held: np.ndarray
-    ids: list[bytes]
-    scores: list[float]
+    ids: np.ndarray
+    scores: np.ndarray
 
 
 @dataclass(frozen=True)
@@ -72,16 +76,18 @@ class Vocabulary:
                 if node == len(held):
                     held.append(-1)
             held[node] = len(ids)
-            ids.append(packed_id)
+            ids.append(np.frombuffer(packed_id, "<i4")[0])
             scores.append(score)
         steps = np.array([(n << 16) | k for n, k in children], np.int64)
         order = np.argsort(steps)
-        return Tree(steps[order], np.array(list(children.values()))[order], np.array(held), ids, scores)
+        return Tree(steps[order], np.array(list(children.values()))[order], np.array(held), np.array(ids, "<i4"), np.array(scores, float))
 
-    def segments(self, text: str) -> list[str]:
+    def cuts(self, text: str, starts: np.ndarray) -> np.ndarray:
+        """Where segments of texts that stand one after the other end; none crosses from one text to the next."""
         kinds = self.kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-        cuts = [0, *(np.flatnonzero(~self.links[kinds[:-1], kinds[1:]]) + 1).tolist(), len(text)]
-        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        cut = np.append(~self.links[kinds[:-1], kinds[1:]], True)
+        cut[starts[1:] - 1] = True
+        return np.flatnonzero(cut) + 1
 
 
 def load_vocabulary(data: bytes, scores: str = "rank") -> Vocabulary:
@@ -134,8 +140,8 @@ class Lattices:
         kinds = words.kinds[codes].astype(np.int64)
         lens = np.array([len(x) for x in segments], np.int64)
         upto = np.cumsum(lens)
-        self.ends = (upto + np.arange(len(segments))).tolist()
-        self.firsts = (upto - lens + np.arange(len(segments))).tolist()
+        self.ends = upto + np.arange(len(segments))
+        self.firsts = upto - lens + np.arange(len(segments))
         stop = np.repeat(upto, lens)
         node_of = np.arange(len(codes)) + np.repeat(np.arange(len(segments)), lens)
         start, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
@@ -159,83 +165,149 @@ class Lattices:
         rest = np.flatnonzero(~alone)
         odd, which = np.unique(codes[rest], return_inverse=True)
         spelled = [words.spelled(chr(c)) for c in odd.tolist()]
-        self.ids = tree.ids + [i for i, _ in spelled]
+        self.ids = np.concatenate([tree.ids, *[np.frombuffer(i, "<i4") for i, _ in spelled]])
+        self.n_ids = np.concatenate([np.ones(len(tree.ids), np.int64), np.array([len(i) // 4 for i, _ in spelled], np.int64)])
         found.append((node_of[rest], np.ones(len(rest), np.int64), which + len(tree.ids)))
         source, length, piece = (np.concatenate(c) for c in zip(*found))
         order = np.argsort(source + length, kind="stable")
         source, piece = source[order], piece[order]
         target = source + length[order]
-        score = np.array(tree.scores + [x for _, x in spelled])[piece]
+        score = np.concatenate([tree.scores, np.array([x for _, x in spelled], float)])[piece]
         nodes = len(codes) + len(segments)
         best = np.full(nodes, -np.inf)
         best[self.firsts] = 0.0
         # places of equal distance from the start of their segment are scored together
-        place = target - np.repeat(np.array(self.firsts), lens + 1)[target]
+        place = target - np.repeat(self.firsts, lens + 1)[target]
         by_place = np.argsort(place, kind="stable")
         cuts = np.searchsorted(place[by_place], np.arange(1, (place.max() if len(place) else 0) + 2))
         for a, b in zip(cuts, cuts[1:]):
             now = by_place[a:b]
             np.maximum.at(best, target[now], best[source[now]] + score[now])
         top = np.flatnonzero(best[source] + score == best[target])[::-1]
-        back = np.full(nodes, -1)
-        back[target[top]] = top
-        self.source, self.piece, self.score = source.tolist(), piece.tolist(), score.tolist()
-        self.best, self.back = best.tolist(), back.tolist()
-        self.into = np.searchsorted(target, np.arange(nodes + 1)).tolist()
-
-    def n_best(self, segment: int, n: int) -> list[tuple[float, bytes]]:
-        """Up to n segmentations by falling score; of equal ones the first found.
-
-        The forward scores are exact, so a path taken from the queue keeps its estimate along
-        the best edges to the start; only its alternatives are queued.
+        self.back = np.full(nodes, -1)
+        self.back[target[top]] = top
+        self.source, self.piece, self.score, self.best = source, piece, score, best
+        self.into = np.searchsorted(target, np.arange(nodes + 1))
+
+    def n_best(self, n: int) -> list[list[tuple[float, bytes]]]:
+        """Of every segment up to n segmentations by falling score; of equal ones the first found.
+
+        The searches of all segments go on side by side. The forward scores are exact, so a
+        path taken from the queue keeps its estimate along the best edges to the start; only its
+        alternatives are queued. As every entry is one whole path, a segment's queue keeps no more
+        than are still wanted.
         """
-        into, best, back, source, score = self.into, self.best, self.back, self.source, self.score
-        piece, ids = self.piece, self.ids
-        first, at, after, path = self.firsts[segment], self.ends[segment], 0.0, None
-        # sorted; as every entry is one whole path, no more than are still wanted need be kept
-        queue: list[tuple] = []
-        out, count, wanted = [], 0, n - 1
-        while True:
-            while at != first:
-                taken = back[at]
+        count, width = len(self.firsts), max(1, n - 1)
+        queue = {
+            "loss": np.full((count, width), np.inf), "rest": np.zeros((count, width)),
+            "edge": np.zeros((count, width), np.int64), "path": np.zeros((count, width), np.int64),
+        }
+        # a path is its first edge and the number of the path behind it
+        edges: list[np.ndarray] = []
+        behind: list[np.ndarray] = []
+        made = 0
+
+        def longer(edge: np.ndarray, path: np.ndarray) -> np.ndarray:
+            nonlocal made
+            edges.append(edge)
+            behind.append(path)
+            made += len(edge)
+            return np.arange(made - len(edge), made)
+
+        segment, at = np.arange(count), self.ends
+        after, path = np.zeros(count), np.full(count, -1)
+        out: list[tuple[np.ndarray, ...]] = []
+        for wanted in range(n - 1, -1, -1):
+            while True:
+                done = at == self.firsts[segment]
+                if done.any():
+                    out.append((segment[done], np.full(done.sum(), n - wanted), after[done], path[done]))
+                    segment, at, after, path = (x[~done] for x in (segment, at, after, path))
+                if not len(at):
+                    break
+                taken = self.back[at]
                 if wanted:
-                    a, b = into[at], into[at + 1]
-                    if b - a > 1:
-                        for edge in range(a, b):
-                            if edge != taken:
-                                rest = after + score[edge]
-                                loss = -(best[source[edge]] + rest)
-                                if len(queue) < wanted or loss < queue[-1][0]:
-                                    count += 1
-                                    insort(queue, (loss, count, source[edge], rest, (edge, path)))
-                                    del queue[wanted:]
-                after += score[taken]
-                path = (taken, path)
-                at = source[taken]
-            pieces = []
-            while path is not None:
-                edge, path = path
-                pieces.append(ids[piece[edge]])
-            out.append((after, b"".join(pieces)))
-            if not queue:
-                return out
-            _, _, at, after, path = queue.pop(0)
-            wanted -= 1
-
-
-@dataclass(frozen=True, slots=True)
-class Segment:
-    """What a segment adds to a text: its best ids and score, the loss of the second, and all found."""
-
-    ids: bytes
-    score: float
-    loss: float
-    found: list[tuple[float, bytes]]
-
-    @staticmethod
-    def of(found: list[tuple[float, bytes]]) -> Segment:
-        score, ids = found[0]
-        return Segment(ids, score, score - found[1][0] if len(found) > 1 else math.inf, found)
+                    self._queue(queue, segment, at, after, path, taken, wanted)
+                after = after + self.score[taken]
+                path = longer(taken, path)
+                at = self.source[taken]
+            segment = np.flatnonzero(queue["loss"][:, 0] < np.inf)
+            if not wanted or not len(segment):
+                break
+            edge, after = queue["edge"][segment, 0], queue["rest"][segment, 0]
+            path = longer(edge, queue["path"][segment, 0])
+            at = self.source[edge]
+            for name, held in queue.items():
+                held[:, :-1] = held[:, 1:]
+                held[:, -1] = np.inf if name == "loss" else 0
+        return self._paths(out, np.concatenate(edges), np.concatenate(behind)) if made else [[] for _ in range(count)]
+
+    def _queue(self, queue: dict, segment, at, after, path, taken, wanted: int) -> None:
+        """Queues the edges into ``at`` beside those taken."""
+        n = self.into[at + 1] - self.into[at]
+        some = np.flatnonzero(n > 1)
+        n = n[some]
+        from_ = np.repeat(some, n)
+        edge = np.arange(len(from_)) - np.repeat(np.cumsum(n) - n, n) + self.into[at][from_]
+        other = edge != taken[from_]
+        edge, from_ = edge[other], from_[other]
+        rest = after[from_] + self.score[edge]
+        loss = -(self.best[self.source[edge]] + rest)
+        owner = segment[from_]
+        near = np.flatnonzero(loss < queue["loss"][owner, wanted - 1])
+        if not len(near):
+            return
+        owner, width = owner[near], queue["loss"].shape[1]
+        touched = np.unique(owner)
+        new = {"loss": loss[near], "rest": rest[near], "edge": edge[near], "path": path[from_[near]]}
+        both = {k: np.concatenate([queue[k][touched].ravel(), new[k]]) for k in queue}
+        owners = np.concatenate([np.repeat(touched, width), owner])
+        # stable, so that of equal losses the earlier one stays in front
+        order = np.lexsort((both["loss"], owners))
+        owners = owners[order]
+        sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]])), len(owners)))
+        rank = np.arange(len(owners)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = rank < wanted
+        queue["loss"][touched] = np.inf
+        for k in queue:
+            queue[k][owners[kept], rank[kept]] = both[k][order][kept]
+
+    def _paths(self, out: list[tuple], edges: np.ndarray, behind: np.ndarray) -> list[list[tuple[float, bytes]]]:
+        segment, turn, score, path = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((turn, segment))
+        segment, score, path = segment[order], score[order], path[order]
+        which, pieces, live = [], [], np.arange(len(path))
+        while True:
+            live = live[path[live] >= 0]
+            if not len(live):
+                break
+            which.append(live)
+            pieces.append(self.piece[edges[path[live]]])
+            path[live] = behind[path[live]]
+        which, piece = np.concatenate(which), np.concatenate(pieces)
+        by = np.argsort(which, kind="stable")
+        which, piece = which[by], piece[by]
+        n = self.n_ids[piece]
+        first = np.cumsum(self.n_ids) - self.n_ids
+        flat = self.ids[np.repeat(first[piece] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype("<i4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(which, weights=n, minlength=len(score)).astype(np.int64))
+        ends = [0, *ends.tolist()]
+        listed = list(zip(score.tolist(), [flat[a:b] for a, b in zip(ends, ends[1:])]))
+        cuts = np.searchsorted(segment, np.arange(len(self.firsts) + 1)).tolist()
+        return [listed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+class _Pool:
+    """Numbers that are added in pieces and looked up all at once."""
+
+    def __init__(self, kind) -> None:
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(max(len(values), self.n), self.held.dtype)])
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
 
 class Encoder:
@@ -243,7 +315,14 @@ class Encoder:
 
     def __init__(self, words: Vocabulary, n: int, remember: int = 400_000) -> None:
         self.words, self.tree, self.n, self.remember = words, words.tree(), n, remember
-        self.known: dict[str, Segment] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # by number: score of the best, loss of the second, place of the best ids, all others packed
+        self.known: dict[str, int] = {}
+        self.scores, self.losses = _Pool(float), _Pool(float)
+        self.ids, self.starts, self.sizes = _Pool("<i4"), _Pool(np.int64), _Pool(np.int64)
+        self.others: list[bytes] = []
 
     def n_best(self, text: str) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text as (score, packed ids), best first."""
@@ -260,21 +339,76 @@ class Encoder:
                 block, size = [], 0
         yield from self._block(block)
 
+    def _learn(self, new: list[str]) -> None:
+        at = 0
+        while at < len(new):
+            some, size = [], 0
+            while at < len(new) and (not some or size + len(new[at]) <= TOGETHER):
+                some.append(new[at])
+                size += len(new[at])
+                at += 1
+            every = Lattices(some, self.words, self.tree).n_best(self.n)
+            self.known.update(zip(some, range(len(self.others), len(self.others) + len(some))))
+            best = [found[0] for found in every]
+            sizes = np.array([len(i) // 4 for _, i in best], np.int64)
+            self.starts.add(self.ids.n + np.cumsum(sizes) - sizes)
+            self.sizes.add(sizes)
+            self.ids.add(np.frombuffer(b"".join([i for _, i in best]), "<i4"))
+            self.scores.add(np.array([s for s, _ in best]))
+            self.losses.add(np.array([found[0][0] - found[1][0] if len(found) > 1 else math.inf for found in every]))
+            self.others += [b"".join([_OTHER.pack(s, len(i)) + i for s, i in found[1:]]) for found in every]
+
+    def _found(self, k: int) -> list[tuple[float, bytes]]:
+        """All segmentations of a known segment."""
+        start, size = self.starts.held[k], self.sizes.held[k]
+        out = [(float(self.scores.held[k]), self.ids.held[start : start + size].tobytes())]
+        packed_others, at = self.others[k], 0
+        while at < len(packed_others):
+            score, n = _OTHER.unpack_from(packed_others, at)
+            at += _OTHER.size
+            out.append((score, packed_others[at : at + n]))
+            at += n
+        return out
+
     def _block(self, texts: list[str]) -> Iterator[list[tuple[float, bytes]]]:
-        parts = [self.words.segments(" " + t) if t else [] for t in texts]
         if len(self.known) > self.remember:
-            self.known.clear()
-        known = self.known
-        new = list({p for x in parts for p in x if p not in known})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            lattices = Lattices(some, self.words, self.tree)
-            known.update((p, Segment.of(lattices.n_best(j, self.n))) for j, p in enumerate(some))
-        for x in parts:
-            yield [(s, b"".join(path)) for s, path in best_sums([known[p] for p in x], self.n)]
+            self._forget()
+        spaced = [" " + t for t in texts if t]
+        if not spaced:
+            yield from [[(0.0, b"")] for _ in texts]
+            return
+        lengths = np.array([len(t) for t in spaced])
+        text, starts = "".join(spaced), np.cumsum(lengths) - lengths
+        ends = self.words.cuts(text, starts)
+        per_text = np.searchsorted(ends, starts + lengths, side="right").tolist()
+        bounds = [0, *ends.tolist()]
+        parts = [text[a:b] for a, b in zip(bounds, bounds[1:])]
+        at = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        unknown = np.flatnonzero(at < 0).tolist()
+        new = list({parts[k] for k in unknown})
+        self._learn(new)
+        at[unknown] = [self.known[parts[k]] for k in unknown]
+        sizes = self.sizes.held[at]
+        upto = np.cumsum(sizes)
+        ids = self.ids.held[np.repeat(self.starts.held[at] - (upto - sizes), sizes) + np.arange(upto[-1])].tobytes()
+        scores, losses, place = self.scores.held[at].tolist(), self.losses.held[at], [0, *(4 * upto).tolist()]
+        spans = zip([0, *per_text], per_text)
+        for t in texts:
+            if not t:
+                yield [(0.0, b"")]
+                continue
+            a, b = next(spans)
+            out = []
+            for score, changed in best_sums(math.fsum(scores[a:b]), losses[a:b], lambda j, a=a: self._found(int(at[a + j])), self.n):
+                pieces, upto_now = [], place[a]
+                for j in sorted(changed):
+                    pieces += [ids[upto_now : place[a + j]], self._found(int(at[a + j]))[changed[j]][1]]
+                    upto_now = place[a + j + 1]
+                out.append((score, b"".join([*pieces, ids[upto_now : place[b]]])))
+            yield out
         for p in new:
             if len(p) > REMEMBERED:
-                del known[p]
+                self.others[self.known.pop(p)] = b""
 
 
 class Decoder:
@@ -289,37 +423,34 @@ class Decoder:
         return raw[raw.startswith(b" ") :].decode("utf-8", "replace")
 
 
-def best_sums(parts: list[Segment], n: int) -> list[tuple[float, list[bytes]]]:
-    """The n best choices of one segmentation of every part, with their sums.
+def best_sums(
+    base: float, losses: np.ndarray, found: Callable[[int], list[tuple[float, bytes]]], n: int
+) -> list[tuple[float, dict[int, int]]]:
+    """The n best choices of one segmentation of every part, as their sum and {part: entry} where not the best.
 
-    A choice differs from the best one in some parts. The parts are sorted by the loss of
-    their second entry; a choice is followed by the one with the next entry in its last
-    changed part, by the one that changes the next part too, and, where the last change is
-    the first possible, by the one that changes the next part instead.
+    ``base`` is the sum of the best, ``losses`` (used up here) what each part's second loses,
+    infinite where there is none, and ``found`` lists all of a part. The parts are sorted by
+    their loss; a choice is followed by the one with the next entry in its last changed part, by
+    the one that changes the next part too, and, where the last change is the first possible, by
+    the one that changes the next part instead.
     """
-    first = [x.ids for x in parts]
-    base = math.fsum([x.score for x in parts])
-    losses = [x.loss for x in parts]
     order = []
     # no more than n - 1 parts can change; as n is small, each is found by a pass of its own
     for _ in range(min(n - 1, len(losses))):
-        least = min(losses)
+        k = int(losses.argmin())
+        least = float(losses[k])
         if least == math.inf:
             break
-        k = losses.index(least)
         order.append((least, k))
         losses[k] = math.inf
-    out = [(base, first)]
+    out: list[tuple[float, dict[int, int]]] = [(base, {})]
     queue = [(order[0][0], 0, 0, {order[0][1]: 1})] if order else []
     count = 0
     while queue and len(out) < n:
         loss, _, at, changed = heapq.heappop(queue)
-        path = list(first)
-        for k, e in changed.items():
-            path[k] = parts[k].found[e][1]
-        out.append((base - loss, path))
+        out.append((base - loss, changed))
         k = order[at][1]
-        x, e = parts[k].found, changed[k]
+        x, e = found(k), changed[k]
         following = []
         if e + 1 < len(x):
             following.append((loss + x[e][0] - x[e + 1][0], at, {**changed, k: e + 1}))
