@@ -30,7 +30,7 @@ REMEMBERED = 64
 BLOCK = 1_000_000
 #: characters of segments whose lattices are searched side by side
 TOGETHER = 150_000
-_OTHER = struct.Struct("<di")
+_OTHER = "<di"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -356,7 +356,7 @@ class Encoder:
             self.ids.add(np.frombuffer(b"".join([i for _, i in best]), "<i4"))
             self.scores.add(np.array([s for s, _ in best]))
             self.losses.add(np.array([found[0][0] - found[1][0] if len(found) > 1 else math.inf for found in every]))
-            self.others += [b"".join([_OTHER.pack(s, len(i)) + i for s, i in found[1:]]) for found in every]
+            self.others += [b"".join([struct.pack(_OTHER, s, len(i)) + i for s, i in found[1:]]) for found in every]
 
     def _found(self, k: int) -> list[tuple[float, bytes]]:
         """All segmentations of a known segment."""
@@ -364,8 +364,8 @@ class Encoder:
         out = [(float(self.scores.held[k]), self.ids.held[start : start + size].tobytes())]
         packed_others, at = self.others[k], 0
         while at < len(packed_others):
-            score, n = _OTHER.unpack_from(packed_others, at)
-            at += _OTHER.size
+            score, n = struct.unpack_from(_OTHER, packed_others, at)
+            at += struct.calcsize(_OTHER)
             out.append((score, packed_others[at : at + n]))
             at += n
         return out
