@@ -1,11 +1,13 @@
 """Quality statistics of texts, and outliers among them by robust distances.
 
 Each language and source gets its own centre and scatter of transformed statistics, by the
-minimum covariance determinant: from coordinate-wise medians, concentration steps keep the
-share of rows nearest to the present centre and estimate anew, until nothing changes; one
-reweighting step follows. Documents far from their centre by Mahalanobis distance are
-rejected. Thresholds inside a group come from counts of distance classes, so a group of any
-size is only ever aggregated.
+minimum covariance determinant: of all subsets with the wanted share of the rows the one whose
+covariance has the smallest determinant. It is sought from several deterministic starts; from
+each, concentration steps keep the rows nearest to the present centre and estimate anew as long
+as that lowers the determinant, and the start with the smallest wins. One reweighting step
+follows. Documents far from their centre by Mahalanobis distance are rejected. Thresholds
+inside a group come from counts of distance classes, so a group of any size is only ever
+aggregated, and rows meet the few estimates by a broadcast of checked size or by salted keys.
 """
 
 from __future__ import annotations
@@ -124,13 +126,28 @@ def grouped(stats: DataFrame, least: int) -> DataFrame:
     return stats.withColumn("pair", pair).join(sizes, "pair", "left").drop("pair").withColumn("key", F.coalesce("key", F.lit("0")))
 
 
-def _median(values: DataFrame) -> DataFrame:
-    """(key, k, median) of values (key, k, x), from counts of classes of a thousandth."""
-    counts = values.groupBy("key", "k", F.round(F.col("x") * 1000).cast("bigint").alias("b")).agg(F.count("*").alias("n"))
+#: estimates (a few hundred bytes each) that are broadcast; more are joined by salted keys
+BROADCAST_ROWS, SALTS = 20_000, 32
+STARTS = ("median", "low", "high", "tanh", "signs")
+
+
+def _quantiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(key, k, a column for each share) of values (key, k, x, n), from counts of classes of a thousandth."""
+    counts = values.groupBy("key", "k", F.round(F.col("x") * 1000).cast("bigint").alias("b")).agg(F.sum("n").alias("n"))
     w = Window.partitionBy("key", "k")
     upto = F.sum("n").over(w.orderBy("b"))
     ranked = counts.select("key", "k", "b", upto.alias("upto"), F.sum("n").over(w).alias("all"))
-    return ranked.filter(2 * F.col("upto") >= F.col("all")).groupBy("key", "k").agg((F.min("b") / 1000).alias("median"))
+    found = [(F.min(F.when(F.col("upto") >= p * F.col("all"), F.col("b"))) / 1000).alias(name) for name, p in shares.items()]
+    return ranked.groupBy("key", "k").agg(*found)
+
+
+def with_estimates(table: DataFrame, now: DataFrame) -> DataFrame:
+    """Rows (key, f) joined with the estimates of their group; a group of any size is spread over tasks."""
+    if now.count() <= BROADCAST_ROWS:
+        return table.join(F.broadcast(now), "key")
+    # a row is dealt by its values; equal rows have been counted into one
+    salted = table.withColumn("salt", F.pmod(F.xxhash64("f"), F.lit(SALTS)))
+    return salted.join(now.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["key", "salt"]).drop("salt")
 
 
 def _matrix(cell) -> Column:
@@ -138,9 +155,13 @@ def _matrix(cell) -> Column:
 
 
 def _inverse(matrix: Column) -> Column:
-    """Inverse of a positive definite matrix, row by row in one array, by Gauss-Jordan steps in place."""
+    """(a, det): inverse, row by row in one array, and determinant of a positive definite matrix.
+
+    By Gauss-Jordan steps in place; the determinant is the product of their pivots.
+    """
 
-    def step(a: Column, k: Column) -> Column:
+    def step(acc: Column, k: Column) -> Column:
+        a = acc["a"]
         pivot = F.get(a, k * (D + 1))
 
         def cell(x: Column, m: Column) -> Column:
@@ -151,9 +172,10 @@ def _inverse(matrix: Column) -> Column:
                 .otherwise(x - column * row / pivot)
             )
 
-        return F.transform(a, cell)
+        return F.struct(F.transform(a, cell).alias("a"), (acc["det"] * pivot).alias("det"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(D - 1)), matrix, step)
+    start = F.struct(matrix.alias("a"), F.lit(1.0).alias("det"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(D - 1)), start, step)
 
 
 def _distance() -> Column:
@@ -162,12 +184,12 @@ def _distance() -> Column:
     return sum((diff[i] * diff[j] * F.col("inverse")[i * D + j] for i in range(D) for j in range(D)), F.lit(0.0))
 
 
-def _estimate(subset: DataFrame, factor: float) -> DataFrame:
-    """(key, centre, inverse) of rows (key, f); scatter times ``factor`` plus the least variances."""
-    f = F.col("f")
-    sums = subset.groupBy("key").agg(
-        F.count("*").alias("n"), *[F.sum(f[i]).alias(f"s{i}") for i in range(D)],
-        *[F.sum(f[i] * f[j]).alias(f"q{i}{j}") for i in range(D) for j in range(i, D)],
+def _estimate(subset: DataFrame, factor: float, *by: str) -> DataFrame:
+    """(by, centre, inverse, det) of rows (by, f, n), n of each; scatter times ``factor`` plus the least variances."""
+    f, n = F.col("f"), F.col("n")
+    sums = subset.groupBy(*by).agg(
+        F.sum(n).alias("n"), *[F.sum(n * f[i]).alias(f"s{i}") for i in range(D)],
+        *[F.sum(n * f[i] * f[j]).alias(f"q{i}{j}") for i in range(D) for j in range(i, D)],
     )
     least = [v * v for v in FEATURES.values()]
 
@@ -178,56 +200,105 @@ def _estimate(subset: DataFrame, factor: float) -> DataFrame:
 
     # rounding makes the estimate independent of the order of sums
     centre = F.array(*[F.round(F.col(f"s{i}") / F.col("n"), 9) for i in range(D)])
-    return sums.select("key", centre.alias("centre"), once(_matrix(lambda i, j: F.round(cov(i, j), 12))).alias("m")).select(
-        "key", "centre", F.transform(_inverse(F.col("m")), lambda x: F.round(x, 6)).alias("inverse")
-    )
+    return sums.select(*by, centre.alias("centre"), once(_matrix(lambda i, j: F.round(cov(i, j), 12))).alias("m")).select(
+        *by, "centre", once(_inverse(F.col("m"))).alias("v")
+    ).select(*by, "centre", F.transform(F.col("v.a"), lambda x: F.round(x, 6)).alias("inverse"), F.col("v.det").alias("det"))
 
 
-def robust_estimates(table: DataFrame, share: float, steps: int) -> DataFrame:
-    """(key, centre, inverse) by minimum covariance determinant of rows (key, f)."""
-    values = table.select("key", F.posexplode("f").alias("k", "x"))
-    medians = stored(_median(values))
-    spread = stored(_median(values.join(medians, ["key", "k"]).select("key", "k", F.abs(F.col("x") - F.col("median")).alias("x"))))
+def _starts(rows: DataFrame) -> DataFrame:
+    """(key, start, centre, inverse): where concentration begins, from counted rows (key, f, n).
+
+    Medians and both quartiles with the deviations from the medians; medians with the
+    covariances of the standardised rows' hyperbolic tangents, and of their directions.
+    """
+    each = rows.select("key", F.posexplode("f").alias("k", "x"), "n")
+    middle = stored(_quantiles(each, {"median": 0.5, "low": 0.25, "high": 0.75}))
+    off = each.join(F.broadcast(middle) if middle.count() <= BROADCAST_ROWS else middle, ["key", "k"])
+    spread = stored(_quantiles(off.select("key", "k", "n", F.abs(F.col("x") - F.col("median")).alias("x")), {"mad": 0.5}))
     named = F.create_map(*[c for i, v in enumerate(FEATURES.values()) for c in (F.lit(i), F.lit(v * v))])
-    start = medians.join(spread.withColumnRenamed("median", "mad"), ["key", "k"]).withColumn(
-        "w", 1 / (F.pow(1.4826 * F.col("mad"), 2) + named[F.col("k")])
+    scaled = middle.join(spread, ["key", "k"]).withColumn("s", F.sqrt(F.pow(1.4826 * F.col("mad"), 2) + named[F.col("k")]))
+    by_k = scaled.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "median", "low", "high", "s"))).alias("c"))
+    column = lambda name: F.transform("c", lambda x: x[name]).alias(name)
+    at = stored(by_k.select("key", column("median"), column("low"), column("high"), column("s")))
+    plain = _matrix(lambda i, j: 1 / F.pow(F.col("s")[i], 2) if i == j else F.lit(0.0))
+    centres = F.array(*[F.struct(F.lit(n).alias("start"), F.col(n).alias("centre")) for n in ("median", "low", "high")])
+    simple = at.select("key", F.explode(centres).alias("c"), plain.alias("inverse")).select("key", "c.start", "c.centre", "inverse")
+    z = F.transform(F.sequence(F.lit(0), F.lit(D - 1)), lambda i: (F.get("f", i) - F.get("median", i)) / F.get("s", i))
+    size = F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)) + 1e-9
+    shapes = F.array(
+        F.struct(F.lit("tanh").alias("start"), F.transform("z", F.tanh).alias("f")),
+        F.struct(F.lit("signs").alias("start"), F.transform("z", lambda x: x / size).alias("f")),
     )
-    by_k = start.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "median", "w"))).alias("s"))
-    now = stored(by_k.select(
-        "key", F.transform("s", lambda x: x["median"]).alias("centre"),
-        _matrix(lambda i, j: F.col("s")[i]["w"] if i == j else F.lit(0.0)).alias("inverse"),
-    ))
-    factor = consistency(share, D)
-    w = Window.partitionBy("key")
-    for _ in range(steps):
-        far = table.join(now, "key").select("key", "f", F.floor(256 * F.log1p(F.greatest(F.lit(0.0), _distance()))).alias("b"))
-        counts = far.groupBy("key", "b").agg(F.count("*").alias("n"))
-        nearest = (
-            counts.select("key", "b", F.sum("n").over(w.orderBy("b")).alias("upto"), F.sum("n").over(w).alias("all"))
-            .filter(F.col("upto") >= share * F.col("all")).groupBy("key").agg(F.min("b").alias("limit"))
-        )
-        new = stored(_estimate(far.join(nearest, "key").filter("b <= limit").select("key", "f"), factor))
-        moved = new.join(now.withColumnsRenamed({"centre": "c0", "inverse": "i0"}), "key").filter(
-            (F.col("centre") != F.col("c0")) | (F.col("inverse") != F.col("i0"))
+    turned = with_estimates(rows, at).select("key", "n", once(z).alias("z")).select("key", "n", F.explode(shapes).alias("c"))
+    fitted = _estimate(turned.select("key", "n", "c.start", "c.f"), 1.0, "key", "start")
+    shaped = fitted.join(at, "key").select(
+        "key", "start", F.col("median").alias("centre"),
+        _matrix(lambda i, j: F.col("inverse")[i * D + j] / F.col("s")[i] / F.col("s")[j]).alias("inverse"),
+    )
+    return simple.unionByName(shaped)
+
+
+def _nearest(far: DataFrame, share: float, *by: str) -> DataFrame:
+    """(by, limit): the distance class that completes the share."""
+    w = Window.partitionBy(*by)
+    counts = far.groupBy(*by, "b").agg(F.sum("n").alias("n"))
+    ranked = counts.select(*by, "b", F.sum("n").over(w.orderBy("b")).alias("upto"), F.sum("n").over(w).alias("all"))
+    return ranked.filter(F.col("upto") >= share * F.col("all")).groupBy(*by).agg(F.min("b").alias("limit"))
+
+
+def smallest_determinants(rows: DataFrame, share: float, steps: int) -> DataFrame:
+    """(key, start, centre, inverse, det, converged): of each group the best of all starts.
+
+    A start ends when a step no longer lowers its determinant; one that still does after
+    ``steps`` steps is marked as not converged.
+    """
+    factor, by = consistency(share, D), ["key", "start"]
+    now = stored(_starts(rows).withColumn("det", F.lit(math.inf)))
+    ended: list[DataFrame] = []
+    for step in range(steps):
+        far = with_estimates(rows, now).select(*by, "f", "n", F.floor(256 * F.log1p(F.greatest(F.lit(0.0), _distance()))).alias("b"))
+        limits = stored(_nearest(far, share, *by))
+        # the limit joins the estimate, so that rows are dealt with one of each start
+        chosen = with_estimates(rows, now.join(limits, by)).select(
+            *by, "f", "n", F.floor(256 * F.log1p(F.greatest(F.lit(0.0), _distance()))).alias("b"), "limit"
         )
-        now = new
-        if moved.limit(1).count() == 0:
+        new = _estimate(chosen.filter("b <= limit"), factor, *by).withColumnRenamed("det", "new_det")
+        both = stored(new.join(now.select(*by, F.col("centre").alias("c0"), F.col("inverse").alias("i0"), "det"), by))
+        better = F.col("new_det") < F.col("det") * (1 - 1e-9)
+        ended.append(both.filter(~better).select(*by, F.col("c0").alias("centre"), F.col("i0").alias("inverse"), "det", F.lit(True).alias("converged")))
+        now = both.filter(better).select(*by, "centre", "inverse", F.col("new_det").alias("det"))
+        if now.isEmpty():
             break
-    near = table.join(now, "key").filter(_distance() <= chi2_quantile(0.975, D)).select("key", "f")
-    return stored(_estimate(near, consistency(0.975, D)))
+    every = now.withColumn("converged", F.lit(False))
+    for e in ended:
+        every = every.unionByName(e)
+    # of equal determinants the start that comes first
+    order = F.array_position(F.array(*[F.lit(s) for s in STARTS]), F.col("start"))
+    best = F.min_by(F.struct("start", "centre", "inverse", "det", "converged"), F.struct("det", order))
+    return stored(every.groupBy("key").agg(best.alias("m")).select("key", "m.*"))
+
+
+def robust_estimates(table: DataFrame, share: float, steps: int) -> DataFrame:
+    """(key, centre, inverse, converged) by minimum covariance determinant of rows (key, f)."""
+    # equal rows are counted once, so that a group of copies is one row
+    rows = stored(table.groupBy("key", "f").agg(F.count("*").alias("n")))
+    best = smallest_determinants(rows, share, steps)
+    near = with_estimates(rows, best.select("key", "centre", "inverse")).filter(_distance() <= chi2_quantile(0.975, D))
+    return stored(_estimate(near.select("key", "f", "n"), consistency(0.975, D), "key").join(best.select("key", "converged"), "key"))
 
 
 def quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    share: float = 0.75, cutoff: float = 0.99999, steps: int = 12, least: int = 200,
+    share: float = 0.55, cutoff: float = 0.99999, steps: int = 30, least: int = 200,
 ) -> DataFrame:
-    """(id, base statistics, base_failed, distance, kept) of every document.
+    """(id, base statistics, base_failed, distance, converged, kept) of every document.
 
     ``distance`` is the squared robust distance from the document's group; beyond the ``cutoff``
     quantile of the chi-squared law, or with ``base_failed``, it is not kept. Groups under
     ``least`` rows join their language, languages under it the whole; null languages and
     sources are groups like others. Where no row passes the base rules there is nothing to
-    estimate and ``distance`` is null. Null texts have no words and fail. Equal rows get equal results.
+    estimate and ``distance`` is null. ``converged`` tells whether the group's estimate had
+    settled after ``steps`` steps. Null texts have no words and fail. Equal rows get equal results.
     """
     docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "i"), (text_col, "t"), (lang_col, "lang"), (source_col, "source"))])
     rows = docs.select(F.col("i").alias("id"), F.col("t").cast("string").alias("text"), "lang", "source")
@@ -235,9 +306,10 @@ def quality(
     table = stored(grouped(stats, least).withColumn("f", F.array(*transformed())))
     fitted = robust_estimates(table.filter(~F.col("base_failed")).select("key", "f"), share, steps)
     limit = chi2_quantile(cutoff, D)
-    judged = table.join(fitted, "key", "left").withColumn("distance", _distance())
+    few = fitted.count() <= BROADCAST_ROWS
+    judged = table.join(F.broadcast(fitted) if few else fitted, "key", "left").withColumn("distance", _distance())
     return judged.select(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.round("distance", 4).alias("distance"),
+        F.round("distance", 4).alias("distance"), "converged",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"),
     )

@@ -166,7 +166,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
-    return quality(documents(spark, sf_dir, "lang", "source")).withColumnRenamed("id", "doc_id").drop("distance")
+    return quality(documents(spark, sf_dir, "lang", "source")).withColumnRenamed("id", "doc_id").drop("distance", "converged")
 
 
 @query("op10_sentencepiece_nbest")
