@@ -11,11 +11,13 @@ what does is a row for each ``chunk * GROUP`` of its samples.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ from ..functions.kernels import butterworth_sections
 from ..sources.scratch import written
 from .keys import attach_by_key
 
+# workers need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK = 1024
 GROUP = 1024
 #: samples that are filtered together
