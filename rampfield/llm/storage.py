@@ -39,11 +39,16 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, id, text): the whole input row as one struct, so that no added name can clash."""
     return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
+        F.struct(*[named(c) for c in docs.columns]).alias("row"),
+        named(id_col).alias("id"), named(text_col).alias("text"),
     )
 
 

@@ -1,11 +1,12 @@
 """Toxicity scores from a weighted finite-state grammar over clauses.
 
 Words become symbols (insult, threat, target, negation, reporting verb, quotation mark,
-other). Four transducers rewrite the symbols of a clause, each knowing one thing: whether
-speech is reported, whether a negation is near, whether somebody is addressed, and what the
-result weighs. They are composed into one machine, which runs over the clauses that hold an
-insult or a threat. A document is scored by a logistic model over the weights of its clauses.
-Insults are learned from labelled rows as word stems with log-odds as weights.
+other). Five weighted transducers rewrite the symbols of a clause: insults and threats become
+hits, insults in a row weigh more, a target before or behind a hit aims it, a negation near it
+negates it, and reported speech takes it from the writer. What stands behind a word is known
+from a machine that reads the clause from its end; the others are composed into one machine.
+A document is scored by a logistic model over the weights of its clauses' hits. Insults are
+learned from labelled rows as word stems with log-odds as weights.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,79 +33,121 @@ REPORTING = (
     "said says say told wrote writes claimed claims reported reports quoted quotes sagte sagt schrieb behauptete "
     "berichtet dit disait écrit affirme dijo dice escribió afirma"
 ).split()
-THREATS = "kill killing murder hurt beat destroy shoot stab umbringen töten verprügeln tuer frapper matar golpear".split()
+#: stems: a word that starts with one is a threat, unless another word than an ending follows it
+THREATS = "kill murder hurt beat destroy shoot stab umbring töte verprügel tuer frapp matar mataré golpea".split()
+ENDINGS = ("", "s", "ed", "ing", "er", "ers", "en", "n", "bed", "bing", "t", "te", "ten", "est", "ai", "ez", "ons", "é", "r", "ré", "rte", "rlo")
 INSULTS = "idiot moron stupid pathetic worthless scum loser trash disgusting".split()
 
-#: symbols, and the modes of an insult or threat after all rewriting
+#: symbols of words, and the modes of a hit
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 MODES = ("plain", "aimed", "negated", "reported")
 #: words that a negation reaches
 REACH = 3
 STEM = (3, 8)
+#: what an insult right behind another one weighs
+IN_A_ROW = 1.25
+#: weight of a threat, and of threats of each mode in a document's score; labelled rows may hold none
+THREAT_WEIGHT, THREAT_PRIOR = 2.0, (0.0, 1.5, 0.0, 0.0)
 
-Step = dict[tuple[int, int], tuple[int, int]]
+Step = dict[tuple[int, int], tuple[int, int, float]]
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic transducer: (state, symbol) to (state, symbol), starting in state 0."""
+    """A deterministic weighted transducer: (state, symbol) to (state, symbol, weight), starting in state 0."""
 
     steps: Step
     symbols: int
 
     def __matmul__(self, other: Transducer) -> Transducer:
-        """Composition: the other machine reads what this one writes."""
+        """Composition: the other machine reads what this one writes; weights multiply."""
         names, todo, steps = {(0, 0): 0}, [(0, 0)], {}
         for a, b in todo:
             for s in range(self.symbols):
-                a2, mid = self.steps[a, s]
-                b2, out = other.steps[b, mid]
+                a2, mid, w = self.steps[a, s]
+                b2, out, v = other.steps[b, mid]
                 if (a2, b2) not in names:
                     names[a2, b2] = len(names)
                     todo.append((a2, b2))
-                steps[names[a, b], s] = names[a2, b2], out
+                steps[names[a, b], s] = names[a2, b2], out, w * v
         return Transducer(steps, self.symbols)
 
+    def run(self, symbols: list[int]) -> list[tuple[int, float]]:
+        state, out = 0, []
+        for s in symbols:
+            state, wrote, weight = self.steps[state, s]
+            out.append((wrote, weight))
+        return out
+
+
+#: symbols 7 and 8 are insults and threats with a target behind them; hits by kind and mode follow
+BEHIND = {INSULT: 7, THREAT: 8}
+FIRST_HIT = 9
+ALL = FIRST_HIT + 8
+
 
-#: a hit is an insult or a threat in a mode; hits are coded after the plain symbols
 def hit(kind: int, mode: int) -> int:
-    return 7 + 4 * (kind - INSULT) + mode
+    return FIRST_HIT + 4 * (kind - INSULT) + mode
+
+
+HITS = {hit(kind, mode): (kind, mode) for kind in (INSULT, THREAT) for mode in range(4)}
+
+
+def _machine(states: int, step) -> Transducer:
+    """From step(state, symbol), which gives the new state, the symbol written and its weight."""
+    return Transducer({(q, s): step(q, s) for q in range(states) for s in range(ALL)}, ALL)
+
+
+def target_behind() -> Transducer:
+    """Read from the end of a clause: marks what has a target behind it."""
+    return _machine(2, lambda q, s: (int(q or s == TARGET), BEHIND[s] if q and s in BEHIND else s, 1.0))
+
+
+def insults() -> Transducer:
+    """Insults become hits; those right behind another weigh more."""
+    def step(q: int, s: int):
+        mode = {INSULT: 0, BEHIND[INSULT]: 1}.get(s)
+        return (0, s, 1.0) if mode is None else (1, hit(INSULT, mode), IN_A_ROW if q else 1.0)
+
+    return _machine(2, step)
+
 
+def threats() -> Transducer:
+    """Threats become hits, aimed where a target stands behind."""
+    modes = {THREAT: 0, BEHIND[THREAT]: 1}
+    return _machine(1, lambda q, s: (0, hit(THREAT, modes[s]) if s in modes else s, 1.0))
 
-ALL = 7 + 8
+
+def targets() -> Transducer:
+    """A target before a hit aims it."""
+    def step(q: int, s: int):
+        kind, mode = HITS.get(s, (None, None))
+        return int(q or s == TARGET), hit(kind, 1) if q and mode == 0 else s, 1.0
+
+    return _machine(2, step)
+
+
+def negations() -> Transducer:
+    """A negation negates the hits among the next words."""
+    def step(q: int, s: int):
+        left = REACH if s == NEGATION else max(0, q - 1)
+        return left, hit(HITS[s][0], 2) if q and s in HITS else s, 1.0
+
+    return _machine(REACH + 1, step)
 
 
 def reported_speech() -> Transducer:
-    """Everything after a reporting verb, and what stands between quotation marks, is reported."""
-    steps: Step = {}
-    for state in range(4):  # bit 0: reporting verb seen, bit 1: inside quotation marks
-        for s in range(ALL):
-            new = state | 1 if s == REPORT else state ^ 2 if s == QUOTE else state
-            steps[state, s] = new, hit(s, 3) if s in (INSULT, THREAT) and state else s
-    return Transducer(steps, ALL)
-
-
-def near_negation() -> Transducer:
-    steps: Step = {}
-    for state in range(REACH + 1):
-        for s in range(ALL):
-            new = REACH if s == NEGATION else max(0, state - 1)
-            steps[state, s] = new, hit(s, 2) if s in (INSULT, THREAT) and state else s
-    return Transducer(steps, ALL)
-
-
-def address() -> Transducer:
-    """A target anywhere before the hit in the clause makes it aimed."""
-    steps: Step = {}
-    for state in range(2):
-        for s in range(ALL):
-            out = hit(s, state) if s in (INSULT, THREAT) else s
-            steps[state, s] = state | (s == TARGET), out
-    return Transducer(steps, ALL)
+    """Everything behind a reporting verb, and what stands between quotation marks, is reported."""
+    def step(q: int, s: int):  # bit 0: reporting verb seen, bit 1: inside quotation marks
+        new = q | 1 if s == REPORT else q ^ 2 if s == QUOTE else q
+        return new, hit(HITS[s][0], 3) if q and s in HITS else s, 1.0
+
+    return _machine(4, step)
 
 
 def grammar() -> Transducer:
-    return reported_speech() @ near_negation() @ address()
+    """All but the machine that reads from the end."""
+    return insults() @ threats() @ targets() @ negations() @ reported_speech()
 
 
 @dataclass(frozen=True)
@@ -122,12 +166,12 @@ BREAK = re.compile(r"[.!?;:,\n]")
 
 
 class Reader:
-    """Runs the composed machine over the clauses of texts."""
+    """Runs the machines over the clauses of texts."""
 
     def __init__(self, lexicon: Lexicon) -> None:
-        self.insults, self.find, self.machine = lexicon.insults, lexicon.pattern(), grammar().steps
-        self.classes = {w: k for k, words in (
-            (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTING), (THREAT, THREATS)) for w in words}
+        self.insults, self.find = lexicon.insults, lexicon.pattern()
+        self.behind, self.machine = target_behind(), grammar()
+        self.classes = {w: k for k, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTING)) for w in words}
         self.longest = max((len(s) for s in self.insults), default=0)
 
     def symbol(self, token: str) -> tuple[int, float]:
@@ -137,7 +181,10 @@ class Reader:
             w = self.insults.get(token[:k])
             if w is not None:
                 return INSULT, w
-        return self.classes.get(token, OTHER), 1.0
+        known = self.classes.get(token)
+        if known is None and any(token.startswith(s) and token[len(s) :] in ENDINGS for s in THREATS):
+            return THREAT, THREAT_WEIGHT
+        return (OTHER if known is None else known), 1.0
 
     def clauses(self, text: str) -> Iterator[tuple[int, int]]:
         """Spans of the clauses that hold an insult or threat, each once."""
@@ -154,12 +201,12 @@ class Reader:
 
     def clause(self, clause: str) -> np.ndarray:
         """Weight of every kind and mode of hit in a clause."""
-        out, state = np.zeros(8), 0
-        for token in TOKEN.findall(clause):
-            symbol, weight = self.symbol(token)
-            state, wrote = self.machine[state, symbol]
-            if wrote >= 7:
-                out[wrote - 7] += weight
+        out = np.zeros(8)
+        read = [self.symbol(t) for t in TOKEN.findall(clause)]
+        marked = [s for s, _ in self.behind.run([s for s, _ in reversed(read)])][::-1]
+        for (wrote, factor), (_, weight) in zip(self.machine.run(marked), read):
+            if wrote >= FIRST_HIT:
+                out[wrote - FIRST_HIT] += weight * factor
         return out
 
     def features(self, text: str) -> np.ndarray:
@@ -169,8 +216,10 @@ class Reader:
         for a, b in self.clauses(text):
             w = self.clause(text[a:b])
             total += w
-            top = max(top, float(w.sum()))
-            n += w.sum() > 0
+            # threats count there only where they are aimed
+            strong = float(w[:4].sum() + w[5])
+            top = max(top, strong)
+            n += strong > 0
         return np.concatenate([np.log1p(total), [math.log1p(top), math.log1p(n)]])
 
 
@@ -230,14 +279,19 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, size: int) -> L
 
 
 def fit(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: float = 0.1) -> tuple[float, np.ndarray]:
-    """Weighted logistic regression by Newton steps; the bias is not shrunk."""
+    """Weighted logistic regression by Newton steps; the bias is not shrunk.
+
+    Weights of threats are drawn to ``THREAT_PRIOR``, all others to zero.
+    """
     x = np.hstack([np.ones((len(features), 1)), features])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
-    beta = np.zeros(x.shape[1])
+    prior = np.zeros(x.shape[1])
+    prior[5:9] = THREAT_PRIOR
+    beta = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (weights * (labels - p)) - penalty * beta
+        grad = x.T @ (weights * (labels - p)) - penalty * (beta - prior)
         hess = (x * (weights * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hess, grad)
         beta = beta + step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
@@ -305,19 +359,15 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
     Null and empty texts hold no clause and get the score of a text without hits. Every row
     is scored by itself, so repeated rows get equal scores; extra columns stay in ``row``.
     """
-    rows = packed(docs, id_col, text_col)
-    names = [f.name for f in rows.schema["row"].dataType]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def read(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = Reader(shared.value.lexicon)
+        for t in texts:
+            x = [reader.features(v or "") for v in t]
+            yield pd.Series(shared.value.score(np.array(x)) if x else [], dtype=float)
 
-        reader = Reader(model.lexicon)
-        for b in batches:
-            x = [reader.features(t or "") for t in b.column(2).to_pylist()]
-            score = model.score(np.array(x)) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], ["row", "id", "score"])
-
-    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in ("row", "id"))
-    if any(not re.fullmatch(r"\w+", n) for n in names):
-        raise ValueError("column names must be plain words")
-    return rows.select("row", "id", F.col("text").cast("string").alias("text")).mapInArrow(read, f"{kinds}, score double")
+    # only the texts go to Python
+    rows = packed(docs, id_col, text_col)
+    return rows.select("row", "id", score(F.col("text").cast("string")).alias("score"))

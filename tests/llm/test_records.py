@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 
 from rampfield.llm import sentencepiece_nbest as sp
+from pyspark.sql import functions as F
+
 from rampfield.llm import toxicity as tox
 from rampfield.llm import warc
 from rampfield.llm.html_text import html_to_text, visible_text
@@ -128,11 +130,52 @@ def test_grammar_tells_modes():
     mode = lambda t: [tox.MODES[k % 4] + "/" + "it"[k // 4] for k in np.flatnonzero(read.clause(t))]
     assert mode("an idiot") == ["plain/i"] and mode("you idiotic fool") == ["aimed/i"]
     assert mode("he is not an idiot") == ["negated/i"] and mode("she said idiot") == ["reported/i"]
-    assert mode('the "idiot" word') == ["reported/i"] and mode("i will kill you") == ["plain/t"] and mode("you i kill") == ["aimed/t"]
+    assert mode('the "idiot" word') == ["reported/i"] and mode("i will kill you") == ["aimed/t"] and mode("you i kill") == ["aimed/t"]
+    assert mode("i will kill time") == ["plain/t"] and mode("i killed him and stabbed her") == ["aimed/t"] and mode("killjoy beaters") == ["plain/t"]
+    assert mode("idiot i do not kill you") == ["aimed/i", "negated/t"]
     assert mode("not a b c d idiot") == ["plain/i"] and read.features("nonidiot").sum() == 0
     assert read.features("").shape == (10,) and read.features("idiot. idiot, idiot")[9] == pytest.approx(np.log(4))
 
 
+def test_composed_machine_equals_rules_applied_word_by_word():
+    """Every hit of random clauses by its rules: reported before negated before aimed before plain."""
+    rng, reader = random.Random(6), tox.Reader(tox.Lexicon({"idiot": 1.5}))
+    spelled = {tox.OTHER: "word", tox.INSULT: "idiot", tox.THREAT: "kill", tox.TARGET: "you", tox.NEGATION: "not", tox.REPORT: "said", tox.QUOTE: '"'}
+    for _ in range(3000):
+        clause = rng.choices(range(7), weights=[6, 3, 2, 1, 1, 0.5, 0.7], k=rng.randint(0, 14))
+        want = np.zeros(8)
+        for i, s in enumerate(clause):
+            if s not in (tox.INSULT, tox.THREAT):
+                continue
+            before = clause[:i]
+            if tox.REPORT in before or before.count(tox.QUOTE) % 2:
+                mode = 3
+            elif tox.NEGATION in clause[max(0, i - tox.REACH) : i]:
+                mode = 2
+            else:
+                mode = int(tox.TARGET in clause)
+            row = s == tox.INSULT and i and clause[i - 1] == tox.INSULT
+            want[4 * (s == tox.THREAT) + mode] += (1.5 if s == tox.INSULT else tox.THREAT_WEIGHT) * (tox.IN_A_ROW if row else 1)
+        assert np.allclose(reader.clause(" ".join(spelled[s] for s in clause)), want), clause
+
+
+def test_toxicity_of_direct_threats_odd_columns_and_ties(spark, table):
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice(["river", "stone", "walks", "green", "quiet"]) for _ in range(30))
+    docs = [(k, plain() + (" zorgle" if k % 4 == 0 else "")) for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id bigint, toxic int")
+    model = tox.train(table(docs), labels)
+    more = [(900, "i will kill you"), (901, "kill time by the river"), (902, "he said he will kill you"), (903, plain()), (903, docs[1][1])]
+    odd = table(more).withColumn("my col", F.lit(1)).withColumn("a`b", F.lit("x")).withColumn("score", F.lit(5))
+    got = {(r.id, r.row["text"]): r.score for r in tox.toxicity(odd, model).collect()}
+    assert len(got) == 5 and got[900, more[0][1]] > got[901, more[1][1]] and got[900, more[0][1]] > got[902, more[2][1]]
+    assert {r.row["my col"] for r in tox.toxicity(odd, model).collect()} == {1}
+    # stems that are equally sure: the longer one, then the first by name
+    same = [(k, "abcdef" if k % 2 else "plain words") for k in range(60)]
+    known = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, toxic int")
+    assert list(tox.train(table(same), known).lexicon.insults) == ["abcdef"]
+
+
 def test_toxicity_learns_and_separates(spark, table):
     rng = random.Random(2)
     plain = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnr')}{rng.randrange(50)}q" for _ in range(n))
