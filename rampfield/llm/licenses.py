@@ -107,7 +107,7 @@ def template_table(spark: SparkSession) -> DataFrame:
 def training_rows(docs: DataFrame, sample_docs: int) -> DataFrame:
     """(family, words, part): varied templates, scrambled ones and paragraphs of sampled texts.
 
-    The sample is the ``sample_docs`` texts with the smallest hash. A sampled paragraph that
+    The sample is the ``sample_docs`` different texts with the smallest hash. A sampled paragraph that
     shares half of its bigrams with a template is left out, as it may be a notice.
     """
     spark = docs.sparkSession
@@ -127,7 +127,10 @@ def training_rows(docs: DataFrame, sample_docs: int) -> DataFrame:
     )
     pairs = templates.select(F.explode(grams(F.col("words"))).alias("g")).filter(F.col("g").contains(" ")).distinct().orderBy("g")
     known = F.array(*[F.lit(r["g"]) for r in pairs.collect()])
-    texts = docs.select("text").filter("text is not null").orderBy(F.xxhash64("text"), "text").limit(sample_docs)
+    # hashes are put in order, 8 bytes each; the texts are then those up to the last of them
+    hashed = docs.select("text", F.xxhash64("text").alias("h")).filter("text is not null")
+    limit = hashed.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    texts = hashed.filter(F.col("h") <= F.lit(limit)).select("text").distinct()
     lines = texts.select(F.explode(lines_of(F.col("text"))).alias("line")).distinct().select(once(word_list(F.col("line"))).alias("words"))
     own = F.filter(grams(F.col("words")), lambda g: g.contains(" "))
     shared = F.size(F.array_intersect(own, known))

@@ -3,13 +3,15 @@
 Lines arrive in batches. Every batch is reduced to one row per line key, merge-anti-joined
 with the runs kept so far, and split: keys never seen go into a run of first sightings,
 the others into a run of repeats. A level that holds ``fanout`` runs is compacted into one
-run of the next level. A key therefore lies in exactly one run of first sightings, and only
-keys with repeats, or that repeat inside their first batch, have to be totalled at the end.
+run of the next level. A key therefore lies in exactly one run of first sightings, so at the
+end the repeats alone are totalled, and each first sighting takes what was found again for it
+by one join; nothing is grouped over all keys. Runs can be saved and loaded, so that later
+batches are joined with those of earlier days.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import packed, stored, text_key
@@ -63,7 +65,7 @@ class LineRuns:
             F.sum(F.col("first").cast("bigint")).alias("n_docs"), F.max("id").alias("last")
         )
         known = self._runs(self.first)
-        if not known:
+        if not known:  # the very first batch
             run = stored(batch.sortWithinPartitions(*KEY))
             self._put(self.first, run)
             return run
@@ -76,10 +78,33 @@ class LineRuns:
 
     def repeated(self, min_docs: int) -> DataFrame:
         """(h1, h2, n_docs, last) of all keys that at least ``min_docs`` documents hold."""
-        first, again = self._runs(self.first), self._runs(self.again)
-        # a key that was never seen again has its total in its own run
-        parts = first + again
-        return totals(_union(parts)).filter(F.col("n_docs") >= min_docs)
+        first, again = _union(self._runs(self.first)), self._runs(self.again)
+        if again:
+            more = totals(_union(again)).withColumnsRenamed({"n_docs": "more", "last": "later"})
+            # greatest passes over nulls
+            first = first.join(more, KEY, "left").select(
+                *KEY, (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last", "later").alias("last")
+            )
+        return first.filter(F.col("n_docs") >= min_docs)
+
+    def save(self, path: str) -> None:
+        """Writes all runs under ``path``, which must not exist."""
+        for name, levels in (("first", self.first), ("again", self.again)):
+            for level, runs in levels.items():
+                for k, run in enumerate(runs):
+                    run.write.parquet(f"{path}/{name}-{level}-{k}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, fanout: int = 2) -> LineRuns:
+        """The runs that were saved under ``path``."""
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        runs = LineRuns(fanout)
+        for name in sorted(status.getPath().getName() for status in files.listStatus(folder)):
+            kind, level, _ = name.split("-")
+            levels = runs.first if kind == "first" else runs.again
+            levels.setdefault(int(level), []).append(spark.read.parquet(f"{path}/{name}"))
+        return runs
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

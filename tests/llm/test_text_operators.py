@@ -34,6 +34,35 @@ def test_line_ties_nulls_and_repeated_rows(table):
     assert drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_later_batches_meet_stored_runs(spark, tmp_path):
+    """Days of documents added one after the other, the runs saved and loaded between them."""
+    from pyspark.sql import functions as F
+
+    from rampfield.llm.line_dedup import LineRuns, line_table
+    from rampfield.llm.storage import packed, text_key
+
+    rng = random.Random(3)
+    days = [[(10 * d + k, "\n".join(f"line number {rng.randrange(12)} of the stock of lines" for _ in range(5))) for k in range(6)] for d in range(5)]
+    hashed = lambda rows: line_table(
+        packed(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").withColumns(text_key()), 20, 1
+    ).select("h1", "h2", "id", "first")
+    runs = LineRuns(2)
+    for d, rows in enumerate(days):
+        fresh = {(r["h1"], r["h2"]) for r in runs.add(hashed(rows)).collect()}
+        earlier = {(r["h1"], r["h2"]) for x in days[:d] for r in hashed(x).collect()}
+        assert fresh == {(r["h1"], r["h2"]) for r in hashed(rows).collect()} - earlier
+        runs.save(f"{tmp_path}/{d}")
+        runs = LineRuns.load(spark, f"{tmp_path}/{d}")
+    # every key lies in one run of first sightings
+    keys = [(r["h1"], r["h2"]) for level in runs.first.values() for run in level for r in run.collect()]
+    assert len(keys) == len(set(keys))
+    every = hashed([x for rows in days for x in rows])
+    want = {(r["h1"], r["h2"]): (r["n"], r["last"]) for r in every.groupBy("h1", "h2").agg(F.sum(F.col("first").cast("bigint")).alias("n"), F.max("id").alias("last")).collect()}
+    for least in (1, 3, 8):
+        got = runs.repeated(least).collect()
+        assert {(r["h1"], r["h2"]): (r["n_docs"], r["last"]) for r in got} == {k: v for k, v in want.items() if v[0] >= least} and len(got) == len({(r["h1"], r["h2"]) for r in got})
+
+
 def test_one_document_repeating_a_line_counts_once(table):
     docs = table([(1, "\n".join([LONG] * 50_000)), (2, LONG), (3, "other text of some length")])
     assert {r.n_dropped for r in drop_repeated_lines(docs).collect()} == {0}
