@@ -141,9 +141,12 @@ def _quantiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
     return ranked.groupBy("key", "k").agg(*found)
 
 
-def with_estimates(table: DataFrame, now: DataFrame) -> DataFrame:
-    """Rows (key, f) joined with the estimates of their group; a group of any size is spread over tasks."""
-    if now.count() <= BROADCAST_ROWS:
+def with_estimates(table: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """Rows (key, f) joined with the estimates of their group; a group of any size is spread over tasks.
+
+    ``few`` says that there are at most ``BROADCAST_ROWS`` estimates.
+    """
+    if few:
         return table.join(F.broadcast(now), "key")
     # a row is dealt by its values; equal rows have been counted into one
     salted = table.withColumn("salt", F.pmod(F.xxhash64("f"), F.lit(SALTS)))
@@ -205,15 +208,16 @@ def _estimate(subset: DataFrame, factor: float, *by: str) -> DataFrame:
     ).select(*by, "centre", F.transform(F.col("v.a"), lambda x: F.round(x, 6)).alias("inverse"), F.col("v.det").alias("det"))
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """(key, start, centre, inverse): where concentration begins, from counted rows (key, f, n).
+def _starts(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """(key, start, centre, inverse): where concentration begins, from counted rows (key, f, n); whether they are few.
 
     Medians and both quartiles with the deviations from the medians; medians with the
     covariances of the standardised rows' hyperbolic tangents, and of their directions.
     """
     each = rows.select("key", F.posexplode("f").alias("k", "x"), "n")
     middle = stored(_quantiles(each, {"median": 0.5, "low": 0.25, "high": 0.75}))
-    off = each.join(F.broadcast(middle) if middle.count() <= BROADCAST_ROWS else middle, ["key", "k"])
+    few = len(STARTS) * middle.count() <= BROADCAST_ROWS
+    off = each.join(F.broadcast(middle) if few else middle, ["key", "k"])
     spread = stored(_quantiles(off.select("key", "k", "n", F.abs(F.col("x") - F.col("median")).alias("x")), {"mad": 0.5}))
     named = F.create_map(*[c for i, v in enumerate(FEATURES.values()) for c in (F.lit(i), F.lit(v * v))])
     scaled = middle.join(spread, ["key", "k"]).withColumn("s", F.sqrt(F.pow(1.4826 * F.col("mad"), 2) + named[F.col("k")]))
@@ -229,13 +233,13 @@ def _starts(rows: DataFrame) -> DataFrame:
         F.struct(F.lit("tanh").alias("start"), F.transform("z", F.tanh).alias("f")),
         F.struct(F.lit("signs").alias("start"), F.transform("z", lambda x: x / size).alias("f")),
     )
-    turned = with_estimates(rows, at).select("key", "n", once(z).alias("z")).select("key", "n", F.explode(shapes).alias("c"))
+    turned = with_estimates(rows, at, few).select("key", "n", once(z).alias("z")).select("key", "n", F.explode(shapes).alias("c"))
     fitted = _estimate(turned.select("key", "n", "c.start", "c.f"), 1.0, "key", "start")
     shaped = fitted.join(at, "key").select(
         "key", "start", F.col("median").alias("centre"),
         _matrix(lambda i, j: F.col("inverse")[i * D + j] / F.col("s")[i] / F.col("s")[j]).alias("inverse"),
     )
-    return simple.unionByName(shaped)
+    return simple.unionByName(shaped), few
 
 
 def _nearest(far: DataFrame, share: float, *by: str) -> DataFrame:
@@ -253,13 +257,14 @@ def smallest_determinants(rows: DataFrame, share: float, steps: int) -> DataFram
     ``steps`` steps is marked as not converged.
     """
     factor, by = consistency(share, D), ["key", "start"]
-    now = stored(_starts(rows).withColumn("det", F.lit(math.inf)))
+    begun, few = _starts(rows)
+    now = stored(begun.withColumn("det", F.lit(math.inf)))
     ended: list[DataFrame] = []
-    for step in range(steps):
-        far = with_estimates(rows, now).select(*by, "f", "n", F.floor(256 * F.log1p(F.greatest(F.lit(0.0), _distance()))).alias("b"))
-        limits = stored(_nearest(far, share, *by))
+    for _ in range(steps):
+        far = with_estimates(rows, now, few).select(*by, "f", "n", F.floor(256 * F.log1p(F.greatest(F.lit(0.0), _distance()))).alias("b"))
+        limits = _nearest(far, share, *by)
         # the limit joins the estimate, so that rows are dealt with one of each start
-        chosen = with_estimates(rows, now.join(limits, by)).select(
+        chosen = with_estimates(rows, now.join(limits if few else stored(limits), by), few).select(
             *by, "f", "n", F.floor(256 * F.log1p(F.greatest(F.lit(0.0), _distance()))).alias("b"), "limit"
         )
         new = _estimate(chosen.filter("b <= limit"), factor, *by).withColumnRenamed("det", "new_det")
@@ -283,7 +288,7 @@ def robust_estimates(table: DataFrame, share: float, steps: int) -> DataFrame:
     # equal rows are counted once, so that a group of copies is one row
     rows = stored(table.groupBy("key", "f").agg(F.count("*").alias("n")))
     best = smallest_determinants(rows, share, steps)
-    near = with_estimates(rows, best.select("key", "centre", "inverse")).filter(_distance() <= chi2_quantile(0.975, D))
+    near = with_estimates(rows, best.select("key", "centre", "inverse"), best.count() <= BROADCAST_ROWS).filter(_distance() <= chi2_quantile(0.975, D))
     return stored(_estimate(near.select("key", "f", "n"), consistency(0.975, D), "key").join(best.select("key", "converged"), "key"))
 
 
