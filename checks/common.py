@@ -287,7 +287,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("series"), "ts", "event_id", F.col("value").alias("by"),
         F.get_json_object("props", "$.k").cast("double").alias("bz"),
     )
-    ranked = position_in_group(e, ["series"], ["ts", "event_id"], F.to_date("ts"), "k")
+    ranked = position_in_group(e, ["series"], ["ts", "event_id"], "k")
     return ranked.select("series", "k", "by", "bz")
 
 

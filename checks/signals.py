@@ -283,7 +283,7 @@ def p9(spark, sf):
     "WITH " + SIGNAL_SQL + """SELECT run, shotnum::BIGINT AS shotnum, ix::BIGINT AS ix, iramp FROM ramps WHERE ishot = 0 AND ix % 2 = 0""",
 )
 def p10(spark, sf):
-    chosen = C.diagnostic_positions(S.paired_ramps(raw_signals(spark, sf), SCAN), 2)
+    chosen = S.paired_ramps(S.diagnostic_shots(raw_signals(spark, sf), SCAN, 2), SCAN)
     return chosen.select(
         "run", "shotnum", F.col("ix").cast("bigint").alias("ix"), F.col("iramp").cast("bigint").alias("iramp")
     )

@@ -162,9 +162,9 @@ def t26(spark, sf):
 )
 def t27(spark, sf):
     traces = model_traces(spark, sf, halo=True)
-    done = plan.stages(traces, BOUNDED)
+    done = plan.configurations(traces, {"bounded": BOUNDED})["bounded"]
     bulk = H.bulk_windows(done, ["trace"], BOUNDED)
-    fits = plan.analyze_traces(traces, BOUNDED, ["trace"])
+    fits = plan.fits_of(done, BOUNDED, ["trace"])
     return H.hot_tail_screen(fits, bulk, ["trace"], 0.01).select(
         "trace", "status", rounded(F.col("excess_current_A") * 1e6, 2).alias("excess_uA"),
         rounded(F.col("excess_current_uncertainty_A") * 1e6, 3).alias("error_uA"), rounded("bulk_candidate_te_eV", 3).alias("bulk_te_eV"),
@@ -212,9 +212,10 @@ def v1(spark, sf):
 )
 def v2(spark, sf):
     traces = model_traces(spark, sf, halo=True)
-    bulk = H.bulk_windows(plan.stages(traces, BOUNDED), ["trace"], BOUNDED)
-    ordinary = plan.analyze_traces(traces, MODEL, ["trace"])
-    bounded = plan.analyze_traces(traces, BOUNDED, ["trace"])
+    both = plan.configurations(traces, {"ordinary": MODEL, "bounded": BOUNDED})
+    bulk = H.bulk_windows(both["bounded"], ["trace"], BOUNDED)
+    ordinary = plan.fits_of(both["ordinary"], MODEL, ["trace"])
+    bounded = plan.fits_of(both["bounded"], BOUNDED, ["trace"])
     return V.beam_comparison(ordinary, bounded, bulk, ["trace"]).select(
         "trace", rounded("bounded_te_eV", 6).alias("bounded_te_eV"), "bulk_candidate_found",
         rounded("bulk_candidate_te_eV", 3).alias("bulk_te_eV"), F.col("bulk_candidate_width_V").alias("bulk_width_V"),

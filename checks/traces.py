@@ -257,7 +257,7 @@ def t1_model(spark, sf):
 def t1_real(spark, sf):
     samples = real_samples(spark, sf)
     return W.sweep_direction_of_samples(
-        samples, ["trace"], REAL_ORDER, F.floor(F.col("l_orderkey") / 64), 0.1
+        samples, ["trace"], REAL_ORDER, 0.1
     )
 
 

@@ -128,6 +128,12 @@ def polynomial_weights(window: int, order: int, at_position: float) -> list[floa
     return [float(x) for x in point @ np.linalg.pinv(design)]
 
 
+def polynomial_solution(window: int, order: int) -> list[list[float]]:
+    """Per power, the samples' weights in the window's least-squares polynomial about its middle."""
+    t = np.arange(window) - (window - 1) / 2
+    return np.linalg.pinv(np.vander(t, order + 1, increasing=True)).tolist()
+
+
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     """Normalised Gaussian weights at -r..r with r = round-half-up(truncate * sigma)."""
     radius = int(truncate * float(sigma) + 0.5)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import gaussian_weights, polynomial_weights
+from ..functions.kernels import gaussian_weights, polynomial_solution, polynomial_weights
 from .keys import attach_by_key
 
 CHUNK = 4096
@@ -115,7 +115,7 @@ def _filtered(
 ) -> DataFrame:
     keys = list(keys)
     if mode not in BOUNDARIES:
-        raise ValueError(f"mode must be one of {BOUNDARIES}.")
+        raise ValueError(f"unknown boundary {mode!r}; known are {', '.join(BOUNDARIES)}.")
     sized = attach_by_key(series, series_lengths(series, keys), keys)
     framed = _framed(_extended(sized, keys, value, k, before, after, mode), keys, before, after, chunk)
     w = Window.partitionBy(*keys, "_chunk").orderBy("_pos")
@@ -138,7 +138,7 @@ def moving_average(
 ) -> DataFrame:
     """L2: mean of ``size`` samples; an even window reaches one sample further back."""
     if size < 1:
-        raise ValueError("window_size must be >= 1.")
+        raise ValueError("a window has at least one sample.")
     before = size // 2
     return _filtered(
         series, keys, [1.0 / size] * size, before, size - before - 1, mode, value, k, chunk, out
@@ -151,7 +151,7 @@ def gaussian(
 ) -> DataFrame:
     """L4: Gaussian weights out to four standard deviations."""
     if sigma <= 0:
-        raise ValueError("sigma must be positive.")
+        raise ValueError("the width of a Gaussian is above zero.")
     weights = gaussian_weights(sigma)
     reach = len(weights) // 2
     return _filtered(series, keys, weights, reach, reach, mode, value, k, chunk, out)
@@ -166,34 +166,43 @@ def savgol(
     A series shorter than the window fails the query.
     """
     if window % 2 == 0:
-        raise ValueError("window_size must be odd.")
+        raise ValueError("a window with a middle sample is needed: give an odd size.")
     if window <= order:
-        raise ValueError("window_size must be > polyorder.")
-    keys, half, reach = list(keys), window // 2, window - 1
+        raise ValueError("the polynomial needs more samples than its order.")
+    keys, half = list(keys), window // 2
     sized = attach_by_key(series, series_lengths(series, keys), keys)
     checked = sized.where(
-        F.assert_true(F.col("_n") >= window, F.lit("window_size cannot exceed nt.")).isNull()
+        F.assert_true(F.col("_n") >= window, F.lit("a series is shorter than the window.")).isNull()
     ).withColumn("_pos", F.col(k).cast("bigint"))
-    framed = _framed(checked, keys, reach, reach, chunk)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(-reach, reach)
-    listed = framed.withColumn(
-        "_frame", F.collect_list(F.struct(F.col("_pos").alias("p"), F.col(value).alias("v"))).over(w)
-    ).where(F.floor(F.col("_pos") / chunk) == F.col("_chunk"))
-    start = F.greatest(F.lit(0), F.least(F.col("_pos") - half, F.col("_n") - window))
-    first = F.col("_frame")[0]["p"]
-    piece = F.slice("_frame", (start - first + 1).cast("int"), window)
-    place = (F.col("_pos") - start).cast("int")
-    table = F.array(
-        *[
-            F.array(*[F.lit(x) for x in polynomial_weights(window, order, at)])
-            for at in range(window)
-        ]
-    )
-    smooth = F.aggregate(
-        F.zip_with(piece, F.get(table, place), lambda a, b: a["v"] * b),
-        F.lit(0.0), lambda acc, x: acc + x,
-    )
-    return listed.withColumn(out, smooth).drop("_frame", "_pos", "_chunk", "_n")
+    # the polynomials of the first and the last window of every series, from sums over their samples
+    solve = polynomial_solution(window, order)
+    sums = []
+    for end, place in (("_first", F.col("_pos")), ("_last", F.col("_pos") - F.col("_n") + window)):
+        inside = F.when(place.between(0, window - 1), F.col(value))
+        sums.append(F.count(inside).alias(f"{end}_n"))
+        for d, row in enumerate(solve):
+            weights = F.array(*[F.lit(float(w)) for w in row])
+            sums.append(F.sum(inside * F.get(weights, place.cast("int"))).alias(f"{end}{d}"))
+    at_ends = checked.where((F.col("_pos") < window) | (F.col("_pos") >= F.col("_n") - window))
+    fitted = attach_by_key(checked, at_ends.groupBy(*keys).agg(*sums), keys)
+    framed = _framed(fitted, keys, half, half, chunk)
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_pos")
+    # a missing sample makes the whole sum missing
+    kernel = polynomial_weights(window, order, half)
+    middle = sum((F.lag(value, half - n).over(w) * float(x) for n, x in enumerate(kernel)), F.lit(0.0))
+
+    def curve(end: str, at) -> Column:
+        """The end's polynomial at a distance from the middle of its window."""
+        total = sum((F.col(f"{end}{d}") * F.pow(at, F.lit(d)) for d in range(order + 1)), F.lit(0.0))
+        return F.when(F.col(f"{end}_n") == window, total)
+
+    place = F.col("_pos").cast("double")
+    smooth = F.when(F.col("_pos") < half, curve("_first", place - half)).when(
+        F.col("_pos") >= F.col("_n") - half, curve("_last", place - F.col("_n") + window - half)
+    ).otherwise(middle)
+    drop = [f"{end}{d}" for end in ("_first", "_last") for d in ("_n", *range(order + 1))]
+    own = F.floor(F.col("_pos") / chunk) == F.col("_chunk")
+    return framed.withColumn(out, smooth).where(own).drop("_pos", "_chunk", "_n", *drop)
 
 
 # --- L6 ------------------------------------------------------------------------------

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join one row per key back to many rows; a NULL key matches a NULL key.
@@ -23,31 +25,35 @@ def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> D
 
 
 def position_in_group(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
+    of_key: dict[str, tuple[Column, Callable[[str], Column]]] | None = None,
 ) -> DataFrame:
-    """0-based position of each row within its key under ``order``.
+    """0-based position of each row within its key under ``order``; a NULL key is a key.
 
-    ``bucket`` must grow with ``order``.  Rows are numbered inside (key, bucket)
-    and shifted by the rows of earlier buckets, which are counted with map-side
-    combine; no task sorts a whole key.
+    Rows are dealt into sorted range partitions of key and order and numbered there. How
+    many rows of a key lie in earlier partitions comes from a table of counts by key and
+    partition, which has no more rows than keys and partitions together. No task sorts a
+    whole key. The numbered rows are written, as partition borders are drawn anew by every
+    evaluation. ``of_key`` names further values of a key, each as the aggregate of a partition
+    and the one that combines partitions; they come with the same table.
     """
-    keys = list(keys)
-    bucketed = rows.withColumn("_bucket", bucket)
-    counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
+    keys, of_key = list(keys), of_key or {}
+    parts = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    numbered = written(parts.withColumn("_id", F.monotonically_increasing_id()))
+    # the upper bits are the partition, the others count its rows
+    placed = numbered.withColumn("_part", F.shiftrightunsigned("_id", 33))
+    counts = placed.groupBy(*keys, "_part").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"), *[part.alias(name) for name, (part, _) in of_key.items()]
     )
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
+        *keys, "_part", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_offset"),
+        *[combine(name).over(Window.partitionBy(*keys)).alias(name) for name, (_, combine) in of_key.items()],
     )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    numbered = bucketed.withColumn("_nth", F.row_number().over(within) - 1)
     return (
-        attach_by_key(numbered, offsets, [*keys, "_bucket"])
-        .withColumn(out, (F.col("_offset") + F.col("_nth")).cast("bigint"))
-        .drop("_bucket", "_offset", "_nth")
+        attach_by_key(placed, offsets, [*keys, "_part"])
+        .withColumn(out, (F.col("_offset") + F.col("_id")).cast("bigint"))
+        .drop("_id", "_part", "_offset")
     )
 
 

@@ -108,49 +108,42 @@ def sweep_direction_of_samples(
     samples: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
     width: float,
     v: str = "v",
 ) -> DataFrame:
     """T1 on sample rows: one row per trace with ``sweep_ok``.
 
-    ``bucket`` is a coarse value that grows with ``order``; it lets the position
-    of each sample be counted per bucket instead of by one sort of the trace.
-    Equal voltages of a block are counted before the median is taken, so a block
-    is combined on the map side.
+    Positions come from counts of range partitions, so no task sorts a trace.
     """
     keys = list(keys)
     usable = samples.where(clean(X.col(v)).column().isNotNull()).withColumn("_v", clean(X.col(v)).column())
-    numbered = position_in_group(usable, keys, order, bucket, "_k")
-    ranked = numbered.select(*keys, "_v", "_k")
-    size = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), (F.max("_v") - F.min("_v")).alias("_span")
+    narrow = usable.select(*keys, *[o for o in order if o not in keys], "_v")
+    ranked = position_in_group(
+        narrow, keys, order, "_k",
+        {"_n": (F.count(F.lit(1)), F.sum), "_low": (F.min("_v"), F.min), "_high": (F.max("_v"), F.max)},
     )
-    sized = attach_by_key(ranked, size, keys)
-    blocks = F.least(F.lit(25), F.floor(F.col("_n") / 3)).cast("bigint")
+    blocks = F.greatest(F.least(F.lit(25), F.floor(F.col("_n") / 3)), F.lit(1)).cast("bigint")
     whole, extra = F.floor(F.col("_n") / blocks), F.col("_n") % blocks
     long_part = extra * (whole + 1)
     block = F.when(F.col("_k") < long_part, F.floor(F.col("_k") / (whole + 1))).otherwise(
         extra + F.floor((F.col("_k") - long_part) / whole)
     )
+    # percentile counts equal values before rows are shuffled
     medians = (
-        sized.where(F.col("_n") >= MIN_CURVE_POINTS)
-        .groupBy(*keys, block.alias("_b"), "_v", "_n", "_span")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .groupBy(*keys, "_b", "_n", "_span")
-        .agg(F.percentile("_v", F.lit(0.5), F.col("_c")).alias("_m"))
+        ranked.groupBy(*keys, block.alias("_b"), "_n", (F.col("_high") - F.col("_low")).alias("_span"))
+        .agg(F.percentile("_v", F.lit(0.5)).alias("_m"))
         .groupBy(*keys)
         .agg(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("_b", "_m"))), lambda x: x["_m"]
             ).alias("_medians"),
+            F.max("_n").alias("_n"), F.max("_span").alias("_span"),
         )
     )
-    judged = size.join(medians, keys, "left")
-    ok = (X.col("_span") >= (MIN_CURVE_POINTS - 1) * width) & _travel_is_one_way(
+    ok = (X.col("_n") >= MIN_CURVE_POINTS) & (X.col("_span") >= (MIN_CURVE_POINTS - 1) * width) & _travel_is_one_way(
         X.col("_medians"), X.col("_span"), width
     )
-    return put(judged, "sweep_ok", X.coalesce(ok, X.lit(False))).select(*keys, "sweep_ok")
+    return put(medians, "sweep_ok", X.coalesce(ok, X.lit(False))).select(*keys, "sweep_ok")
 
 
 # --- T2 ------------------------------------------------------------------------------

@@ -20,6 +20,7 @@ from ..operators.saturation import (
 from ..operators.sweep import bin_traces, curve_grids, sweep_direction
 from ..operators.temperature import electron_temperature, fitted_plasma_potential
 from ..params import FitParams
+from ..sources.scratch import written
 
 
 def curves(traces: DataFrame, params: FitParams) -> DataFrame:
@@ -49,12 +50,33 @@ def stages(traces: DataFrame, params: FitParams) -> DataFrame:
     All steps are projections of the trace's own row, so the plan has no shuffle
     after the rows were formed.
     """
+    return from_saturation(until_saturation(traces, params), params)
+
+
+def until_saturation(traces: DataFrame, params: FitParams) -> DataFrame:
+    """The steps before the temperature is sought."""
     found = potentials(traces, params)
     ions = branch_support(derivative_significance(ion_branch(found, params)), params)
     gated = early_gate(ions, params).withColumn(
         "_vp", F.when(F.col("gate").isNull(), F.col("vp_derivative_V"))
     )
-    saturated = electron_saturation(gated, params, vp="_vp")
+    return electron_saturation(gated, params, vp="_vp")
+
+
+def configurations(traces: DataFrame, settings: dict[str, FitParams]) -> dict[str, DataFrame]:
+    """The stages of one table of traces under several settings.
+
+    Settings may differ in how the temperature region is chosen. The steps before that are
+    done once and written; each configuration goes on from there, and is written as well.
+    """
+    first = next(iter(settings.values()))
+    if any(p.with_(te_region_method=first.te_region_method) != first for p in settings.values()):
+        raise ValueError("configurations may differ in te_region_method only.")
+    shared = written(until_saturation(traces, first))
+    return {name: written(from_saturation(shared, p)) for name, p in settings.items()}
+
+
+def from_saturation(saturated: DataFrame, params: FitParams) -> DataFrame:
     heated = fitted_plasma_potential(electron_temperature(saturated, params), params)
     checked = plateau_disagreement(electron_leakage(heated), vp="_vp")
     return final_gate(checked, params).drop("_vp")
@@ -70,7 +92,11 @@ def analyze_traces(
 
     ``with_grids`` keeps the display grid (``vg, ig, didv_grid, fit_mask``).
     """
-    done = stages(traces, params)
+    return fits_of(stages(traces, params), params, keys, with_grids)
+
+
+def fits_of(done: DataFrame, params: FitParams, keys: Sequence[str], with_grids: bool = False) -> DataFrame:
+    """The result rows of stages that were already made."""
     keep = list(keys)
     if with_grids:
         done = display_fit_mask(on_display_grid(done)).withColumn(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.physics import LENGTH_TO_CM
 from ..operators.keys import attach_by_key, position_in_group
+from .scratch import written
 
 # Fixed value: positions closer than this are the same, in cm.
 TOLERANCE_CM = 1e-8
@@ -57,9 +58,8 @@ def infer_geometry(motion: DataFrame, geometry: str, shots_per_bucket: int = 655
             (F.round("y", 8) if plane else F.lit(0.0)).alias("y"),
         )
     )
-    runs = position_in_group(
-        starts, keys, ["shotnum"], F.floor(F.col("shotnum") / shots_per_bucket), "pos"
-    )
+    # few rows, used several times below
+    runs = written(position_in_group(starts, keys, ["shotnum"], "pos"))
     revisited = runs.groupBy("config", "x", "y").agg(F.count(F.lit(1)).alias("_v")).groupBy(
         *keys
     ).agg(F.max("_v").alias("visits"))

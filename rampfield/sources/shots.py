@@ -180,6 +180,17 @@ def shot_number(scan: ScanParams, iy: Column, ix: Column, ishot: Column) -> Colu
     return F.when(inside, _shot(scan, iy, ix, ishot).cast("bigint"))
 
 
+def diagnostic_shots(raw_shots: DataFrame, scan: ScanParams, every: int | None) -> DataFrame:
+    """P10 before anything is cut: the first shot at every N-th position; none when N is not positive.
+
+    The positions' shot numbers are known from the layout, so the filter reaches the scan of the table.
+    """
+    if not every or every < 0:
+        return raw_shots.where(F.lit(False))
+    chosen = [_shot(scan, iy, ix, 0) for iy in range(_extent(scan)["iy"]) for ix in range(0, scan.nx, every)]
+    return raw_shots.where(F.col("shotnum").isin(*chosen))
+
+
 def even_axis(index: Column, low: float, high: float, n: int) -> Column:
     """Coordinate of an index on ``n`` evenly spaced points with exact ends."""
     if n == 1:

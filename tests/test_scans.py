@@ -217,7 +217,7 @@ def test_hot_key_is_spread_and_ranked(spark):
     rows = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("key"), F.col("id").alias("t")
     )
-    ranked = position_in_group(rows, ["key"], ["t"], F.floor(F.col("t") / 100), "pos")
+    ranked = position_in_group(rows, ["key"], ["t"], "pos")
     hot = ranked.where("key = 0").orderBy("t").select("pos").collect()
     assert [r["pos"] for r in hot] == list(range(1000))
     counts = rows.groupBy("key").agg(F.count("*").alias("n"))
@@ -351,7 +351,7 @@ def test_null_and_frequent_keys_are_kept(spark):
     per_key = rows.groupBy("key").agg(F.count("*").alias("n"))
     assert {(r["key"], r["n"]) for r in attach_by_key(rows, per_key, ["key"]).distinct().select("key", "n").collect()} == {
         (None, 900), (0, 34), (1, 33), (2, 33)}
-    placed = position_in_group(rows, ["key"], ["at"], F.floor(F.col("at") / 7), "place")
+    placed = position_in_group(rows, ["key"], ["at"], "place")
     assert placed.count() == 1000 and placed.where("key is null").agg(F.max("place")).first()[0] == 899
 
 
@@ -498,3 +498,47 @@ def test_completeness_reads_no_signals(spark, raw_scan, tmp_path):
     assert "ReadSchema" in plan and "signal" not in plan
     bad = raw.withColumn("n_samples", F.when(F.col("shotnum") == 2, F.lit(7)).otherwise(F.col("n_samples"))).dropDuplicates(["channel", "shotnum"])
     assert checked_runs(bad, s).first()["violation"] == "time-length mismatch"
+
+
+def test_positions_of_a_key_with_nearly_all_rows(spark):
+    """Nine tenths of the rows in one key, over many range partitions."""
+    from rampfield.operators.sweep import sweep_direction_of_samples
+
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(5000).select(
+            F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 70)).alias("key"), F.hash("id").alias("t"), "id"
+        )
+        placed = position_in_group(rows, ["key"], ["t", "id"], "pos").collect()
+        by_key = {}
+        for r in placed:
+            by_key.setdefault(r["key"], []).append((r["pos"], r["t"], r["id"]))
+        assert len(by_key["hot"]) == 4500 and len(placed) == 5000
+        for found in by_key.values():
+            found.sort()
+            assert [p for p, *_ in found] == list(range(len(found))) and [x[1:] for x in found] == sorted(x[1:] for x in found)
+        up = rows.withColumn("v", F.when(F.col("key") == "hot", F.col("id") / 100).otherwise(F.col("id") % 7))
+        way = sweep_direction_of_samples(up, ["key"], ["id"], 0.1)
+        # before it runs, the plan is printed once
+        plan = way._jdf.queryExecution().executedPlan().toString()
+        assert sum("Exchange" in line for line in plan.splitlines()) <= 6, plan
+        assert {r["key"]: r["sweep_ok"] for r in way.collect()}["hot"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_diagnostic_shots_reach_the_scan(spark, raw_scan, tmp_path):
+    raw_scan.write.parquet(str(tmp_path / "raw"))
+    s = small_scan()
+    chosen = shots.diagnostic_shots(spark.read.parquet(str(tmp_path / "raw")), s, 2)
+    assert {r["shotnum"] for r in chosen.select("shotnum").collect()} == {1}
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "shotnum" in plan.split("PushedFilters")[1].split("]")[0]
+    for every in (1, 2, 3):
+        ours = shots.paired_ramps(shots.diagnostic_shots(raw_scan, s, every), s).select("shotnum", "iramp").collect()
+        whole = C.diagnostic_positions(shots.paired_ramps(raw_scan, s), every).select("shotnum", "iramp").collect()
+        assert sorted(ours) == sorted(whole) and whole
+    assert shots.diagnostic_shots(raw_scan, s, None).count() == shots.diagnostic_shots(raw_scan, s, 0).count() == 0
