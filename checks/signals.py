@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rampfield.operators import conditioning as C
 from rampfield.sources import shots as S
 
-from .common import R, SIGNAL_SCAN as SCAN, SIGNAL_SQL, Registry, raw_signals, rounded, table
+from .common import R, SIGNAL_SCAN as SCAN, SIGNAL_SQL, Registry, raw_signals, rounded, table, SMALL_SCAN, shared_root, small_scan_shots
 
 reg = Registry()
 
@@ -39,6 +39,25 @@ def src1_check(spark, sf):
     return S.channel_check(raw_signals(spark, sf), SCAN, 1)
 
 
+@reg.add(
+    "SRC1_shot_index",
+    """SELECT 'e' || (vec_id // 2 // 50) AS run, vec_id % 2 AS channel, count(*) + count(*) FILTER (vec_id // 2 % 50 = 29) AS n_shots,
+              min(len(embedding))::BIGINT AS min_nt, max(len(embedding))::BIGINT AS max_nt, count(*) FILTER (vec_id // 2 % 50 = 29) AS repeated,
+              CASE WHEN count(*) FILTER (vec_id // 2 % 50 = 29) > 0 THEN 'shots stored twice' WHEN count(*) <> 50 THEN 'shot count mismatch' END AS violation
+       FROM embeddings GROUP BY 1, 2""",
+)
+def src1_index(spark, sf):
+    """Shots that come in two batches with one shot of each run in both; the checks read the index alone."""
+    path, raw = shared_root(spark), small_scan_shots(spark, sf)
+    S.ingest_shots(spark, raw.where("shotnum <= 30"), path)
+    again = S.ingest_shots(spark, raw.where("shotnum >= 30"), path).groupBy("run", "channel").agg(F.count(F.lit(1)).alias("repeated"))
+    index = S.read_shot_index(spark, path)
+    checked = [S.channel_check(index, SMALL_SCAN, c).withColumn("channel", F.lit(c)) for c in (0, 1)]
+    return checked[0].unionByName(checked[1]).join(again, ["run", "channel"], "left").select(
+        "run", F.col("channel").cast("bigint").alias("channel"), "n_shots", "min_nt", "max_nt", F.coalesce("repeated", F.lit(0)).alias("repeated"), "violation"
+    )
+
+
 @reg.add(
     "SRC1_channel_violations",
     """SELECT 'p' || ps_run AS run, count(*) FILTER (ch = 1) AS n_shots,
@@ -254,6 +273,18 @@ def p8(spark, sf):
     ).select("run", "shotnum", "iramp", F.col("k").cast("bigint").alias("k"), rounded("y", 5).alias("v_smooth"))
 
 
+@reg.add(
+    "P8_time_smoothing_current",
+    "WITH " + SIGNAL_SQL + "," + SMOOTH_SQL % {"y": "i"}
+    + f"""SELECT run, shotnum::BIGINT AS shotnum, iramp, k, {R('m + b1 * e + b2 * (e * e - 17.5 / 6)', 7)} AS i_smooth FROM q""",
+)
+def p8_current(spark, sf):
+    smooth = C.smooth_in_time(S.paired_ramps(raw_signals(spark, sf), SCAN), 6, 2)
+    return smooth.select(
+        "run", "shotnum", F.col("iramp").cast("bigint").alias("iramp"), F.posexplode("i_smooth").alias("k", "y")
+    ).select("run", "shotnum", "iramp", F.col("k").cast("bigint").alias("k"), rounded("y", 7).alias("i_smooth"))
+
+
 @reg.add(
     "P9_finite_samples",
     "WITH " + SIGNAL_SQL + f"""SELECT run, shotnum::BIGINT AS shotnum, iramp, count(*) AS n, {R('sum(v)', 5)} AS total_v

@@ -98,15 +98,27 @@ def rd2(spark, sf):
     )
 
 
-@reg.add(
-    "RD3_inventory",
-    "WITH " + PROFILE_SQL + "," + MAP_SQL + """SELECT geometry, field, 'double' AS type, ny, nx, nramps, CASE field WHEN 'x_cm' THEN n ELSE k END AS non_null FROM (
-   SELECT 'x_line' AS geometry, 1::BIGINT AS ny, count(DISTINCT ix) AS nx, count(DISTINCT iramp) AS nramps, count(*) AS n, count(m) AS k FROM p
-   UNION ALL SELECT 'xy_plane', count(DISTINCT iy), count(DISTINCT ix), count(DISTINCT iramp), count(*), count(z) FROM cells), (VALUES ('vp_V'), ('x_cm')) t(field)""",
-)
+#: stored fields by the geometry's rows they are NULL in: none; those without a mean; of a line, those without a mean of vp_V only
+_ALWAYS = ["x_cm", "y_cm", "te_fit_rmse_logI", "te_fit_npts", "te_fit_slope_logI_per_V", "te_fit_intercept_logI"]
+_COUNTS, _FLAGS = ["analysis_valid_count", "te_fit_candidate_count"], ["vp_spike", "analysis_ok", "te_fit_passed_r2"]
+_GAPPY = [f"{n}{v}" for n in ("vp_V", "vf_V", "iis_A", "n_e_m3") for v in ("", "_raw", "_processed")] + [
+    "te_fit_r2", "te_fit_vstart_V", "te_fit_vstop_V", "te_fit_i0_A"
+]
+_DEVIATIONS = [f"{n}{v}" for n in ("te_eV", "ies_A") for v in ("", "_raw", "_processed")] + ["isat_A"]
+
+
+def inventory_sql() -> str:
+    kinds = {**dict.fromkeys(_ALWAYS + _GAPPY + _DEVIATIONS, "double"), **dict.fromkeys(_COUNTS, "bigint"), **dict.fromkeys(_FLAGS, "boolean")}
+    held = lambda f: "k" if f in _GAPPY else "d" if f in _DEVIATIONS else "n"
+    listed = ", ".join(f"('{f}', '{kind}', '{held(f)}')" for f, kind in kinds.items())
+    return "WITH " + PROFILE_SQL + "," + MAP_SQL + f"""SELECT geometry, field, type, ny, nx, nramps, CASE held WHEN 'k' THEN k WHEN 'd' THEN d ELSE n END AS non_null FROM (
+   SELECT 'x_line' AS geometry, 1::BIGINT AS ny, count(DISTINCT ix) AS nx, count(DISTINCT iramp) AS nramps, count(*) AS n, count(m) AS k, count(sd) AS d FROM p
+   UNION ALL SELECT 'xy_plane', count(DISTINCT iy), count(DISTINCT ix), count(DISTINCT iramp), count(*), count(z), count(z) FROM cells), (VALUES {listed}) t(field, type, held)"""
+
+
+@reg.add("RD3_inventory", inventory_sql())
 def rd3(spark, sf):
-    listed = Z.inventory(spark.read.parquet(f"{stored(spark, sf)}/profiles"))
-    return listed.where("field in ('vp_V', 'x_cm')")
+    return Z.inventory(spark.read.parquet(f"{stored(spark, sf)}/profiles"))
 
 
 @reg.add(
