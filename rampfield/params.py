@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
+from decimal import ROUND_HALF_UP, Decimal
 from typing import Any
 
 # Thresholds of the quality checks.
@@ -192,6 +193,19 @@ class ScanParams:
         if broken:
             raise ValueError(f"scan settings do not fit together: {'; '.join(broken)}")
 
+    @classmethod
+    def timed(cls, *, dt_s: float, times_s: dict[str, float], **settings: Any) -> ScanParams:
+        """Settings with some of the sample indices given as times from the start of a trace, in seconds.
+
+        ``times_s`` maps names out of ``TIMED`` to times; each becomes the nearest sample, half a
+        sample the later one.
+        """
+        unknown = sorted(set(times_s) - set(TIMED))
+        both = sorted(set(times_s) & set(settings))
+        if unknown or both:
+            raise ValueError(f"not given as times: {', '.join(unknown)}" if unknown else f"given twice: {', '.join(both)}")
+        return cls(dt_s=dt_s, **settings, **{name: nearest_sample(t, dt_s) for name, t in times_s.items()})
+
     @property
     def ramp_length(self) -> int:
         return self.sweep_end - self.sweep_start + 1
@@ -220,6 +234,18 @@ class ScanParams:
         return self.data_offset + self.positions * self.nshots
 
 
+#: settings that are sample indices or numbers of samples
+TIMED = ("sweep_start", "sweep_end", "ramp_spacing", "dc_start", "dc_end")
+
+
+def nearest_sample(time_s: float, dt_s: float) -> int:
+    """Sample nearest to a time, in decimal arithmetic: 0.5 samples written as decimals are a tie."""
+    time, step = Decimal(str(time_s)), Decimal(str(dt_s))
+    if not (time.is_finite() and step.is_finite()) or time < 0 or step <= 0:
+        raise ValueError(f"no sample lies at {time_s} s with an interval of {dt_s} s")
+    return int((time / step).to_integral_value(ROUND_HALF_UP))
+
+
 LAYOUT = {
     **{name: Bound("whole", 1) for name in ("nx", "ny", "nshots", "nramps")},
     "nt_full": Bound("whole", 2), "dt_s": Bound("real", 0, open_low=True),

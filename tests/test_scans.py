@@ -67,6 +67,22 @@ def test_half_samples_round_up(spark, dt):
     )
 
 
+def test_settings_in_seconds():
+    common = dict(geometry="x_line", nx=2, nshots=1, nt_full=900, x_min_cm=0.0, x_max_cm=1.0, sg_window=3, sg_order=1, subtract_dc=True)
+    times = {"sweep_start": 20.5e-6, "sweep_end": 99.4e-6, "dc_start": 0.0, "dc_end": 5e-6}
+    s = ScanParams.timed(dt_s=1e-6, times_s=times, **common)
+    assert (s.sweep_start, s.sweep_end, s.dc_start, s.dc_end) == (21, 99, 0, 5)
+    from rampfield.params import nearest_sample
+
+    for dt in (20e-9, 40e-9, 320e-9):
+        assert [nearest_sample(float(f"{(k + 0.5) * dt:.12g}"), dt) for k in range(300)] == list(range(1, 301))
+    for bad in ({"nx": 1e-6}, {"sweep_start": -1e-6}, {"sweep_start": float("nan")}):
+        with pytest.raises(ValueError):
+            ScanParams.timed(dt_s=1e-6, times_s={**times, **bad}, **common)
+    with pytest.raises(ValueError, match="twice"):
+        ScanParams.timed(dt_s=1e-6, times_s=times, sweep_end=5, **common)
+
+
 def profile(spark, rows):
     return spark.createDataFrame(rows, "run string, iy int, ix int, iramp int, vp_V double, x_cm double")
 
