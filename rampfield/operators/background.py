@@ -405,6 +405,8 @@ def bulk_windows(
     traces = put(
         stages, {"_upper": upper, "_dv": median(diffs(X.col("vb"))), "noise_A": X.col("ion.noise")}
     ).select(*keys, "vb", "ib", "_upper", "_dv", "noise_A")
+    # dealt by trace while a row holds its bins only: the windows and their fits then stay where they are
+    traces = traces.repartition(*keys)
     least = max(params.te_min_points, MIN_CURVE_POINTS)
     widths = F.filter(
         F.array(*[F.lit(float(w)) for w in BULK_WINDOW_WIDTHS_V]),
