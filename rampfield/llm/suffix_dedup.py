@@ -26,16 +26,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import packed, stored, text_key
-from .words import _BASE, _CODES, _INVERSE, BLOCK, U, mix, powers, utf8
+from .words import BLOCK, U, mix, utf8
 
 SIZE, GRAM = 200, 100
 #: contexts of one group that meet in a task; bytes of fragments held at once; bytes of one transform (an index takes 20 bits)
 GROUP, HELD, TEXT = 40_000, 8_000_000, 1_000_000
+#: hashes of byte windows: codes of bytes times powers of an odd base, summed up
+_BASE, _INVERSE = 0x9E3779B97F4A7C17, pow(0x9E3779B97F4A7C17, -1, 1 << 64)
+_CODES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.int64).view(U) * U(2) + U(1)
+_powers: dict[int, np.ndarray] = {}
 FRAGMENT = (
     "g bigint, lo int, hi int, k1 bigint, k2 bigint, pos bigint, copies bigint, off int, frag binary"
 )
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        full = np.full(max(n, BLOCK + 1), base, U)
+        full[0] = 1
+        have = _powers[base] = np.cumprod(full, dtype=U)
+    return have[:n]
+
+
 def _slide(a: np.ndarray, f, width: int) -> np.ndarray:
     """f over every run of ``width`` elements, by doubling."""
     w = 1
