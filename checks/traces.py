@@ -713,11 +713,11 @@ g AS (SELECT m.trace, CASE
    CASE WHEN cur IS NULL THEN {quoted(B.ION_TOO_FEW)} ELSE {quoted(B.ION_NOT_NEGATIVE)} END AS ion_reason,
    CASE WHEN ies IS NULL THEN {quoted(B.IES_TOO_FEW)} WHEN ies <= 0 THEN {quoted(B.IES_NOT_POSITIVE)} ELSE {quoted(B.IES_NOT_RESOLVED)} END AS ies_reason,
    coalesce(bounded.reason, {quoted(T.TE_TOO_FEW)}) AS te_reason,
-   vf, vp, vpf, dis, cur, snr, ies, bounded.te, bounded.r2, bounded.n, bounded.x0,
+   vf, vp, vpf, dis, cur, snr, ies, bounded.te, bounded.r2, bounded.n, widest.b - widest.a AS n_widest, bounded.x0,
    ion.trend > 0.2 AS ion_sloped, ies.trend > 0.2 AS ies_sloped, coalesce(bounded.curved, false) AS curved, exp(bounded.m * vmax + bounded.c) / -cur AS leak
    FROM model m LEFT JOIN sweep USING (trace) LEFT JOIN shape USING (trace) LEFT JOIN vf0 USING (trace) LEFT JOIN vp ON vp.trace = m.trace
    LEFT JOIN vf ON vf.trace = m.trace LEFT JOIN ion ON ion.trace = m.trace LEFT JOIN peak ON peak.trace = m.trace LEFT JOIN peaknoise ON peaknoise.trace = m.trace
-   LEFT JOIN support ON support.trace = m.trace LEFT JOIN ies ON ies.trace = m.trace LEFT JOIN bounded ON bounded.trace = m.trace LEFT JOIN vpdis ON vpdis.trace = m.trace)"""
+   LEFT JOIN support ON support.trace = m.trace LEFT JOIN ies ON ies.trace = m.trace LEFT JOIN widest ON widest.trace = m.trace LEFT JOIN bounded ON bounded.trace = m.trace LEFT JOIN vpdis ON vpdis.trace = m.trace)"""
     pieces.append(gate)
     warn = " ".join(
         f"WHEN {n} THEN {quoted(t) if t not in ('ion_reason', 'ies_reason', 'te_reason') else t}"
@@ -743,7 +743,7 @@ SELECT trace, gate IS NULL AS ok, gate::BIGINT AS gate, coalesce(CASE gate {warn
   {R(since(6, 'CASE WHEN gate IS NULL AND NOT dis THEN vpf ELSE vp END'), 6)} AS vp_V, {R(since(6, 'vf'), 6)} AS vf_V,
   {R(since(11, 'ies * 1e3'), 6)} AS ies_mA, {R(since(7, '-cur * 1e6'), 5)} AS iis_uA,
   {R(since(11, 'log10(ies / (1.602176634e-19 * 4e-6 * sqrt(te * 1.602176634e-19 / (2 * pi() * 9.1093837139e-31))))'), 7)} AS log10_ne,
-  {R(since(11, 'r2'), 8)} AS te_fit_r2, coalesce({since(11, 'n')}, 0) AS te_fit_npts, {R(since(11, 'x0'), 6)} AS te_fit_vstart
+  {R(since(11, 'r2'), 8)} AS te_fit_r2, coalesce({since(11, 'coalesce(n, n_widest)')}, 0) AS te_fit_npts, {R(since(11, 'x0'), 6)} AS te_fit_vstart
 FROM g"""
 
 
