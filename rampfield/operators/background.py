@@ -3,387 +3,54 @@
 The model of a window is A exp(x/T) + C + D x with x = V - Vmax.  For a given T
 the other three are linear, so only ln T is searched: a 49-point grid, then
 narrowing around its best point, then Gauss-Newton steps on the residuals that
-stay inside the bracket.  Everything works on the window's own bin arrays.
+stay inside the bracket (:mod:`.window_fit`, batches of windows as arrays).
 """
 
 from __future__ import annotations
 
 import math
+import sys
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import (
-    at, cut, diffs, dot, index_range, last, let, let_struct, mean, median, prefix_length,
-    split_start, total,
+    at, cut, diffs, index_range, last, let, let_struct, median, prefix_length, split_start,
 )
 from ..functions.text import Text, X, put
 from ..params import (
-    BULK_WINDOW_WIDTHS_V, MIN_CURVE_POINTS, SIGNAL_TO_NOISE, TE_MAX_BLOCK_DEVIATION_LOG,
-    TE_MAX_RELATIVE_SLOPE_ERROR, TE_MIN_LOG_SPAN, FitParams,
+    BULK_WINDOW_WIDTHS_V, MIN_CURVE_POINTS, SIGNAL_TO_NOISE, TE_MAX_BLOCK_DEVIATION_LOG, FitParams,
 )
+from .window_fit import FIT, fitted
 
-GRID = 49
-NARROW_POINTS = 9
-NARROW_ROUNDS = 2
-NEWTON_ROUNDS = 20
-CONVERGED_LOG = 1e-13
-BOUNDARY_LOG = 0.01
-
-
-def _moments(s: Text, log_t: Text) -> Text:
-    """Centred cross products of (x, e, y) with e = exp(x / T)."""
-    # Plain arrays of doubles are cheaper here than one fold over structs.
-    return let_struct(
-        lambda t: let_struct(
-            lambda u: X.struct(
-                (u.ee - u.te * u.te / s.n).alias("cee"), (u.ex - u.te * s.mx).alias("cex"),
-                (u.ey - u.te * s.my).alias("cey"), (u.te / s.n).alias("me"),
-            ),
-            te=total(t.e), ee=X.aggregate(t.e, X.lit(0.0), lambda acc, e: acc + e * e),
-            ex=dot(t.e, s.x), ey=dot(t.e, s.y),
-        ),
-        e=let(X.exp(-log_t), lambda rate: X.transform(s.x, lambda x: X.exp(x * rate))),
-    )
-
-
-def _linear_part(s: Text, m: Text) -> Text:
-    """struct(a, c, d, rss) of the best line and amplitude at one temperature."""
-    return let_struct(
-        lambda t: let_struct(
-            lambda u: X.struct(
-                u.a.alias("a"), u.d.alias("d"),
-                (s.my - u.a * m.me - u.d * s.mx).alias("c"),
-                X.greatest(X.lit(0.0), s.cyy - u.a * m.cey - u.d * s.cxy).alias("rss"),
-            ),
-            a=t.a, d=(s.cxy - t.a * m.cex) / s.cxx,
-        ),
-        a=X.try_divide(
-            m.cey - m.cex * s.cxy / s.cxx, m.cee - m.cex * m.cex / s.cxx
-        ),
-    )
-
-
-def _score(s: Text, log_t: Text) -> Text:
-    return let(_moments(s, log_t), lambda m: X.coalesce(_linear_part(s, m).rss, s.cyy))
-
-
-def _best_of(s: Text, points: Text) -> Text:
-    """Position with the smallest residual, the first on a tie."""
-    return let(
-        X.transform(
-            points, lambda p, k: X.struct(_score(s, p).alias("rss"), k.alias("k"), p.alias("log_t"))
-        ),
-        lambda scored: X.array_min(scored),
-    )
-
-
-def prepare_windows(windows: DataFrame) -> DataFrame:
-    """Adds the window's scaled samples and its moments that do not depend on T.
-
-    ``windows`` has arrays ``wv, wi``; currents are scaled by their range.  A
-    window needs seven increasing voltages and a varying current, else its
-    ``_w`` is NULL.
-    """
-
-    def moments(s: Text) -> Text:
-        return X.struct(
-            s.x.alias("x"), s.y.alias("y"),
-            s.n.alias("n"), s.mx.alias("mx"), s.my.alias("my"),
-            s.scale.alias("scale"), s.span.alias("span"),
-            total(X.transform(s.x, lambda a: (a - s.mx) * (a - s.mx))).alias("cxx"),
-            total(X.transform(s.y, lambda b: (b - s.my) * (b - s.my))).alias("cyy"),
-            total(X.zip_with(s.x, s.y, lambda a, b: (a - s.mx) * (b - s.my))).alias("cxy"),
-        )
-
-    def scaled(s: Text) -> Text:
-        return let_struct(
-            lambda t: let_struct(
-                moments, x=t.x, y=t.y, n=X.size(t.x).cast("double"), mx=mean(t.x), my=mean(t.y),
-                scale=t.scale, span=t.span,
-            ),
-            x=X.transform(s.v, lambda a: a - s.top), y=X.transform(s.i, lambda b: b / s.scale),
-            scale=s.scale, span=s.span,
-        )
-
-    built = let_struct(
-        scaled, v=X.col("wv"), i=X.col("wi"), top=last(X.col("wv")),
-        span=last(X.col("wv")) - at(X.col("wv"), 0),
-        scale=X.array_max("wi") - X.array_min("wi"),
-    )
-    usable = (
-        (X.size("wv") >= MIN_CURVE_POINTS)
-        & (X.array_max("wi") > X.array_min("wi"))
-        & (X.array_min(diffs(X.col("wv"))) > 0)
-    )
-    return put(windows, "_w", X.when(usable, built))
-
+# workers need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def fit_windows(windows: DataFrame, lower_eV: float, upper_eV: float) -> DataFrame:
     """Fits every window row (arrays ``wv, wi``) and adds struct ``bg``.
 
     ``bg`` has valid, te_eV, te_relative_uncertainty, amplitude_A, background_at_vmax_A,
     background_at_vmax_uncertainty_A, background_slope_A_per_V, rmse_A, r2, vstart_V, vstop_V
-    and the component arrays fitted_A, exponential_A, background_A.
+    and the component arrays fitted_A, exponential_A, background_A. A window needs seven
+    increasing voltages without gaps and a varying current, else its ``bg`` is NULL.
     """
     if not (math.isfinite(lower_eV) and math.isfinite(upper_eV) and 0 < lower_eV < upper_eV):
         raise ValueError("temperature bounds must be finite, positive and ordered.")
     low, high = math.log(lower_eV), math.log(upper_eV)
-    step = (high - low) / (GRID - 1)
-    ready = prepare_windows(windows)
 
-    grid = X.transform(X.sequence(0, GRID - 1), lambda k: k * step + low)
-    located = put(
-        ready, "_cell",
-        X.when(X.col("_w").is_set(), let(X.col("_w"), lambda s: _best_of(s, grid))),
-    )
-    bracketed = put(
-        located, "_bracket",
-        X.struct(
-            X.greatest(X.lit(low), X.col("_cell.log_t") - step).alias("lo"),
-            X.least(X.lit(high), X.col("_cell.log_t") + step).alias("hi"),
-        ),
-    )
+    def fit(wv: pa.Array, wi: pa.Array) -> pa.Array:
+        return fitted(wv, wi, low, high)
 
-    def narrow(s: Text, b: Text) -> Text:
-        points = X.transform(
-            X.sequence(0, NARROW_POINTS - 1),
-            lambda k: b.lo + k * ((b.hi - b.lo) / (NARROW_POINTS - 1)),
-        )
-        return let_struct(
-            lambda t: X.struct(
-                X.greatest(t.lo, t.at - t.gap).alias("lo"), X.least(t.hi, t.at + t.gap).alias("hi")
-            ),
-            at=_best_of(s, points).log_t, lo=b.lo, hi=b.hi, gap=(b.hi - b.lo) / (NARROW_POINTS - 1),
-        )
-
-    narrowed = put(
-        bracketed, "_near",
-        X.when(
-            X.col("_w").is_set(),
-            let_struct(
-                lambda s: X.aggregate(
-                    X.sequence(1, NARROW_ROUNDS), s.b, lambda b, _r: narrow(s.w, b)
-                ),
-                w=X.col("_w"), b=X.col("_bracket"),
-            ),
-        ),
-    )
-
-    def newton(s: Text, state: Text, b: Text) -> Text:
-        """One Gauss-Newton step on ln T with amplitude and line refitted."""
-
-        def step(t: Text) -> Text:
-            return let(
-                let(
-                    _slope_terms(s, t.m, t.p, t.log_t),
-                    lambda g: X.greatest(
-                        b.lo,
-                        X.least(b.hi, t.log_t + X.coalesce(X.try_divide(g.gr, g.gg), X.lit(0.0))),
-                    ),
-                ),
-                lambda moved: X.struct(
-                    moved.alias("log_t"), (X.abs(moved - t.log_t) <= CONVERGED_LOG).alias("done")
-                ),
-            )
-
-        return X.when(state.done, state).otherwise(
-            let_struct(
-                lambda t: let_struct(step, m=t.m, log_t=t.log_t, p=_linear_part(s, t.m)),
-                m=_moments(s, state.log_t), log_t=state.log_t,
-            )
-        )
-
-    solved = put(
-        narrowed, "_log_t",
-        X.when(
-            X.col("_w").is_set(),
-            let_struct(
-                lambda s: X.aggregate(
-                    X.sequence(1, NEWTON_ROUNDS),
-                    X.struct(((s.b.lo + s.b.hi) / 2).alias("log_t"), X.lit(False).alias("done")),
-                    lambda state, _r: newton(s.w, state, s.b), lambda state: state.log_t,
-                ),
-                w=X.col("_w"), b=X.col("_near"),
-            ),
-        ),
-    )
-    fitted = put(
-        solved, "_fit",
-        X.when(
-            X.col("_w").is_set(),
-            let_struct(
-                lambda s: let_struct(
-                    lambda t: _statistics(t.w, t.m, t.log_t),
-                    w=s.w, m=_moments(s.w, s.log_t), log_t=s.log_t,
-                ),
-                w=X.col("_w"), log_t=X.col("_log_t"),
-            ),
-        ),
-    )
-    return put(fitted, "bg", _report(low, high)).drop(
-        "_w", "_cell", "_bracket", "_near", "_log_t", "_fit"
-    )
-
-
-def _slope_terms(s: Text, m: Text, p: Text, log_t: Text) -> Text:
-    """struct(gr, gg): direction of ln T against the residual, cleaned of 1, x and e.
-
-    The direction is g = -A e x / T.  Its products with the residual and with
-    itself are formed from explicit residual arrays, so nothing cancels.
-    """
-    rate = X.exp(-log_t)
-    rows = X.zip_with(
-        s.x, s.y,
-        lambda a, b: let(
-            X.exp(a * rate),
-            lambda e: X.struct(
-                (a - s.mx).alias("x"), (e - m.me).alias("e"),
-                (-p.a * e * a * rate).alias("g"), (b - p.a * e - p.d * a - p.c).alias("r"),
-            ),
-        ),
-    )
-    return let(
-        rows,
-        lambda q: let_struct(
-            lambda t: let_struct(
-                lambda u: let(
-                    X.transform(
-                        u.q,
-                        lambda w: X.struct(
-                            (w.g - u.mg - u.bx * w.x - u.be * (w.e - u.ex * w.x)).alias("g"),
-                            w.r.alias("r"),
-                        ),
-                    ),
-                    lambda z: X.struct(
-                        _sum(z, lambda w: w.g * w.r).alias("gr"),
-                        _sum(z, lambda w: w.g * w.g).alias("gg"),
-                    ),
-                ),
-                q=t.q, mg=t.mg, bx=t.cgx / s.cxx, ex=m.cex / s.cxx,
-                be=X.coalesce(
-                    X.try_divide(
-                        t.cge - t.cgx * m.cex / s.cxx, m.cee - m.cex * m.cex / s.cxx
-                    ),
-                    X.lit(0.0),
-                ),
-            ),
-            q=q, mg=_sum(q, lambda w: w.g) / s.n, cgx=_sum(q, lambda w: w.g * w.x),
-            cge=_sum(q, lambda w: w.g * w.e),
-        ),
-    )
+    doubles = [F.col(name).cast("array<double>") for name in ("wv", "wi")]
+    return windows.withColumn("bg", F.arrow_udf(fit, FIT)(*doubles))
 
 
 def _sum(rows: Text, value) -> Text:
     return X.aggregate(rows, X.lit(0.0), lambda acc, w: acc + value(w))
 
 
-def _statistics(s: Text, m: Text, log_t: Text) -> Text:
-    """Solution, residual and parameter variances (per unit residual variance)."""
-
-    def solve(t: Text) -> Text:
-        rate = X.exp(-t.log_t)
-        residual = X.zip_with(
-            s.x, s.y, lambda a, b: t.p.a * X.exp(a * rate) + t.p.c + t.p.d * a - b
-        )
-        return let_struct(
-            describe, p=t.p, log_t=t.log_t, residual=residual,
-            g=_slope_terms(s, m, t.p, t.log_t),
-            raw=_g_moments(s, t.p, t.log_t),
-        )
-
-    def describe(t: Text) -> Text:
-        # Elimination order x, e, g: pivots of the centred products, then the
-        # intercept's variance 1/n + m' S^-1 m from the same pivots.
-        lex = m.cex / s.cxx
-        lgx = t.raw.cgx / s.cxx
-        pe = m.cee - lex * m.cex
-        ge = t.raw.cge - lgx * m.cex
-        pg = t.g.gg
-        ue = m.me - lex * s.mx
-        ug = t.raw.mg - lgx * s.mx - X.try_divide(ge, pe) * ue
-        return X.struct(
-            t.p.a.alias("a"), t.p.c.alias("c"), t.p.d.alias("d"), t.log_t.alias("log_t"),
-            t.residual.alias("residual"), dot(t.residual, t.residual).alias("ss"),
-            (
-                (pg > 1e-22 * t.raw.gg) & (pe > 1e-22 * m.cee) & (t.raw.gg > 0)
-            ).alias("full_rank"),
-            X.try_divide(X.lit(1.0), pg).alias("var_log_t"),
-            (
-                1.0 / s.n + s.mx * s.mx / s.cxx + X.try_divide(ue * ue, pe)
-                + X.try_divide(ug * ug, pg)
-            ).alias("var_c"),
-        )
-
-    return let_struct(solve, p=_linear_part(s, m), log_t=log_t)
-
-
-def _g_moments(s: Text, p: Text, log_t: Text) -> Text:
-    rate = X.exp(-log_t)
-    rows = X.transform(
-        s.x,
-        lambda a: let(
-            X.exp(a * rate),
-            lambda e: X.struct((a - s.mx).alias("x"), e.alias("e"), (-p.a * e * a * rate).alias("g")),
-        ),
-    )
-    return let(
-        rows,
-        lambda q: let_struct(
-            lambda t: X.struct(
-                t.mg.alias("mg"), _sum(t.q, lambda w: (w.g - t.mg) * w.x).alias("cgx"),
-                _sum(t.q, lambda w: (w.g - t.mg) * w.e).alias("cge"),
-                _sum(t.q, lambda w: w.g * w.g).alias("gg"),
-            ),
-            q=q, mg=_sum(q, lambda w: w.g) / s.n,
-        ),
-    )
-
-
-def _report(low: float, high: float) -> Text:
-    def build(s: Text) -> Text:
-        te = X.exp(s.f.log_t)
-        variance = s.f.ss / (s.w.n - 4)
-        # d T / T equals d ln T, and g is the derivative by ln T scaled by T / T.
-        relative = X.when(s.f.full_rank, X.sqrt(variance * s.f.var_log_t))
-        sigma_c = X.when(s.f.full_rank, X.sqrt(variance * s.f.var_c) * s.w.scale)
-        at_edge = X.least(s.f.log_t - low, high - s.f.log_t) < BOUNDARY_LOG
-        return let_struct(
-            lambda t: X.struct(
-                X.coalesce(
-                    t.f.full_rank & (t.f.a > 0) & ~t.edge & (t.w.span / t.te >= TE_MIN_LOG_SPAN)
-                    & (t.rel <= TE_MAX_RELATIVE_SLOPE_ERROR),
-                    X.lit(False),
-                ).alias("valid"),
-                t.te.alias("te_eV"), t.rel.alias("te_relative_uncertainty"),
-                (t.f.a * t.w.scale).alias("amplitude_A"),
-                (t.f.c * t.w.scale).alias("background_at_vmax_A"),
-                t.sigma.alias("background_at_vmax_uncertainty_A"),
-                (t.f.d * t.w.scale).alias("background_slope_A_per_V"),
-                (X.sqrt(t.f.ss / t.w.n) * t.w.scale).alias("rmse_A"),
-                (1.0 - t.f.ss / t.w.cyy).alias("r2"),
-                (t.v0).alias("vstart_V"), (t.v1).alias("vstop_V"),
-                X.zip_with(
-                    t.w.y, t.f.residual, lambda b, r: (b + r) * t.w.scale
-                ).alias("fitted_A"),
-                X.transform(
-                    t.w.x, lambda a: t.f.a * X.exp(a / t.te) * t.w.scale
-                ).alias("exponential_A"),
-                X.transform(
-                    t.w.x, lambda a: (t.f.c + t.f.d * a) * t.w.scale
-                ).alias("background_A"),
-            ),
-            w=s.w, f=s.f, te=te, rel=relative, sigma=sigma_c, edge=at_edge, v0=s.v0, v1=s.v1,
-        )
-
-    return X.when(
-        X.col("_fit").is_set(),
-        let_struct(
-            build, w=X.col("_w"), f=X.col("_fit"), v0=at(X.col("wv"), 0), v1=last(X.col("wv"))
-        ),
-    )
-
-
 # --- T26 -----------------------------------------------------------------------------
 
 

@@ -210,6 +210,31 @@ def test_exponential_background_temperatures(spark):
         assert r["bg"]["amplitude_A"] == pytest.approx(0.8, rel=1e-6)
 
 
+def test_windows_are_fitted_in_batches(spark):
+    rows = []
+    for k in range(60):
+        t, size = 1.0 + 0.1 * k, 40 + 7 * k
+        x = np.linspace(-6 * t, 0, size)
+        rows.append((k, t, (10 + x).tolist(), (2e-3 * (0.8 * np.exp(x / t) + 0.1 + 0.002 * x)).tolist()))
+    level = [1.0] * 20
+    rows += [
+        (100, None, None, None), (101, None, level[:3], level[:3]), (102, None, [float(k) for k in range(20)], level),
+        (103, None, level, [float(k) for k in range(20)]), (104, None, [None, *level[:9], *level[:10]], [float(k * k) for k in range(20)]),
+    ]
+    df = spark.createDataFrame(rows, "k int, t double, wv array<double>, wi array<double>").repartition(2, "k")
+    fits = background.fit_windows(df, 0.1, 300.0)
+    assert fits._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    for r in fits.collect():
+        if r.t is None:
+            assert r.bg is None
+            continue
+        assert r.bg.valid and r.bg.te_eV == pytest.approx(r.t, rel=1e-6)
+        x = np.array(r.wv) - r.wv[-1]
+        assert r.bg.exponential_A == pytest.approx(1.6e-3 * np.exp(x / r.t), rel=1e-5)
+        assert r.bg.background_A == pytest.approx(2e-4 + 4e-6 * x, rel=1e-4)
+        assert r.bg.fitted_A == pytest.approx(r.wi, rel=1e-6)
+
+
 def test_parameters_are_checked():
     with pytest.raises(ValueError, match="Unknown"):
         FitParams.from_mapping({"nope": 1})
