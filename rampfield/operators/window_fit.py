@@ -13,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
-from ..params import (
-    MIN_CURVE_POINTS, TE_MAX_RELATIVE_SLOPE_ERROR, TE_MIN_LOG_SPAN,
-)
+from ..functions.batches import lists
+from ..params import MIN_CURVE_POINTS, TE_MAX_RELATIVE_SLOPE_ERROR, TE_MIN_LOG_SPAN
 
 # workers need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,13 +39,6 @@ FIT = (
 )
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of the rows of an array column, and all values with NaN for NULL."""
-    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    starts = column.offsets.to_numpy(zero_copy_only=False)[:-1].astype(np.int64)
-    return starts, lengths, column.values.to_numpy(zero_copy_only=False)
-
-
 def _ratio(above: np.ndarray, below: np.ndarray) -> np.ndarray:
     """The quotient, NaN where the divisor is zero."""
     return np.divide(above, below, out=np.full(np.shape(below), np.nan), where=below != 0)
@@ -175,7 +167,7 @@ def _alike(lengths: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
 
 def fitted(wv: pa.Array, wi: pa.Array, low: float, high: float) -> pa.Array:
     """The fit of every window of a batch, NULL for windows that cannot be fitted."""
-    (starts, lengths, v), (starts_i, lengths_i, i) = _lists(wv), _lists(wi)
+    (starts, lengths, v), (starts_i, lengths_i, i) = lists(wv), lists(wi)
     numbers, valid = {name: np.full(len(wv), np.nan) for name in NUMBERS}, np.zeros(len(wv), bool)
     parts = {}
     for rows in _alike(lengths, np.flatnonzero((lengths >= MIN_CURVE_POINTS) & (lengths == lengths_i))):

@@ -162,6 +162,34 @@ def test_density_value(spark):
     assert row["bad"] is None and row["flipped"] == pytest.approx(row["n"])
 
 
+def test_traces_are_binned_in_batches(spark):
+    def bins(v, i, width):
+        keep = [(a, b) for a, b in zip(v, i) if a is not None and b is not None and np.isfinite(a) and np.isfinite(b)]
+        low = min((a for a, _ in keep), default=0)
+        cells = {}
+        for a, b in sorted(keep):
+            cells.setdefault(math.floor((a - low) / width), []).append((a, b))
+        out = [np.mean(cells[k], 0) for k in sorted(cells)]
+        return out if len(out) >= 2 else None
+
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.uniform(0, 3, 5 + 9 * k).tolist(), rng.normal(size=5 + 9 * k).tolist()) for k in range(30)]
+    rows += [
+        (100, [], []), (101, [1.0], [2.0]), (102, [1.0, None, 2.0, float("nan"), 2.5], [1.0, 5.0, 2.0, 3.0, None]),
+        (103, [None] * 4, [1.0] * 4), (104, [float(k) for k in range(50)], [1.0] * 50), (105, [1.0] * 50, [1.0] * 50),
+    ]
+    df = spark.createDataFrame(rows, "k int, v array<double>, i array<double>")
+    done = sweep.bin_traces(sweep.sweep_direction(df, 0.1), 0.1)
+    assert done._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    for r in done.collect():
+        expected = bins(r.v, r.i, 0.1)
+        if expected is None:
+            assert r.vb is None and r.ib is None
+        else:
+            assert np.column_stack([r.vb, r.ib]) == pytest.approx(np.array(expected), abs=1e-12)
+        assert r.sweep_ok == (r.k == 104)
+
+
 def test_effective_sample_count_against_numpy(spark):
     rng = np.random.default_rng(3)
     cases = [rng.normal(size=80), np.cumsum(rng.normal(size=120)), np.ones(9), np.array([1.0])]
