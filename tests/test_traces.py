@@ -190,6 +190,23 @@ def test_traces_are_binned_in_batches(spark):
         assert r.sweep_ok == (r.k == 104)
 
 
+def test_accuracy_reads_the_fits_once(spark):
+    from rampfield.operators.accuracy import error_table
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(g, True, float(k), float(-k)) for g in (1, 2) for k in range(11)]
+    kinds = "family int, ok boolean, te_error_percent double, ne_error_percent double"
+    table = error_table(spark.createDataFrame(rows, kinds).mapInArrow(touch, kinds), ["family"]).collect()
+    assert seen.value == len(rows)
+    assert {(r.family, r.cases, r.accepted, r.te_error_percent_p50, r.ne_error_percent_p50) for r in table} == {(1, 11, 11, 5.0, -5.0), (2, 11, 11, 5.0, -5.0)}
+
+
 def test_effective_sample_count_against_numpy(spark):
     rng = np.random.default_rng(3)
     cases = [rng.normal(size=80), np.cumsum(rng.normal(size=120)), np.ones(9), np.array([1.0])]
