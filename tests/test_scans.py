@@ -558,3 +558,12 @@ def test_diagnostic_shots_reach_the_scan(spark, raw_scan, tmp_path):
         whole = C.diagnostic_positions(shots.paired_ramps(raw_scan, s), every).select("shotnum", "iramp").collect()
         assert sorted(ours) == sorted(whole) and whole
     assert shots.diagnostic_shots(raw_scan, s, None).count() == shots.diagnostic_shots(raw_scan, s, 0).count() == 0
+
+
+def test_a_run_is_not_scattered_over_files(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 8).select((F.col("id") % 5).cast("string").alias("run"), F.lit("x_line").alias("geometry"), "id")
+    back = Staged(spark, str(tmp_path)).write(rows, "shots")
+    assert back.count() == 4000 and back.select("id").distinct().count() == 4000
+    for run in range(5):
+        files = list(tmp_path.glob(f"shots/version=*/geometry=x_line/run={run}/*.parquet"))
+        assert len(files) == 1
