@@ -190,6 +190,97 @@ def test_traces_are_binned_in_batches(spark):
         assert r.sweep_ok == (r.k == 104)
 
 
+def is_straight(v, y, least_r2=0.95):
+    """The rule of the search on the bins of one candidate."""
+    x = (v - v.mean()) / (v[-1] - v[0])
+    slope, level = np.polyfit(x, y, 1)
+    residual = y - level - slope * x
+    blocks = [abs(b.mean()) for b in np.array_split(residual, max(1, min(8, len(v) // 3)))]
+    error = math.sqrt(residual @ residual / (len(v) - 2) / (x @ x))
+    return (
+        slope >= 1 and 1 - residual @ residual / ((y - y.mean()) @ (y - y.mean())) >= least_r2 and error <= 0.3 * slope
+        and abs(np.polyfit(x, y, 2)[0]) <= 0.05 and max(blocks) <= 0.02
+    )
+
+
+def searched(v, y, intervals, least=8):
+    """Start, stop and number of judged candidates of one trace, a candidate at a time."""
+
+    def edges(lo, hi, pieces):
+        return sorted({hi if j == pieces else math.floor(j * ((hi - lo) / pieces) + lo) for j in range(pieces + 1)})
+
+    def first(candidates):
+        for a, b in sorted(candidates, key=lambda c: (v[c[0]] - v[c[1] - 1], *c)):
+            judged.add((a, b))
+            if is_straight(v[a:b], y[a:b]):
+                return a, b
+        return None
+
+    judged = set()
+    home = {(a, b): x for x in intervals if x[1] - x[0] >= least for a in edges(*x, min(32, x[1] - x[0])) for b in edges(*x, min(32, x[1] - x[0])) if b - a >= least}
+    best = first(home)
+    if best is None:
+        return None, None, len(judged)
+    low, high = home[best]
+    step = max(1, math.ceil((high - low) / 32))
+    while True:
+        a0, b0 = best
+        finer = {
+            (a, b) for a in edges(max(low, a0 - step), min(b0 - least, a0 + step), 8) for b in edges(max(a0 + least, b0 - step), min(high, b0 + step), 8)
+            if b - a >= least and v[b - 1] - v[a] >= v[b0 - 1] - v[a0]
+        }
+        best = first(finer) or best
+        if step == 1:
+            return *best, len(judged)
+        step = max(1, step // 4)
+
+
+def test_straight_intervals_are_searched_in_batches():
+    import pyarrow as pa
+
+    from rampfield.operators.straight_search import broadest_straight
+
+    rng, rows = np.random.default_rng(8), []
+    for k in range(400):
+        n = int(rng.integers(9, 260))
+        v = np.cumsum(rng.uniform(0.08, 0.12, n))
+        y = v / rng.uniform(0.8, 4) + rng.uniform(0, 0.4) * np.sin(v * rng.uniform(0.1, 1)) + rng.normal(0, 10 ** rng.uniform(-4, -1), n)
+        cut = int(rng.integers(1, n))
+        intervals = [[], [(0, n)], [(0, cut)], [(0, cut), (min(cut + 1, n - 1), n)]][min(3, k % 8)]
+        rows.append((v, y, intervals))
+    lists = lambda values: pa.array([list(x) for x in values])
+    ion = -1e-4
+    found = broadest_straight(
+        lists(v for v, _, _ in rows), lists(np.exp(y) + ion for _, y, _ in rows),
+        pa.array([[a for a, _ in x] for _, _, x in rows], pa.list_(pa.int32())), pa.array([[b for _, b in x] for _, _, x in rows], pa.list_(pa.int32())),
+        pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int32()), pa.array([ion] * len(rows)), 8, 0.95,
+    ).to_pylist()
+    expected = [searched(v, y, x) for v, y, x in rows]
+    assert [(r["start"], r["stop"], r["candidates"]) for r in found] == expected
+    assert 50 < sum(a is not None for a, _, _ in expected) < 350
+
+
+def test_shared_steps_are_done_once(spark):
+    from rampfield.plans.trace import configurations, fits_of
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    v, i = make_traces()["ideal"]
+    kinds = "trace int, v array<double>, i array<double>"
+    some = spark.createDataFrame([(k, v.tolist(), i.tolist()) for k in range(6)], kinds).mapInArrow(touch, kinds)
+    both = configurations(some, {"wide": BASE, "bounded": BASE.with_(te_region_method="bounded")})
+    for done in both.values():
+        # only what later steps read is stored
+        assert not {"v", "i", "va", "ia", "vg", "ig", "didv"} & set(done.columns)
+        assert [r["ok"] for r in fits_of(done, BASE, ["trace"]).collect()] == [True] * 6
+    assert seen.value == 6
+
+
 def test_accuracy_reads_the_fits_once(spark):
     from rampfield.operators.accuracy import error_table
 
