@@ -16,14 +16,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import (
-    at, cut, diffs, index_range, last, let, let_struct, median, prefix_length, split_start,
-)
-from ..functions.text import Text, X, put
-from ..params import (
-    BULK_WINDOW_WIDTHS_V, MIN_CURVE_POINTS, SIGNAL_TO_NOISE, TE_MAX_BLOCK_DEVIATION_LOG, FitParams,
-)
-from .window_fit import FIT, fitted
+from ..functions.text import X, put
+from ..params import BULK_WINDOW_WIDTHS_V, MIN_CURVE_POINTS, SIGNAL_TO_NOISE, FitParams
+from .window_fit import CHECKS, FIT, SPANS, fitted, log_checks, nested_spans
 
 # workers need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,10 +42,6 @@ def fit_windows(windows: DataFrame, lower_eV: float, upper_eV: float) -> DataFra
     return windows.withColumn("bg", F.arrow_udf(fit, FIT)(*doubles))
 
 
-def _sum(rows: Text, value) -> Text:
-    return X.aggregate(rows, X.lit(0.0), lambda acc, w: acc + value(w))
-
-
 # --- T26 -----------------------------------------------------------------------------
 
 
@@ -68,38 +59,19 @@ def bulk_windows(
     """
     lower_eV = params.te_min_eV if lower_eV is None else lower_eV
     upper_eV = params.te_max_eV if upper_eV is None else upper_eV
-    upper = X.col("vp_derivative_V") - params.te_margin_from_vp
-    traces = put(
-        stages, {"_upper": upper, "_dv": median(diffs(X.col("vb"))), "noise_A": X.col("ion.noise")}
-    ).select(*keys, "vb", "ib", "_upper", "_dv", "noise_A")
     # dealt by trace while a row holds its bins only: the windows and their fits then stay where they are
-    traces = traces.repartition(*keys)
+    traces = stages.select(
+        *keys, "vb", "ib", (F.col("vp_derivative_V") - params.te_margin_from_vp).alias("_upper"), F.col("ion.noise").alias("noise_A")
+    ).repartition(*keys)
     least = max(params.te_min_points, MIN_CURVE_POINTS)
-    widths = F.filter(
-        F.array(*[F.lit(float(w)) for w in BULK_WINDOW_WIDTHS_V]),
-        lambda w: (F.get("vb", F.lit(0)) <= F.col("_upper") - w + F.col("_dv"))
-        & (F.size(F.filter("vb", lambda x: x.between(F.col("_upper") - w, F.col("_upper")))) >= least),
-    )
-    spread = traces.select("*", F.explode_outer(widths).alias("width_V"))
-
-    def slices(s: Text) -> Text:
-        start = prefix_length(s.v, lambda x: x < s.upper - s.width)
-        stop = prefix_length(s.v, lambda x: x <= s.upper)
-        return let_struct(
-            lambda t: X.struct(
-                cut(s.v, t.a, t.b - t.a).alias("wv"), cut(s.i, t.a, t.b - t.a).alias("wi")
-            ),
-            a=start, b=stop,
-        )
-
-    sliced = put(
-        spread, "_s",
-        let_struct(
-            slices, v=X.col("vb"), i=X.col("ib"), upper=X.col("_upper"), width=X.col("width_V")
-        ),
-    )
-    windows = put(sliced, {"wv": X.col("_s.wv"), "wi": X.col("_s.wi")}).drop(
-        "_s", "vb", "ib", "_upper", "_dv"
+
+    def spans(vb: pa.Array, upper: pa.Array) -> pa.Array:
+        return nested_spans(vb, upper, BULK_WINDOW_WIDTHS_V, least)
+
+    spread = traces.withColumn("_s", F.explode_outer(F.arrow_udf(spans, SPANS)("vb", "_upper")))
+    start, n = (F.coalesce(f"_s.{name}", F.lit(0)) for name in ("start", "n"))
+    windows = spread.select(
+        *keys, "noise_A", F.col("_s.width").alias("width_V"), F.slice("vb", start + 1, n).alias("wv"), F.slice("ib", start + 1, n).alias("wi")
     )
     checked = window_checks(fit_windows(windows, lower_eV, upper_eV), params)
     w = Window.partitionBy(*keys).orderBy("width_V")
@@ -121,67 +93,16 @@ def bulk_windows(
 def window_checks(fits: DataFrame, params: FitParams) -> DataFrame:
     """Residual and block-log checks of a window fit; also the resolved signal range."""
 
-    def judge(s: Text) -> Text:
-        rows = X.filter(
-            X.transform(
-                X.zip_with(
-                    X.zip_with(s.v, s.i, lambda v, i: X.struct(v.alias("v"), i.alias("i"))),
-                    X.zip_with(
-                        s.e, s.b, lambda e, b: X.struct(e.alias("e"), b.alias("b"))
-                    ),
-                    lambda p, q: X.struct(
-                        p.v.alias("v"), (p.i - q.b).alias("c"), q.e.alias("e")
-                    ),
-                ),
-                lambda p: p,
-            ),
-            lambda p: p.e >= s.floor,
-        )
-        return let(
-            rows,
-            lambda r: let_struct(
-                blocks, r=r, n=X.size(r), noise=s.noise, te=s.te,
-                positive=X.forall(r, lambda p: p.c > 0),
-                parts=X.least(X.lit(8), X.floor(X.size(r) / 3).cast("int")),
-            ),
-        )
+    least, floor = params.te_min_points, params.te_current_floor_frac
 
-    def blocks(s: Text) -> Text:
-        enough = (s.n >= params.te_min_points) & s.positive
+    def checks(*columns: pa.Array) -> pa.Array:
+        return log_checks(*columns, least, floor)
 
-        def close(b: Text) -> Text:
-            return let(
-                cut(
-                    s.r, split_start(b, s.n, s.parts),
-                    split_start(b + 1, s.n, s.parts) - split_start(b, s.n, s.parts),
-                ),
-                lambda q: X.abs(_sum(q, lambda p: X.ln(p.c / p.e)) / X.size(q))
-                <= TE_MAX_BLOCK_DEVIATION_LOG
-                + 3 * s.noise * X.sqrt(_sum(q, lambda p: 1.0 / (p.e * p.e))) / X.size(q),
-            )
-
-        v0, v1 = at(s.r, 0)["v"], last(s.r)["v"]
-        return X.struct(
-            X.when(
-                enough,
-                X.forall(index_range(0, s.parts), close) & ((v1 - v0) / s.te >= 1),
-            ).otherwise(X.lit(False)).alias("ok"),
-            X.when(enough, v0).alias("v0"), X.when(enough, v1).alias("v1"),
-        )
-
-    checks = X.when(
-        X.col("bg").is_set() & X.col("noise_A").is_set(),
-        let_struct(
-            judge, v=X.col("wv"), i=X.col("wi"), e=X.col("bg.exponential_A"),
-            b=X.col("bg.background_A"), noise=X.col("noise_A"), te=X.col("bg.te_eV"),
-            floor=X.greatest(
-                SIGNAL_TO_NOISE * X.col("noise_A"),
-                params.te_current_floor_frac * X.col("bg.amplitude_A"),
-            ),
-        ),
+    judged = F.arrow_udf(checks, CHECKS)(
+        "wv", "wi", "bg.exponential_A", "bg.background_A", "bg.amplitude_A", "bg.te_eV", "noise_A"
     )
     return put(
-        put(fits, "_check", checks),
+        fits.withColumn("_check", judged),
         {
             "residual_pass": X.coalesce(
                 X.col("noise_A").is_set()
@@ -191,7 +112,7 @@ def window_checks(fits: DataFrame, params: FitParams) -> DataFrame:
                 ),
                 X.lit(False),
             ),
-            "bulk_log_pass": X.coalesce(X.col("_check.ok"), X.lit(False)),
+            "bulk_log_pass": X.col("_check.ok"),
             "bulk_signal_vstart_V": X.col("_check.v0"),
             "bulk_signal_vstop_V": X.col("_check.v1"),
         },

@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
-from ..functions.batches import lists
-from ..params import MIN_CURVE_POINTS, TE_MAX_RELATIVE_SLOPE_ERROR, TE_MIN_LOG_SPAN
+from ..functions.batches import lists, medians, places, steps
+from ..params import (
+    MIN_CURVE_POINTS, SIGNAL_TO_NOISE, TE_MAX_BLOCK_DEVIATION_LOG, TE_MAX_RELATIVE_SLOPE_ERROR, TE_MIN_LOG_SPAN,
+)
 
 # workers need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,6 +40,10 @@ FIT = (
     + ",".join(f"{n}:array<double>" for n in COMPONENTS) + ">"
 )
 
+SPANS = "array<struct<width:double,start:int,n:int>>"
+CHECKS = "struct<ok:boolean,v0:double,v1:double>"
+CHECK_BLOCKS = 8
+
 
 def _ratio(above: np.ndarray, below: np.ndarray) -> np.ndarray:
     """The quotient, NaN where the divisor is zero."""
@@ -209,3 +215,52 @@ def fitted(wv: pa.Array, wi: pa.Array, low: float, high: float) -> pa.Array:
     return pa.StructArray.from_arrays(
         columns + [component(k) for k in range(len(COMPONENTS))], names=["valid", *NUMBERS, *COMPONENTS], mask=pa.array(absent)
     )
+
+
+def nested_spans(vb: pa.Array, upper: pa.Array, widths: tuple[float, ...], least: int) -> pa.Array:
+    """Per trace the windows that end at ``upper``: (width, first bin, bins) of those it covers with ``least`` bins."""
+    starts, lengths, v = lists(vb)
+    top = upper.to_numpy(zero_copy_only=False)
+    some = np.flatnonzero((lengths >= 2) & np.isfinite(top))
+    size, width = lengths[some], np.asarray(widths, float)
+    step = medians(steps(v[places(starts[some], size)[1]], size), size - 1) if len(some) else top[some]
+    counts, parts = np.zeros(len(lengths) + 1, np.int32), []
+    for row, begin, n, dv in zip(some.tolist(), starts[some].tolist(), size.tolist(), step.tolist(), strict=True):
+        bins, end = v[begin : begin + n], top[row]
+        first, stop = np.searchsorted(bins, end - width), np.searchsorted(bins, end, "right")
+        kept = (bins[0] <= end - width + dv) & (stop - first >= least)
+        counts[row + 1] = kept.sum()
+        parts.append((width[kept], first[kept], stop - first[kept]))
+    flat = [np.concatenate(part) for part in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 3
+    fields = [pa.array(flat[0]), *(pa.array(part.astype(np.int32)) for part in flat[1:])]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.StructArray.from_arrays(fields, names=["width", "start", "n"]))
+
+
+def log_checks(
+    wv: pa.Array, wi: pa.Array, exponential: pa.Array, background: pa.Array, amplitude: pa.Array, te: pa.Array, noise: pa.Array,
+    least: int, floor: float,
+) -> pa.Array:
+    """struct(ok, v0, v1) of every window: the block means of ln(signal / exponential), and the ends of the resolved signal."""
+    (sv, _, v), (si, _, i), (se, size, e), (sb, _, b) = lists(wv), lists(wi), lists(exponential), lists(background)
+    a, t, sigma = (column.to_numpy(zero_copy_only=False).astype(float) for column in (amplitude, te, noise))
+    size = np.where(np.isnan(sigma), 0, size)
+    row, place = places(se, size)
+    e, c, v = e[place], i[places(si, size)[1]] - b[places(sb, size)[1]], v[places(sv, size)[1]]
+    on = e >= np.fmax(SIGNAL_TO_NOISE * sigma, floor * a)[row]
+    row, e, c, v = row[on], e[on], c[on], v[on]
+    n = np.bincount(row, minlength=len(size))
+    enough = (n >= least) & (np.bincount(row[~(c > 0)], minlength=len(size)) == 0)
+    ok, ends = np.zeros(len(size), bool), np.full((2, len(size)), np.nan)
+    rows = np.flatnonzero(enough)
+    if len(rows):
+        e, c, v, n = e[enough[row]], c[enough[row]], v[enough[row]], n[rows]
+        stop, parts = np.cumsum(n), np.minimum(CHECK_BLOCKS, n // 3)
+        ends[:, rows] = v[stop - n], v[stop - 1]
+        of, block = places(np.zeros(len(rows), np.int64), parts)
+        begin = (stop - n)[of] + block * (n // parts)[of] + np.minimum(block, (n % parts)[of])
+        count = np.diff(np.append(begin, len(e)))
+        mean = np.abs(np.add.reduceat(np.log(c / e), begin) / count)
+        close = mean <= TE_MAX_BLOCK_DEVIATION_LOG + 3 * sigma[rows][of] * np.sqrt(np.add.reduceat(1.0 / (e * e), begin)) / count
+        ok[rows] = np.logical_and.reduceat(close, np.cumsum(parts) - parts) & ((ends[1] - ends[0])[rows] / t[rows] >= 1)
+    columns = [pa.array(ok), *(pa.array(end, mask=~enough) for end in ends)]
+    return pa.StructArray.from_arrays(columns, names=["ok", "v0", "v1"])

@@ -281,6 +281,53 @@ def test_shared_steps_are_done_once(spark):
     assert seen.value == 6
 
 
+def test_nested_windows_are_found_in_batches():
+    import pyarrow as pa
+
+    from rampfield.operators.window_fit import nested_spans
+
+    rng, widths = np.random.default_rng(4), (6.0, 9.0, 12.0, 30.0)
+    curves = [np.cumsum(rng.uniform(0.05, 0.6, int(rng.integers(2, 200)))) for _ in range(60)]
+    tops = [None if k % 9 == 0 else float(rng.uniform(0, c[-1] + 2)) for k, c in enumerate(curves)]
+    found = nested_spans(pa.array([*map(list, curves), None], pa.list_(pa.float64())), pa.array([*tops, 5.0]), widths, 8).to_pylist()
+    for v, top, spans in zip(curves, tops, found, strict=False):
+        expected = []
+        for w in widths if top is not None else ():
+            inside = np.flatnonzero((v >= top - w) & (v <= top))
+            if v[0] <= top - w + np.median(np.diff(v)) and len(inside) >= 8:
+                expected.append({"width": w, "start": inside[0], "n": len(inside)})
+        assert spans == expected
+    assert found[-1] == [] and sum(map(len, found)) > 60
+
+
+def test_log_checks_of_a_batch_of_windows():
+    import pyarrow as pa
+
+    from rampfield.operators.window_fit import log_checks
+
+    v, noise = np.linspace(-9, 0, 90), 1e-7
+    line, e = np.full(90, -1e-4), 1e-3 * np.exp(v / 2)
+    bent, negative = e * np.where(v > -2, 1.2, 1.0), np.where(v > -0.05, -e, e)
+    lists = lambda *values: pa.array([None if x is None else list(x) for x in values], pa.list_(pa.float64()))
+    signal = [e, bent, negative, e, e]
+    got = log_checks(
+        lists(*[v] * 5), lists(*[line + s for s in signal]), lists(e, e, e, e, None), lists(line, line, line, line, None),
+        pa.array([1e-3] * 4 + [None]), pa.array([2.0] * 4 + [None]), pa.array([noise, noise, noise, None, noise]), 8, 0.03,
+    ).to_pylist()
+    resolved = v[e >= 0.03 * 1e-3]
+    assert [r["ok"] for r in got] == [True, False, False, False, False]
+    assert [(r["v0"], r["v1"]) for r in got] == [(resolved[0], resolved[-1])] * 2 + [(None, None)] * 3
+
+
+def test_equal_voltages_are_ordered_by_current():
+    from rampfield.operators.sweep_batches import _by_voltage
+
+    rng = np.random.default_rng(2)
+    row = np.repeat([0, 2, 3], [40, 1, 60])
+    vs, cs = rng.integers(0, 30, len(row)).astype(float), rng.normal(size=len(row))
+    assert (_by_voltage(row, vs, cs) == np.lexsort((cs, vs, row))).all()
+
+
 def test_accuracy_reads_the_fits_once(spark):
     from rampfield.operators.accuracy import error_table
 
