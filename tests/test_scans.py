@@ -567,3 +567,21 @@ def test_a_run_is_not_scattered_over_files(spark, tmp_path):
     for run in range(5):
         files = list(tmp_path.glob(f"shots/version=*/geometry=x_line/run={run}/*.parquet"))
         assert len(files) == 1
+
+
+def test_wrong_length_fails_unless_its_run_is_left_out(spark, raw_scan, tmp_path):
+    from pyspark.sql import functions as F
+
+    s, root = small_scan(), str(tmp_path / "store")
+    cut = F.when((F.col("channel") == 2) & (F.col("shotnum") == 2), F.slice("signal", 1, 859)).otherwise(F.col("signal"))
+    bad = raw_scan.withColumns({"run": F.lit("cut"), "signal": cut})
+    with pytest.raises(ValueError, match="run cut: time-length mismatch"):
+        run_scan(spark, raw_scan.union(bad), s, root)
+    with pytest.raises(Exception, match="Channel 2: time-length mismatch"):
+        shots.paired_ramps(bad, s).count()
+    # lengths come from the signals, or are stored with the shots
+    shots.ingest_shots(spark, raw_scan.union(bad), str(tmp_path / "in"))
+    for raw in (raw_scan.union(bad), shots.read_ingested(spark, str(tmp_path / "in"))):
+        found = run_scan(spark, raw, s, root, incomplete="skip")
+        assert {r["run"]: r["violation"] for r in found.collect()} == {"r": None, "cut": "time-length mismatch"}
+        assert {r["run"] for r in read_table(spark, root, "shots").select("run").distinct().collect()} == {"r"}
